@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, licenses, pii
+from plumbline.llm import bpe, licenses, pii, substring
 from plumbline.llm._io import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -23,7 +27,7 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_bpe_trie, op9_license_templates, op10_pii_deobfuscation)}
+    return {f.__name__: f for f in (op1_substring_dedup, op8_bpe_trie, op9_license_templates, op10_pii_deobfuscation)}
 
 
 def oracle_sql() -> dict[str, str]:
