@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, licenses, pii, substring
-from plumbline.llm._io import table
+from plumbline.llm import bpe, licenses, pii, quality, substring, warc
+from plumbline.llm._io import shared_dir, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learnt(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
+    return warc.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -27,7 +37,7 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op8_bpe_trie, op9_license_templates, op10_pii_deobfuscation)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_ranking, op3_warc_revisits, op8_bpe_trie, op9_license_templates, op10_pii_deobfuscation)}
 
 
 def oracle_sql() -> dict[str, str]:
