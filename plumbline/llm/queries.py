@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, licenses, pii, quality, substring, warc
+from plumbline.llm import bpe, licenses, metric_join, pii, quality, substring, warc
 from plumbline.llm._io import shared_dir, table
 
 
@@ -24,6 +24,10 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.link(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -37,7 +41,7 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_ranking, op3_warc_revisits, op8_bpe_trie, op9_license_templates, op10_pii_deobfuscation)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_ranking, op3_warc_revisits, op5_metric_range_join, op8_bpe_trie, op9_license_templates, op10_pii_deobfuscation)}
 
 
 def oracle_sql() -> dict[str, str]:
