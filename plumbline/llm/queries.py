@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, licenses, metric_join, pii, quality, shards, substring, warc
+from plumbline.llm import bpe, latent, licenses, metric_join, pii, quality, shards, substring, warc
 from plumbline.llm._io import shared_dir, table
 
 
@@ -28,6 +28,10 @@ def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.link(table(spark, sf_dir, "embeddings"))
 
 
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "shards")
     shards.write(table(spark, sf_dir, "documents"), path)
@@ -47,7 +51,7 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_ranking, op3_warc_revisits, op5_metric_range_join, op7_training_shards, op8_bpe_trie, op9_license_templates, op10_pii_deobfuscation)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_ranking, op3_warc_revisits, op5_metric_range_join, op6_latent_decontamination, op7_training_shards, op8_bpe_trie, op9_license_templates, op10_pii_deobfuscation)}
 
 
 def oracle_sql() -> dict[str, str]:
