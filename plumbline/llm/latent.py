@@ -55,8 +55,8 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(TABLE).split()
 
 
-def _flat(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(document ids, term ids laid out at multiples of 32 with -1 between, begin of each document) in bounded slices."""
+def _flat(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document ids, term ids laid out at multiples of 32 with -1 between, begin and end of each document) in bounded slices."""
     lists = batch.column("ids")
     sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
     start, held = 0, 0
@@ -75,7 +75,7 @@ def _flat(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndar
         begin = np.cumsum(room) - room
         out = np.full(int(room.sum()), -1, np.int32)
         out[np.arange(len(flat)) + np.repeat(begin - (np.cumsum(own) - own), own)] = flat
-        yield batch.column("id").slice(lo, hi - lo), out, begin
+        yield batch.column("id").slice(lo, hi - lo), out, begin, begin + own
 
 
 def _term_ids(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
@@ -99,7 +99,7 @@ def _idf(texts: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, cf, n = np.zeros(terms, np.int64), np.zeros(terms, np.int64), 0
         for batch in batches:
-            for _, ids, _ in _flat(batch):
+            for _, ids, _, _ in _flat(batch):
                 at = np.flatnonzero(ids >= 0)
                 passage = at // PASSAGE
                 pairs = np.unique(passage * terms + ids[at])
@@ -129,7 +129,7 @@ def _basis(texts: DataFrame, idf: np.ndarray, share: np.ndarray, rank: int, seed
         weight, projected = held.value
         total = np.zeros((terms, rank), np.float64)
         for batch in batches:
-            for _, ids, _ in _flat(batch):
+            for _, ids, _, _ in _flat(batch):
                 at = np.flatnonzero(ids >= 0)
                 if not len(at):
                     continue
@@ -194,12 +194,13 @@ def _search(texts: DataFrame, items: list[tuple], pieces: list[Piece], place: np
         least = np.array([paraphrase * len(p.ids) for p in pieces])
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_ids, ids, begin in _flat(batch):
+            for doc_ids, ids, begin, end in _flat(batch):
                 blocks = place[ids].reshape(-1, 8, place.shape[1]).sum(1)
                 sums = np.concatenate([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
                 found: dict[tuple[int, int], list] = {}
                 for own, words, stride, q in by_size:
                     at = np.arange(0, len(ids) - words + 1, stride)
+                    at = at[at < end[np.searchsorted(begin, at, side="right") - 1]]
                     for lo in range(0, len(at), 8192):
                         first = at[lo : lo + 8192] // 8
                         v = (sums[first + words // 8] - sums[first]).astype(np.float32)
@@ -213,7 +214,7 @@ def _search(texts: DataFrame, items: list[tuple], pieces: list[Piece], place: np
                             shared = member[cs[:, None], ids[ws[:, None] + np.arange(words)]].sum(1)
                             for x, j in zip(ws[shared >= least[cs]].tolist(), cs[shared >= least[cs]].tolist(), strict=True):
                                 doc = int(np.searchsorted(begin, x, side="right")) - 1
-                                region = ids[max(int(begin[doc]), x - stride) : x + words + stride].tolist()
+                                region = ids[max(int(begin[doc]), x - stride) : min(int(end[doc]), x + words + stride)].tolist()
                                 n = lcs(list(pieces[j].ids), region)
                                 if n >= least[j]:
                                     best = found.setdefault((doc, pieces[j].item), [{}, x - int(begin[doc])])
