@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, latent, licenses, metric_join, pii, quality, shards, substring, warc
+from plumbline.llm import bpe, latent, licenses, metric_join, order_minhash, pii, quality, shards, substring, warc
 from plumbline.llm._io import shared_dir, table
 
 
@@ -24,6 +24,10 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.link(table(spark, sf_dir, "embeddings"))
 
@@ -51,7 +55,7 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_ranking, op3_warc_revisits, op5_metric_range_join, op6_latent_decontamination, op7_training_shards, op8_bpe_trie, op9_license_templates, op10_pii_deobfuscation)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_ranking, op3_warc_revisits, op4_order_minhash, op5_metric_range_join, op6_latent_decontamination, op7_training_shards, op8_bpe_trie, op9_license_templates, op10_pii_deobfuscation)}
 
 
 def oracle_sql() -> dict[str, str]:
