@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -68,7 +70,7 @@ class TrieBpe:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.whole: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.memo: dict[str, tuple[str, int, bytes, bytes]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by merges, lowest rank first: for the short strings that decide which tokens go together."""
@@ -119,15 +121,15 @@ class TrieBpe:
             return self.words.findall(text)
         return [w for part in self.special.split(text) for w in ([part] if part in self.added else self.words.findall(part))]
 
-    def learn(self, texts: list[list[str]]) -> dict[str, tuple[str, int, bytes]]:
-        """For every word of the texts: its ids joined by commas, their number, the bytes they decode to."""
+    def learn(self, texts: list[list[str]]) -> dict[str, tuple[str, int, bytes, bytes]]:
+        """For every word of the texts: its ids joined by commas, their number, the bytes they decode to, the ids as int32."""
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
         new = {w for words in texts for w in words if w not in self.memo}
         for w in new & self.added.keys():
-            self.memo[w] = str(self.added[w]), 1, w.encode()
+            self.memo[w] = str(self.added[w]), 1, w.encode(), self.added[w].to_bytes(4, "little")
         for raw, ids in self.encode_words(w.encode() for w in new - self.added.keys()):
-            self.memo[raw.decode()] = ",".join(map(str, ids)), len(ids), self.decode(ids)
+            self.memo[raw.decode()] = ",".join(map(str, ids)), len(ids), self.decode(ids), array("i", ids).tobytes()
         return self.memo
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -166,11 +168,14 @@ def encode_and_decode(docs: DataFrame, path: str | None = None, id_col: str = "d
                 columns[1].append(hashlib.sha256(ids.encode()).hexdigest())
                 columns[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
-                    columns[3].append([int(i) for i in ids.split(",")] if ids else [])
+                    columns[3].append(b"".join([x[3] for x in of]))
                     columns[4].append(decoded)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()][: 5 if keep_ids else 3]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(kinds) + 1]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names)
+            arrays = [pa.array(c, k) for c, k in zip(columns[:3], (pa.int64(), pa.string(), pa.string()), strict=True)]
+            if keep_ids:
+                offsets = pa.array([0, *accumulate(columns[0])], pa.int32())
+                ids = pa.Array.from_buffers(pa.int32(), sum(columns[0]), [None, pa.py_buffer(b"".join(columns[3]))])
+                arrays += [pa.ListArray.from_arrays(offsets, ids), pa.array(columns[4], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(arrays) + 1])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
