@@ -27,8 +27,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def is_subset(a: Column, b: Column) -> Column:
-    """Every value of the shorter vector occurs in the longer one."""
-    return F.when(F.size(a) <= F.size(b), F.size(F.array_except(a, b)) == 0).otherwise(F.size(F.array_except(b, a)) == 0)
+    """All values of one of the vectors occur in the other; empty vectors are no subsets."""
+    return (F.size(a) > 0) & (F.size(b) > 0) & ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0))
 
 
 def is_endpoint_dropout(a: Column, b: Column, shortest: int = 3) -> Column:
