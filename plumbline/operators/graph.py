@@ -33,15 +33,16 @@ def python_edges(code: str) -> list[tuple[str, str, str]]:
     def text(call: ast.Call) -> str | None:
         return next((a.value for a in [*call.args, *(k.value for k in call.keywords)] if isinstance(a, ast.Constant) and isinstance(a.value, str)), None)
 
+    modules = {(a.asname or a.name).split(".")[0] for n in ast.walk(tree) if isinstance(n, ast.Import | ast.ImportFrom) for a in n.names} | {"plt", "sns", "pd", "np"}
     for node in ast.walk(tree):
         if isinstance(node, ast.Assign) and isinstance(node.targets[0], ast.Name):
             target = node.targets[0].id
             for call in (c for c in ast.walk(node.value) if isinstance(c, ast.Call) and name(c) in READERS):
                 if path := text(call):
                     out.append((path, target, "read"))
-            out += [(n.id, target, "derive") for n in ast.walk(node.value) if isinstance(n, ast.Name) and n.id != target]
+            out += [(n.id, target, "derive") for n in ast.walk(node.value) if isinstance(n, ast.Name) and n.id != target and n.id not in modules]
         if isinstance(node, ast.Call):
-            used = sorted({n.id for a in [node.func, *node.args, *(k.value for k in node.keywords)] for n in ast.walk(a) if isinstance(n, ast.Name)})
+            used = sorted({n.id for a in [node.func, *node.args, *(k.value for k in node.keywords)] for n in ast.walk(a) if isinstance(n, ast.Name)} - modules)
             if name(node) in SAVERS and (path := text(node)):
                 out += [(v, path, "save") for v in used]
             elif name(node) in PLOTTERS:
