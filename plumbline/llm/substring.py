@@ -165,9 +165,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, k: int = 17) -> DataFrame:
     words, where the span is one to be verified; null for single edges.
     """
     runs = _runs(docs, window, k)
+    # Minima are stored before they join what they were made from: a join straight on an aggregate's partitions could not split a hot key.
     anchors = runs.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.min("seg") != F.max("seg")).alias("branches")).filter("lo < hi").select("anchor", "branches")
+    anchors = stored(anchors, "anchors")
     hits = stored(runs.join(anchors, "anchor"), "runs")
-    first = hits.groupBy("anchor", "seg").agg(F.min(F.struct("id", "th", "start")).alias("first"))
+    first = stored(hits.groupBy("anchor", "seg").agg(F.min(F.struct("id", "th", "start")).alias("first")), "first")
     known = hits.join(first, ["anchor", "seg"])
     later = known.filter("id > first.id").select("id", "th", "start", "n", F.col("first.id").alias("src"), F.col("first.th").alias("src_th"), F.col("first.start").alias("src_start"))
     by_text = Window.partitionBy("id", "th").orderBy("start")
@@ -186,6 +188,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, k: int = 17) -> DataFrame:
     read = stored(_read_again(docs, opened.union(sources).distinct(), window), "read")
     edges = read.filter("kind = 0").select("id", "th", "start", "h1", "h2")
     lowest = edges.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
+    lowest = stored(lowest, "lowest")
     single = edges.join(lowest, ["h1", "h2"]).filter("id > lo").select("id", "th", "start", F.lit(1).alias("n"), F.lit(None).cast("binary").alias("digest"))
     digests = read.filter("kind = 1").select(F.col("id").alias("src"), F.col("th").alias("src_th"), F.col("start").alias("src_start"), "n", "digest").dropDuplicates(["src", "src_th", "src_start", "n"])
     return spans.join(digests, ["src", "src_th", "src_start", "n"]).select("id", "th", "start", "n", "digest").union(single)
