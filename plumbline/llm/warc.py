@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm._io import stored
+
 #: Records per archive file at most; Spark's partition size bounds the bytes.
 RECORDS_PER_FILE = 20_000
 END = "\r\n\r\n"
@@ -57,7 +59,9 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = "2000-01-01T00:00:
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload").cast("binary"))})
     heads = rows.select("id", "url", "bytes", "digest").filter((F.col("bytes") >= min_bytes) & F.col("id").isNotNull())
-    responses = heads.groupBy("digest", "bytes").agg(F.max("id").alias("of"), F.max_by("url", "id").alias("of_url"))
+    responses = heads.groupBy("digest", "bytes").agg(F.max("id").alias("of"), F.max_by("url", "id").alias("of_url"), F.count("*").alias("n"))
+    # Only payloads that repeat; stored, since a join straight on the aggregate's partitions could not split a hot digest.
+    responses = stored(responses.filter("n > 1").drop("n"), "responses")
     revisits = heads.drop("url").join(responses, ["digest", "bytes"]).filter("id < of").select("id", "digest", "of", "of_url").dropDuplicates(["id", "digest"])
     rows = rows.join(revisits, ["id", "digest"], "left")
     revisit = F.col("of").isNotNull()
