@@ -36,5 +36,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         pairs = stored(left, "edges")
         if pairs.isEmpty():
             return root.select("id", F.col("root").alias("component"))
-        hooks = pairs.groupBy("y").agg(F.min("x").alias("to"))
+        hooks = stored(pairs.groupBy("y").agg(F.min("x").alias("to")), "hooks")
         root = stored(root.join(hooks, root.root == hooks.y, "left").select("id", F.coalesce("to", "root").alias("root")), "roots")

@@ -155,6 +155,7 @@ def _sketched(source: DataFrame, k: int) -> DataFrame:
 def _met(keyed: DataFrame, keys: list[str], threshold: float, least: int) -> DataFrame:
     """(id, th, hub, hub_th): each row with the smallest id of its buckets, if both met often enough and their lengths allow the threshold."""
     hubs = keyed.groupBy(*keys).agg(F.min(F.struct("id", "th", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    hubs = stored(hubs, "hubs")  # a join straight on the aggregate's partitions could not split a hot bucket
     met = keyed.join(hubs, keys).filter((F.col("id") != F.col("hub.id")) & (F.least("n", "hub.n") >= F.greatest("n", "hub.n") * F.lit(threshold) - 1e-9))
     met = met.groupBy("id", "th", F.col("hub.id").alias("hub"), F.col("hub.th").alias("hub_th")).agg(F.count("*").alias("times"))
     return met.filter(F.col("times") >= least).drop("times")
@@ -200,7 +201,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, k: int = K, id_col: str = "
     reps = texts.select("same", F.col("id").alias("rep")).join(parts, F.col("rep") == parts["id"], "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     # A row that repeats an id with another text shares the smallest class of that id.
     known = every.select("id", "same").join(reps, "same").groupBy("id").agg(F.min("class_id").alias("class_id"))
-    sizes = every.select("id").join(known, "id").groupBy("class_id").agg(F.count("*").alias("n_class"))
+    known = stored(known, "known")
+    sizes = stored(every.select("id").join(known, "id").groupBy("class_id").agg(F.count("*").alias("n_class")), "sizes")
     known = known.join(sizes, "class_id")
     rows = docs.select(F.col(id_col).alias("id")).join(known, "id", "left")
     return rows.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_class", F.lit(1)).alias("n_class"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
