@@ -42,6 +42,8 @@ PASSAGE = 64
 SIZES = ((24, 32, 8), (48, 64, 16), (64, 96, 32))
 ANSWER = 8
 TOKENS = 120_000
+#: A multiple of PASSAGE.
+SEGMENT = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -78,6 +80,13 @@ def _flat(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndar
         yield batch.column("id").slice(lo, hi - lo), out, begin, begin + own
 
 
+def _segments(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The same ids in stretches of whole passages: memory stays bounded however long a document is."""
+    for _, ids, _, _ in _flat(batch):
+        for lo in range(0, len(ids), SEGMENT):
+            yield ids[lo : lo + SEGMENT]
+
+
 def _term_ids(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -99,7 +108,7 @@ def _idf(texts: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, cf, n = np.zeros(terms, np.int64), np.zeros(terms, np.int64), 0
         for batch in batches:
-            for _, ids, _, _ in _flat(batch):
+            for ids in _segments(batch):
                 at = np.flatnonzero(ids >= 0)
                 passage = at // PASSAGE
                 pairs = np.unique(passage * terms + ids[at])
@@ -129,7 +138,7 @@ def _basis(texts: DataFrame, idf: np.ndarray, share: np.ndarray, rank: int, seed
         weight, projected = held.value
         total = np.zeros((terms, rank), np.float64)
         for batch in batches:
-            for _, ids, _, _ in _flat(batch):
+            for ids in _segments(batch):
                 at = np.flatnonzero(ids >= 0)
                 if not len(at):
                     continue
@@ -195,7 +204,7 @@ def _search(texts: DataFrame, items: list[tuple], pieces: list[Piece], place: np
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_ids, ids, begin, end in _flat(batch):
-                blocks = place[ids].reshape(-1, 8, place.shape[1]).sum(1)
+                blocks = np.concatenate([place[ids[lo : lo + SEGMENT]].reshape(-1, 8, place.shape[1]).sum(1) for lo in range(0, len(ids), SEGMENT)])
                 sums = np.concatenate([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
                 found: dict[tuple[int, int], list] = {}
                 for own, words, stride, q in by_size:
