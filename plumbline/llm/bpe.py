@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from plumbline.llm._io import chunks
 
 #: Words whose encodings a worker remembers; past that it starts anew (no result depends on it).
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
+#: Pairs of tokens that it remembers to go together or not.
+MEMO_PAIRS = 600_000
 NEVER = (1 << 60, 0)
 #: White space as the pre-tokenizer's own regular expressions know it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -69,7 +71,7 @@ class TrieBpe:
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.whole: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.memo: dict[str, tuple[str, int, bytes, bytes]] = {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -88,10 +90,11 @@ class TrieBpe:
         return known
 
     def may_follow(self, left: int, right: int) -> bool:
-        if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > 1_000_000:
+        key = left << 32 | right
+        if (known := self.pairs.get(key)) is None:
+            if len(self.pairs) > MEMO_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self.pairs[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
@@ -176,6 +179,7 @@ def encode_and_decode(docs: DataFrame, path: str | None = None, id_col: str = "d
                 ids = pa.Array.from_buffers(pa.int32(), sum(columns[0]), [None, pa.py_buffer(b"".join(columns[3]))])
                 arrays += [pa.ListArray.from_arrays(offsets, ids), pa.array(columns[4], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(arrays) + 1])
+        bpe.memo = {}  # the worker lives on, and later stages need the memory
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._io import chunks, stored
 from plumbline.llm.graph import components
-from plumbline.llm.substring import M_KMER, _mixed, _stretches, hashed, words
+from plumbline.llm.substring import M_KMER, _mixed, _stretches, forget, hashed, words
 
 K = 5
 #: Sketches of a text, and how many of them a pair has to meet by.
@@ -147,6 +147,7 @@ def _sketched(source: DataFrame, k: int) -> DataFrame:
             same = [hashlib.blake2b(b" ".join(t), digest_size=16).digest() for t in texts]
             columns = [pa.array(same, pa.binary()), pa.array([len(t) for t in texts], pa.int32()), pa.array(sketch_keys(texts, k), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *columns], ["id", "th", "same", "n", "keys"])
+        forget()
 
     kind = source.schema["id"].dataType.simpleString()
     return source.filter("id IS NOT NULL").mapInArrow(run, f"id {kind}, th int, same binary, n int, keys array<long>")

@@ -40,8 +40,8 @@ from plumbline.llm._io import chunks, stored
 
 #: Odd multipliers of the polynomial hashes (modulo 2**64): k-mers, runs, edges twice.
 M_KMER, M_RUN, M_EDGE, M_EDGE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-#: Words whose hashes a worker remembers (no result depends on it).
-MEMO_WORDS = 1_000_000
+#: Words whose hashes a worker remembers within a task (no result depends on it).
+MEMO_WORDS = 200_000
 
 
 class _WordHash(dict):
@@ -56,6 +56,12 @@ _hash = _WordHash()
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def forget() -> None:
+    """Gives back what a task has remembered: workers live on, and later stages need the memory."""
+    _hash.clear()
+    _powers.clear()
+
+
 def words(text: bytes | None) -> list[bytes]:
     """The text's words: runs without space, tab, newline, \\v, \\f or \\r (bytes.split() cuts at exactly those)."""
     return (text or b"").split()
@@ -122,6 +128,7 @@ def _runs(docs: DataFrame, window: int, k: int) -> DataFrame:
                 [batch.column("id").take(take), batch.column("th").take(take), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(anchor, pa.int64()), pa.array(seg, pa.int64())],
                 ["id", "th", "start", "n", "anchor", "seg"],
             )
+        forget()
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.filter("id IS NOT NULL").mapInArrow(run, f"id {kind}, th int, start int, n int, anchor long, seg long")
@@ -150,6 +157,7 @@ def _read_again(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
                             col.append(value)
             kinds = [pa.int32(), batch.schema.field("id").type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["kind", "id", "th", "start", "n", "h1", "h2", "digest"])
+        forget()
 
     # One row asks for at most the spans that start within 4096 words, so no row grows with a source's popularity alone.
     by_text = asked.withColumn("part", F.floor(F.col("start") / 4096)).groupBy("id", "th", "part").agg(F.collect_set(F.struct("kind", "start", "n")).alias("asks"))
