@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, latent, licenses, metric_join, order_minhash, pii, quality, shards, substring, warc
+from plumbline.llm import bpe, latent, licenses, metric_join, order_minhash, pii, quality, shards, sql, substring, warc
 from plumbline.llm._io import shared_dir, table
 
 
@@ -59,4 +59,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express; the others are tested against brute force, the library they follow or held-out labels."""
+    return {"op1_substring_dedup": sql.OP1, "op3_warc_revisits": sql.OP3, "op5_metric_range_join": sql.OP5, "op9_license_templates": sql.op9()}
