@@ -47,12 +47,13 @@ LOOKALIKES |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 
 _DIGIT = "|".join(SPELLED)
 _ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + "]")
-_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:{_DIGIT}|[0-9])(?:[\x20,.-]{{1,2}}(?:{_DIGIT}|[0-9])){{5,}}(?![A-Za-z0-9])", re.I)
+_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\x20-])?(?:{_DIGIT}|[0-9]{{1,4}})(?:[\x20,.-]{{1,2}}(?:{_DIGIT}|[0-9]{{1,4}})){{5,}}(?![A-Za-z0-9])", re.I)
 _SPELLED_ONE = re.compile(rf"{_DIGIT}", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = rf"(?:\s?{_OPEN}\s?(?:at|@)\s?{_CLOSE}\s?|\s(?:at|@)\s|@)"
 _DOT = rf"(?:\s?{_OPEN}\s?(?:dot|\.)\s?{_CLOSE}\s?|\sdot\s|\.)"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,4}}?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+(?![A-Za-z0-9-])", re.I)
+_DOTTED = re.compile(rf"(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![A-Za-z0-9])", re.I)
 _AT_ONE, _DOT_ONE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
 _HINT = re.compile(rf"\sdot\s|{_OPEN}\s?(?:dot|at|\.|@)\s?{_CLOSE}", re.I)
 _HINT_DIGITS = re.compile(rf"(?:{_DIGIT})[\x20,.-]{{1,2}}(?:{_DIGIT}|[0-9])(?![A-Za-z])", re.I)
@@ -128,13 +129,13 @@ def _spelled_digits(r: Rewrite) -> None:
         if not _SPELLED_ONE.search(run[0]):
             continue
         done = None
-        for m in re.finditer(rf"{_DIGIT}|[0-9]|[^A-Za-z0-9]+", run[0], re.I):
+        for m in re.finditer(rf"plus|{_DIGIT}|[0-9]+|[^A-Za-z0-9]+", run[0], re.I):
             start, end = m.start() + run.start(), m.end() + run.start()
             if not m[0][0].isalnum():
                 if done is not None and "." not in m[0]:
                     changes.append((start, end, ""))
                 continue
-            changes.append((start, end, SPELLED.get(m[0].lower(), m[0])))
+            changes.append((start, end, "+" if m[0].lower() == "plus" else SPELLED.get(m[0].lower(), m[0])))
             done = end
     r.put(changes)
 
@@ -146,6 +147,7 @@ def _disguises(r: Rewrite) -> None:
         signs = [(at.start(), at.end(), "@")] + [(m.start(), m.end(), ".") for part in ((0, at.start()), (at.end(), len(run[0]))) for m in _DOT_ONE.finditer(run[0], *part)]
         changes += [(run.start() + a, run.start() + b, new) for a, b, new in sorted(signs)]
     r.put(changes)
+    r.put([(run.start() + m.start(), run.start() + m.end(), ".") for run in _DOTTED.finditer(r.text) for m in _DOT_ONE.finditer(run[0])])
 
 
 def hidden_spans(text: str) -> list[tuple[str, int, int]]:

@@ -28,6 +28,8 @@ def test_base_patterns(text):
         ("x [at] y [dot] org", "email", "x [at] y [dot] org"),
         ("see раypal@ехample.com.", "email", "раypal@ехample.com"),
         ("ＡＢ＠ｅｘ．ｃｏｍ", "email", "ＡＢ＠ｅｘ．ｃｏｍ"),
+        ("call plus one five five five zero one zero nine nine nine nine now", "phone", "plus one five five five zero one zero nine nine nine nine"),
+        ("host 192 dot 168 [dot] 1 dot 20 up", "ip", "192 dot 168 [dot] 1 dot 20"),
         ("card four five three nine one four eight eight zero three four three six four six seven ok", "card", "four five three nine one four eight eight zero three four three six four six seven"),
     ],
 )
