@@ -24,12 +24,12 @@ def screened_findings(spark, d):
 
 @query(f"""WITH g AS ({STATS.format(obs=OBS_B)}), r AS (SELECT source AS path, min(mean) + 20000 AS a, max(mean) + 20000 AS b FROM g GROUP BY source HAVING count(*) >= 2),
   p AS (SELECT r.path, least(abs(a - x.mean) + abs(b - y.mean), abs(a - y.mean) + abs(b - x.mean)) AS gap, greatest(abs(a), abs(b)) AS size FROM r JOIN g x ON x.source = r.path JOIN g y ON y.source = r.path AND x.group_key < y.group_key)
-  SELECT path, path AS source, round(min(gap), 2) AS mean_error FROM p GROUP BY path HAVING min(gap) >= 1 AND min(gap) > greatest(0.15, 0.1 * any_value(size))""")
+  SELECT path, path AS source, round(min(gap) + 1e-6, 2) AS mean_error FROM p GROUP BY path HAVING min(gap) >= 1 AND min(gap) > greatest(0.15, 0.1 * any_value(size))""")
 def unmatched_residues(spark, d):
     """Each nation's smallest and largest segment mean, 20,000 too high, as a residue."""
     s = vectors.group_stats(balances(spark, d)).withColumn("folder", F.col("source"))
     r = s.groupBy("folder").agg(F.col("folder").alias("path"), (F.min("mean") + 20000).alias("mean_a"), (F.max("mean") + 20000).alias("mean_b"), F.count("*").alias("k")).filter("k >= 2").drop("k")
-    return matching.unmatched_residues(r, s).withColumn("mean_error", F.round("mean_error", 2))
+    return matching.unmatched_residues(r, s).withColumn("mean_error", F.round(F.col("mean_error") + 1e-6, 2))
 
 
 @query("""WITH p AS (SELECT p_brand AS folder, p_brand || '/' || p_type AS plot, list_sort(list(CAST(p_size AS DOUBLE))) AS v FROM part GROUP BY ALL)
