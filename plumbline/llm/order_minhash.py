@@ -4,14 +4,14 @@ A sketch takes, under one seed, the two smallest of a text's occurrence-labelled
 word k-mers and keeps them in the order in which they stand in the text, so two
 texts share it about as often as their alignment keeps k-mers. Texts with a
 common sketch form a bucket; each meets the bucket's smallest id, a number of
-pairs linear in the bucket. Pairs that met at least twice are candidates, and
-one counts if the texts' edit similarity in words, 1 - distance / longer length,
+pairs linear in the bucket. Short texts, whose few k-mers sketches may miss, also
+meet by each of their k-mers. Pairs that met are candidates, and one counts if the texts' edit similarity in words, 1 - distance / longer length,
 reaches the threshold by a banded alignment. Texts whose candidates all failed
 meet once more, in buckets under two sketches together. Classes are the
 connected components of the pairs that count.
 
-Texts with the same words are one text from the start. Texts with fewer words
-than a k-mer, null ones among them (no words), have equal texts only as
+Texts with the same words are one text from the start. Texts with fewer than
+`SHORTEST` words, null ones among them (no words), have equal texts only as
 duplicates. Rows with a null id are classes of their own. Rows that repeat an id
 share its class. An empty table gives an empty result. Minima aggregate map-side
 and joins split hot keys, so a bucket may hold any share of the rows. Columns
@@ -32,9 +32,13 @@ from plumbline.llm._io import chunks, stored
 from plumbline.llm.graph import components
 from plumbline.llm.substring import M_KMER, _mixed, _stretches, forget, hashed, words
 
-K = 5
-#: Sketches of a text, and how many of them a pair has to meet by.
-KEYS, LEAST = 32, 2
+K = 3
+#: Sketches of a text; one that two texts share makes a candidate.
+KEYS = 64
+#: Texts with fewer words have only equal ones as duplicates.
+SHORTEST = 5
+#: Texts of at most so many words also meet by each k-mer, and those of at most `ONE_EDIT`, which 0.8 lets differ in one word, without each of their words.
+SHORT, ONE_EDIT = 64, 9
 SEEDS = np.random.default_rng(5).integers(1, 1 << 62, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -50,10 +54,10 @@ def _occurrences(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def sketch_keys(texts: list[list[bytes]], k: int = K) -> list[list[int]]:
-    """The keys of every text; none for texts with fewer than k words."""
+    """The keys of every text; none for texts with fewer than k or `SHORTEST` words."""
     lens = np.array([len(t) for t in texts], np.int64)
     a = hashed(texts)
-    n_kmers = np.maximum(lens - k + 1, 0)
+    n_kmers = np.where(lens < max(k, SHORTEST), 0, lens - k + 1)
     have = np.flatnonzero(n_kmers)
     out: list[list[int]] = [[] for _ in texts]
     if not len(have):
@@ -78,11 +82,22 @@ def sketch_keys(texts: list[list[bytes]], k: int = K) -> list[list[int]]:
             h[first] = top
         one, two = np.minimum(*picked), np.maximum(*picked)
         keys[:, s] = _mixed(kmer[one] * np.uint64(3) + _mixed(kmer[two] + np.uint64(s)))
-    for i, row in zip(have.tolist(), keys.view(np.int64).tolist(), strict=True):
-        out[i] = row
+    alone = _mixed(kmer + np.uint64(KEYS)).view(np.int64)
+    for i, row, lo, own in zip(have.tolist(), keys.view(np.int64).tolist(), begin.tolist(), n.tolist(), strict=True):
+        if lens[i] <= SHORT:
+            row += alone[lo : lo + own].tolist()
+        if lens[i] <= ONE_EDIT:
+            row += _without_one(texts[i])
+        out[i] = list(dict.fromkeys(row))
     return out
 
 
+def _without_one(text: list[bytes]) -> list[int]:
+    """Keys that two texts share if one edit makes them equal: of the text, and of it without each word."""
+    left = [text, *(text[:i] + text[i + 1 :] for i in range(len(text)))]
+    return [int.from_bytes(hashlib.blake2b(b" ".join(t), digest_size=8).digest(), "little", signed=True) for t in left]
+
+
 def banded_distance(a: list, b: list, most: int) -> int | None:
     """Edit distance of two sequences, or None if it exceeds `most`.
 
@@ -187,8 +202,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, k: int = K, id_col: str = "
     every = stored(_sketched(source, k), "sketches")
     texts = every.groupBy("same").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = stored(texts.select("same", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "n", "keys"), "texts")
-    keyed = texts.select("id", "th", "n", F.posexplode("keys").alias("j", "key"))
-    first = stored(_verified(_met(keyed, ["j", "key"], threshold, LEAST), source, threshold), "pairs")
+    keyed = texts.select("id", "th", "n", F.explode("keys").alias("key"))
+    first = stored(_verified(_met(keyed, ["key"], threshold, 1), source, threshold), "pairs")
     # Texts that met only others than their like: those whose every pair failed meet again under two keys together.
     linked = first.filter("similarity > 0").select("id", "th").distinct()
     failed = first.filter("similarity = 0").select("id", "th").distinct().join(linked, ["id", "th"], "left_anti")

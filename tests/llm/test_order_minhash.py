@@ -64,3 +64,33 @@ def test_odd_rows(make_docs, prose):
     kept = order_minhash.keep_one(make_docs(rows)).collect()
     assert sorted([r["doc_id"] for r in kept], key=str) == [2, 7, None, None]
     assert order_minhash.classes(make_docs([])).collect() == []
+
+
+def edited(r, text, n):
+    """The text after n edits of single words at different places: changed, or, at every fourth, lost or put in."""
+    out = list(text)
+    for c, at in enumerate(sorted(r.sample(range(len(out)), n), reverse=True)):
+        kind = r.randrange(8)
+        if kind == 0:
+            del out[at]
+        elif kind == 1:
+            out.insert(at, b"in%d" % c)
+        else:
+            out[at] = b"new%d" % c
+    return out
+
+
+def test_recall_of_keys():
+    """Pairs at every step from 0.80 on share a key."""
+    r = random.Random(8)
+    for n in (5, 7, 9, 10, 12, 14, 20, 40, 65, 100, 300):
+        for percent in (80, 82, 85, 88, 90):
+            pairs = []
+            while len(pairs) < 60:
+                a = [b"w%d" % r.randrange(5000) for _ in range(n)]
+                b = edited(r, a, max(1, n * (100 - percent) // 100))
+                if order_minhash.similar(a, b, 0.8) and len(b) >= 5:
+                    pairs.append((a, b))
+            keys = order_minhash.sketch_keys([t for p in pairs for t in p])
+            met = sum(not set(x).isdisjoint(y) for x, y in zip(keys[::2], keys[1::2], strict=True))
+            assert met >= (60 if n <= 40 else 59), (n, percent, met)
