@@ -3,11 +3,12 @@
 A sketch takes, under one seed, the two smallest of a text's occurrence-labelled
 word k-mers and keeps them in the order in which they stand in the text, so two
 texts share it about as often as their alignment keeps k-mers. Texts with a
-common sketch form a bucket; each meets the bucket's smallest id, a number of
-pairs linear in the bucket. Short texts, whose few k-mers sketches may miss, also
+common sketch form a bucket; each meets the bucket's smallest id among those of
+about its length, a number of pairs linear in the bucket. Short texts, whose few k-mers sketches may miss, also
 meet by each of their k-mers. Pairs that met are candidates, and one counts if the texts' edit similarity in words, 1 - distance / longer length,
-reaches the threshold by a banded alignment. Texts whose candidates all failed
-meet once more, in buckets under two sketches together. Classes are the
+reaches the threshold by a banded alignment. Texts that failed against a hub,
+linked elsewhere or not, get a hub from among themselves in that bucket, up to
+`ROUNDS` times. Classes are the
 connected components of the pairs that count.
 
 Texts with the same words are one text from the start. Texts with fewer than
@@ -21,6 +22,7 @@ other than id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,9 @@ KEYS = 64
 SHORTEST = 5
 #: Texts of at most so many words also meet by each k-mer, and those of at most `ONE_EDIT`, which 0.8 lets differ in one word, without each of their words.
 SHORT, ONE_EDIT = 64, 9
+#: How often texts seek a hub of their like in a bucket.
+ROUNDS = 4
+PAIR = ["id", "th", "hub", "hub_th"]
 SEEDS = np.random.default_rng(5).integers(1, 1 << 62, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -168,13 +173,42 @@ def _sketched(source: DataFrame, k: int) -> DataFrame:
     return source.filter("id IS NOT NULL").mapInArrow(run, f"id {kind}, th int, same binary, n int, keys array<long>")
 
 
-def _met(keyed: DataFrame, keys: list[str], threshold: float, least: int) -> DataFrame:
-    """(id, th, hub, hub_th): each row with the smallest id of its buckets, if both met often enough and their lengths allow the threshold."""
-    hubs = keyed.groupBy(*keys).agg(F.min(F.struct("id", "th", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    hubs = stored(hubs, "hubs")  # a join straight on the aggregate's partitions could not split a hot bucket
-    met = keyed.join(hubs, keys).filter((F.col("id") != F.col("hub.id")) & (F.least("n", "hub.n") >= F.greatest("n", "hub.n") * F.lit(threshold) - 1e-9))
-    met = met.groupBy("id", "th", F.col("hub.id").alias("hub"), F.col("hub.th").alias("hub_th")).agg(F.count("*").alias("times"))
-    return met.filter(F.col("times") >= least).drop("times")
+def _met(rows: DataFrame, seekers: DataFrame, threshold: float, mixed: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, th, key, hub, hub_th) of each row with its buckets' hubs whose lengths allow the threshold, and the hubs.
+
+    A bucket has a hub for each band of lengths, the smallest id of its seekers there, or, if mixed, another one in each bucket; a row meets those of its own band and the next ones.
+    """
+    first = [F.xxhash64("id", "th", "key").alias("h")] if mixed else []
+    hubs = stored(seekers.groupBy("key", "band").agg(F.min(F.struct(*first, "id", "th", "n")).alias("hub")), "hubs")  # a join straight on the aggregate's partitions could not split a hot bucket
+    near = hubs.select("key", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"), "hub")
+    allowed = F.least("n", "hub.n") >= F.greatest("n", "hub.n") * F.lit(threshold) - 1e-9
+    met = rows.join(near, ["key", "band"]).filter((F.struct("id", "th") != F.struct("hub.id", "hub.th")) & allowed)
+    return met.select("id", "th", "key", F.col("hub.id").alias("hub"), F.col("hub.th").alias("hub_th")), hubs.select("hub.id", "hub.th", "key")
+
+
+def _links(texts: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
+    """(id, th, hub, hub_th) of the pairs that count.
+
+    Texts whose pair with a hub failed seek one of their like in the same bucket: in the next round one of them is the hub that all texts of the bucket meet.
+    """
+    width = -math.log(min(0.99, max(0.01, threshold)))
+    keyed = texts.select("id", "th", "n", F.floor(F.log("n") / width).cast("int").alias("band"), F.explode("keys").alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "shared")
+    rows = stored(keyed.join(shared, "key"), "buckets")
+    seekers, done = rows, None
+    for i in range(ROUNDS):
+        met, hubs = _met(rows, seekers, threshold, i > 0)
+        met = stored(met, "met")
+        pairs = met.drop("key").distinct()
+        if done is not None:
+            pairs = pairs.join(done, PAIR, "left_anti")
+        new = stored(_verified(stored(pairs, "candidates"), source, threshold), "pairs")
+        done = new if done is None else done.union(new)
+        failed = met.join(done.filter("similarity = 0"), PAIR).select("id", "th", "key").distinct()
+        seekers = stored(seekers.join(failed, ["id", "th", "key"], "left_semi").join(hubs, ["id", "th", "key"], "left_anti"), "seekers")
+        if seekers.isEmpty():
+            break
+    return done.filter("similarity > 0").select(*PAIR)
 
 
 def _verified(pairs: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
@@ -202,17 +236,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, k: int = K, id_col: str = "
     every = stored(_sketched(source, k), "sketches")
     texts = every.groupBy("same").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = stored(texts.select("same", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "n", "keys"), "texts")
-    keyed = texts.select("id", "th", "n", F.explode("keys").alias("key"))
-    first = stored(_verified(_met(keyed, ["key"], threshold, 1), source, threshold), "pairs")
-    # Texts that met only others than their like: those whose every pair failed meet again under two keys together.
-    linked = first.filter("similarity > 0").select("id", "th").distinct()
-    failed = first.filter("similarity = 0").select("id", "th").distinct().join(linked, ["id", "th"], "left_anti")
-    again = texts.join(failed, ["id", "th"]).select("id", "th", "n", F.posexplode("keys").alias("j", "key"), "keys")
-    again = again.select("id", "th", "n", "j", "key", F.explode(F.array(*(F.col("j") + i for i in (1, 2, 3)))).alias("i"), "keys")
-    again = again.withColumn("more", F.col("keys")[F.pmod(F.col("i"), F.lit(KEYS)).cast("int")]).drop("keys")
-    pairs = _met(again, ["j", "key", "i", "more"], threshold, 1).join(first.select("id", "th", "hub", "hub_th"), ["id", "th", "hub", "hub_th"], "left_anti")
-    second = _verified(stored(pairs, "again"), source, threshold)
-    edges = first.filter("similarity > 0").union(second.filter("similarity > 0")).select("id", "hub")
+    edges = _links(texts, source, threshold).select("id", "hub")
     parts = components(edges, "id", "hub")
     reps = texts.select("same", F.col("id").alias("rep")).join(parts, F.col("rep") == parts["id"], "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     # A row that repeats an id with another text shares the smallest class of that id.

@@ -94,3 +94,19 @@ def test_recall_of_keys():
             keys = order_minhash.sketch_keys([t for p in pairs for t in p])
             met = sum(not set(x).isdisjoint(y) for x, y in zip(keys[::2], keys[1::2], strict=True))
             assert met >= (60 if n <= 40 else 59), (n, percent, met)
+
+
+def test_many_copies_and_crowded_buckets(make_docs):
+    """A thousand edited copies of one lost original, and pairs whose buckets' smallest ids are of other classes or lengths."""
+    r = random.Random(4)
+    fresh = lambda n: [b"w%d" % r.randrange(9000) for _ in range(n)]
+    original = fresh(200)
+    copies = [edited(r, original, 14) for _ in range(1000)]
+    assert all(order_minhash.similar(copies[0], c, 0.8) for c in copies)
+    rows = [(5000 + i, t) for i, t in enumerate(copies)]
+    common = fresh(12)
+    pairs = [(100 + i, common + fresh(8)) for i in range(12)]  # all they share with their like stands in each of them
+    rows += [(1, common), (2, common + fresh(60)), *pairs] + [(i + 1000, [b"new%d" % j if j in (13, 15, 17, 19) else w for j, w in enumerate(t)]) for i, t in pairs]
+    out = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(make_docs([(i, b" ".join(t).decode()) for i, t in rows])).collect()}
+    assert {out[i] for i in range(5000, 6000)} == {5000}
+    assert all(out[i + 1000] == out[i] for i, _ in pairs)
