@@ -55,7 +55,14 @@ _DOT = rf"(?:\s?{_OPEN}\s?(?:dot|\.)\s?{_CLOSE}\s?|\sdot\s|\.)"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,4}}?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+(?![A-Za-z0-9-])", re.I)
 _DOTTED = re.compile(rf"(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![A-Za-z0-9])", re.I)
 _AT_ONE, _DOT_ONE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
-_HINT = re.compile(rf"\sdot\s|{_OPEN}\s?(?:dot|at|\.|@)\s?{_CLOSE}", re.I)
+#: What each step needs somewhere: a disguised dot; a disguised at before a domain; a plain dot at a spelled digit.
+_DOT_HINT = re.compile(rf"\sdot\s|{_OPEN}\s?(?:dot|\.)\s?{_CLOSE}", re.I)
+_AT_HINT = re.compile(rf"(?:{_OPEN}\s?(?:at|@)\s?{_CLOSE}\s?|\s(?:at|@)\s)[A-Za-z0-9-]+{_DOT}[A-Za-z0-9-]", re.I)
+_SPELLED_DOT = re.compile(rf"\.(?:(?:{_DIGIT})|(?=[0-9])(?:{'|'.join(rf'(?<={d}[.])' for d in SPELLED)}))", re.I)
+#: Four numbers up to three spelled or plain digits each, with dots or "dot" between.
+_NUMBER = rf"(?:[0-9]{{1,3}}|(?:{_DIGIT}|[0-9])(?:[\x20-](?:{_DIGIT}|[0-9])){{0,2}})"
+_SPELLED_IP = re.compile(rf"(?<![A-Za-z0-9.]){_NUMBER}(?:{_DOT}{_NUMBER}){{3}}(?![A-Za-z0-9])", re.I)
+_SPELLED_IP_ONE = re.compile(rf"(?P<dot>{_DOT})|{_DIGIT}|[0-9]+|[\x20-]", re.I)
 _HINT_DIGITS = re.compile(rf"(?:{_DIGIT})[\x20,.-]{{1,2}}(?:{_DIGIT}|[0-9])(?![A-Za-z])", re.I)
 
 
@@ -140,6 +147,17 @@ def _spelled_digits(r: Rewrite) -> None:
     r.put(changes)
 
 
+def _spelled_ips(r: Rewrite) -> None:
+    changes = []
+    for run in _SPELLED_IP.finditer(r.text):
+        if not _SPELLED_ONE.search(run[0]):
+            continue
+        for m in _SPELLED_IP_ONE.finditer(run[0]):
+            new = "." if m["dot"] else SPELLED.get(m[0].lower(), m[0] if m[0].isdigit() else "")
+            changes.append((run.start() + m.start(), run.start() + m.end(), new))
+    r.put(changes)
+
+
 def _disguises(r: Rewrite) -> None:
     changes = []
     for run in _DISGUISED.finditer(r.text):
@@ -155,9 +173,11 @@ def hidden_spans(text: str) -> list[tuple[str, int, int]]:
     r = Rewrite(text)
     if not text.isascii() and _ODD.search(text):
         _homoglyphs(r)
+    if _DOT_HINT.search(r.text) or _SPELLED_DOT.search(r.text):
+        _spelled_ips(r)
     if _HINT_DIGITS.search(r.text):
         _spelled_digits(r)
-    if _HINT.search(r.text):
+    if _DOT_HINT.search(r.text) or _AT_HINT.search(r.text):
         _disguises(r)
     return [] if r.at is None else [(kind, *r.span(start, end)) for kind, start, end in base_spans(r.text)]
 

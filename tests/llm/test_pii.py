@@ -57,3 +57,18 @@ def test_operator(make_docs):
     docs = make_docs(rows)
     clean = pii.redact(docs)
     assert clean.columns == docs.columns and clean.filter("doc_id = 1").first()["text"] == "é [EMAIL] [IP] 256.1.1.1, [CARD], [PHONE]"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "hidden"),
+    [
+        ("mail jane at example.com now", "email", "jane at example.com"),
+        ("jane @ example.com", "email", "jane @ example.com"),
+        ("host one nine two dot one six eight dot one dot two zero up", "ip", "one nine two dot one six eight dot one dot two zero"),
+        ("host 10.one.0.seven up", "ip", "10.one.0.seven"),
+    ],
+)
+def test_disguises_by_their_own_surroundings(text, kind, hidden):
+    for whole in (text, f"{text}, a dot b"):
+        base, every = pii.all_spans(whole)
+        assert base == [] and [(k, whole[a:b]) for k, a, b in every] == [(kind, hidden)]
