@@ -46,13 +46,14 @@ def title_overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.least(F.size(x), F.size(y)).cast("double")), F.lit(0.0))
 
 
-def redacted(s: Column, most: int = 12000) -> Column:
-    """Without web addresses, DOIs, e-mail addresses and long id tokens; runs of line breaks squeezed; cut to `most` characters."""
+def redacted(s: Column, most: int | None = None) -> Column:
+    """Without web addresses, DOIs, e-mail addresses and long id tokens; runs of line breaks squeezed; cut to `most` characters if given."""
     t = F.regexp_replace(s, r"https?://[^ \n\t]+", "[URL]")
     t = F.regexp_replace(t, r"10\.[0-9]{4,9}/[^ \n\t]+", "[DOI]")
     t = F.regexp_replace(t, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
     t = F.regexp_replace(t, r"[0-9]{8,}", "[ID]")
-    return F.substring(F.regexp_replace(t, r"\n{3,}", "\n\n"), 1, most)
+    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    return t if most is None else F.substring(t, 1, most)
 
 
 def safe_title(s: Column) -> Column:

@@ -141,6 +141,14 @@ def title_overlaps(spark, d):
 @query("""WITH t AS (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \\n\\t]+', '[URL]', 'g'), '10\\.[0-9]{4,9}/[^ \\n\\t]+', '[DOI]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{8,}', '[ID]', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), 1, 12000) AS r FROM documents)
   SELECT doc_id, CAST(length(r) AS BIGINT) AS n, sha256(r) AS sha FROM t""")
 def redacted(spark, d):
+    """The first 12,000 characters, as its SQL says; redacted_whole has the whole texts."""
+    t = table(spark, d, "documents").select("doc_id", text.redacted(F.col("text"), 12000).alias("r"))
+    return t.select("doc_id", F.length("r").cast("long").alias("n"), F.sha2("r", 256).alias("sha"))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \\n\\t]+', '[URL]', 'g'), '10\\.[0-9]{4,9}/[^ \\n\\t]+', '[DOI]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{8,}', '[ID]', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS r FROM documents)
+  SELECT doc_id, CAST(length(r) AS BIGINT) AS n, sha256(r) AS sha FROM t""")
+def redacted_whole(spark, d):
     t = table(spark, d, "documents").select("doc_id", text.redacted(F.col("text")).alias("r"))
     return t.select("doc_id", F.length("r").cast("long").alias("n"), F.sha2("r", 256).alias("sha"))
 

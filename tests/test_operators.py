@@ -122,3 +122,9 @@ def test_numbers(spark, s, want):
     from plumbline.sources.grids import number
 
     assert spark.createDataFrame([(s,)], "s string").select(text.parse_number(F.col("s"))).first()[0] == want == number(s)
+
+
+def test_redacted_keeps_whole_texts(spark):
+    long = "word " * 5000 + "a@b.org"
+    row = spark.createDataFrame([(long,)], "t string").select(text.redacted(F.col("t")).alias("whole"), text.redacted(F.col("t"), 10).alias("cut")).first()
+    assert row["whole"] == long[:25000] + "[EMAIL]" and row["cut"] == long[:10]
