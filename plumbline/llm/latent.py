@@ -13,7 +13,8 @@ answer) is there too.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased.
 Null texts count as empty. Items with fewer than `SHORTEST` words are not
-searched for; longer ones than 64 words are searched in pieces. Repeated items
+searched for; longer ones than 64 words are searched in pieces, and where one is
+found the whole item is compared with the text around it. Repeated items
 give repeated pairs, repeated rows as well. An empty table on either side gives
 no pairs. Other columns are not read. Items are taken in blocks of bounded size,
 so only bounded data is broadcast.
@@ -226,14 +227,20 @@ def _search(texts: DataFrame, items: list[tuple], pieces: list[Piece], place: np
                                 region = ids[max(int(begin[doc]), x - stride) : min(int(end[doc]), x + words + stride)].tolist()
                                 n = lcs(list(pieces[j].ids), region)
                                 if n >= least[j]:
-                                    best = found.setdefault((doc, pieces[j].item), [{}, x - int(begin[doc])])
-                                    tail = pieces[j].ids[-ANSWER:]
-                                    old = best[0].get(j, (0, 0))
-                                    best[0][j] = max(old[0], n), max(old[1], lcs(list(tail), region) / len(tail))
-                for (doc, item), (by_piece, at) in sorted(found.items()):
-                    item_id, n_words, n_pieces, last = items[item]
-                    share = sum(n for n, _ in by_piece.values()) / n_words
-                    answer = by_piece.get(last, (0, 0.0))[1]
+                                    p, whole = pieces[j], items[pieces[j].item][1]
+                                    best = found.setdefault((doc, p.item), [{}, 0, 0.0, x - int(begin[doc])])
+                                    best[0][j] = max(best[0].get(j, 0), n)
+                                    if len(p.ids) < len(whole):
+                                        # The piece may stand anywhere in the window; the item's other words lie before and after, up to a quarter more.
+                                        before, after = (k + k // 4 for k in (p.at, len(whole) - p.at - len(p.ids)))
+                                        lo_word, hi_word = x - stride - before, x + words + stride + after
+                                        region = ids[max(int(begin[doc]), lo_word) : min(int(end[doc]), hi_word)].tolist()
+                                        n = lcs(whole, region)
+                                    answer = lcs(whole[-ANSWER:], region) / len(whole[-ANSWER:])
+                                    best[1], best[2] = max(best[1], n), max(best[2], answer)
+                for (doc, item), (by_piece, n, answer, at) in sorted(found.items()):
+                    item_id, whole = items[item]
+                    share = max(n, sum(by_piece.values())) / len(whole)  # pieces may also stand far apart
                     if share >= accept or share >= paraphrase and answer >= 0.999:
                         for col, value in zip(out, (doc, item_id, min(1.0, share), answer >= 0.999, at), strict=True):
                             col.append(value)
@@ -264,7 +271,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, ac
             n = -(-len(ids) // SIZES[-1][0])
             cuts = [len(ids) * i // n for i in range(n + 1)]
             pieces += [Piece(len(known), lo, tuple(ids[lo:hi])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-            known.append((r["item"], len(ids), n, len(pieces) - 1))
+            known.append((r["item"], ids))
         if not known:
             continue
         texts = stored(_term_ids(source, vocabulary), "terms")

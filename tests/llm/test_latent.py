@@ -44,3 +44,16 @@ def test_empty_tables(spark, make_docs):
     bench = spark.createDataFrame([(1, "a b c d e f g h", "", "")], BENCH)
     assert latent.contaminated(make_docs([]), bench).collect() == []
     assert latent.contaminated(make_docs([(1, "a b c d e f g h")]), bench.limit(0)).collect() == []
+
+
+def test_long_item_counts_as_a_whole(spark, make_docs, prose):
+    """Of 100 words the first 50 stand whole, and 31 of the last 50: 0.81 of the item; or the other way round."""
+    words = prose(1, 100, 5000).split()
+    lost = random.Random(2).sample(range(50), 19)
+    last = [f"x{i}" if i - 50 in lost else w for i, w in enumerate(words)]
+    first = [f"x{i}" if i in lost else w for i, w in enumerate(words)]
+    rows = [(i, prose(i + 10, 300, 5000)) for i in range(40)]
+    rows += [(100 + i, f"{prose(60 + i, 90, 5000)} {' '.join(t)} {prose(70 + i, 90, 5000)}") for i, t in enumerate((last, first))]
+    bench = spark.createDataFrame([(1, " ".join(words), "", "")], BENCH)
+    got = {r["doc_id"]: r["lcs_share"] for r in latent.contaminated(make_docs(rows), bench).collect()}
+    assert set(got) == {100, 101} and all(0.81 <= v < 0.9 for v in got.values())
