@@ -1,30 +1,37 @@
 """Training-order materialisation of token sequences in fixed-stride shards.
 
 Every document becomes sequences of `length` token ids (its tokens and an end
-token, cut up; the last one padded). A sequence's number in input order goes
-through a keyed Feistel permutation - balanced halves, walked on until the value
-lies below the number of sequences - and comes out as its slot in training
-order. Slots are dealt to shards by range, sorted, and written by Spark's text
-writer as records of equal size ("lines" of `stride` bytes), so slot s stands at
-byte (s mod per_shard) * stride of shard s div per_shard and a reader can resume
-anywhere without an index.
-
-Numbering needs two reads of the input: one counts sequences per input
-partition, the other numbers them from the sums before. Both must see the same
-rows in the same partitions, as file scans do; a checksum of each partition's
-ids and counts is compared and a difference stops the job (give such inputs as
-a stored table).
+token, cut up; the last one padded). Before any text is encoded, each document
+reserves as many consecutive numbers, in input order, as sequences it can have
+at most: a token covers a byte of its text at least. A sequence's number goes
+through a keyed Feistel permutation of all reserved numbers - balanced halves,
+walked on until the value lies among them - and comes out as its ticket; unused
+numbers have none. Tickets are dealt to shards by range, sorted, and written by
+Spark's text writer as records of equal size ("lines" of `stride` bytes). A
+sequence's slot is its place in the order of tickets: slot s stands at byte
+(s - first) * stride of the shard whose slots begin with `first`, so a reader
+can resume anywhere. Every text is encoded once and every record shuffled once.
+
+Numbering rests on a first read that adds up what each input partition reserves.
+Both reads must see the same rows in the same partitions, as file scans do; sums
+over each partition's ids and lengths are compared and a difference stops the
+job (give such inputs as a stored table). The driver holds three numbers per
+input partition and one per shard, less than Spark's scheduler does.
 
 A null text counts as empty: one sequence with the end token alone. Null ids
 are kept. Repeated rows are sequences of their own. An empty table gives no
-shards and no rows. Columns other than id and text are not read.
+shards and no rows. A very long text is cut into as many sequences as it fills;
+a worker holds it and its ids at once. Columns other than id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,8 +44,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._io import chunks
 
-#: Records of a shard.
-PER_SHARD = 1 << 16
+#: Tickets of a shard: so many, and up to so many where there are thousands of shards.
+PER_SHARD, MOST_PER_SHARD = 1 << 17, 1 << 20
 #: Token ids of a sequence.
 LENGTH = 256
 NO_ID = -(1 << 63)
@@ -100,77 +107,86 @@ def _tokens(batch: pa.RecordBatch, path: str) -> list[np.ndarray]:
     return [np.frombuffer(array("H", ids).tobytes() + end, np.uint16) for ids in model.encode(texts, num_threads=1)]
 
 
-def _row_sum(so_far: xxhash.xxh64, ids: list, counts: list[int]) -> None:
-    """Adds rows to a partition's checksum; how rows are sliced makes no difference."""
-    rows = np.empty(len(ids), np.dtype([("id", "<i8"), ("n", "<i8")]))
-    rows["id"], rows["n"] = [NO_ID if i is None else i for i in ids], counts
-    so_far.update(rows.tobytes())
+def reserved(n_bytes, length: int):
+    """Sequences that a text of so many UTF-8 bytes can have at most: its bytes, the model's space before it and the end token."""
+    return (n_bytes + 2 + length - 1) // length
 
 
-def write(docs: DataFrame, path: str, key: str = "plumbline", length: int = LENGTH, per_shard: int = PER_SHARD, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Writes the shards of docs below path and a manifest beside them; returns the manifest."""
+def write(docs: DataFrame, path: str, key: str = "plumbline", length: int = LENGTH, per_shard: int | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Writes the shards of docs below path and a manifest beside them; returns the manifest. per_shard: tickets of a shard."""
     tokenizer = tokenizer or default_path()
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, check = 0, xxhash.xxh64()
-        for batch in chunks(batches, "text"):
-            own = [-(-len(t) // length) for t in _tokens(batch, tokenizer)]
-            n += sum(own)
-            _row_sum(check, batch.column("id").to_pylist(), own)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([check.intdigest() - (1 << 63)], pa.int64())], ["part", "n", "check"])
-
-    parts = sorted((r["part"], r["n"], r["check"]) for r in source.mapInArrow(count, "part long, n long, check long").collect())
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("id", F.octet_length("text")))
+    octets = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    taken = source.withColumn("octets", octets).groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.expr(f"(octets + {length + 1}) div {length}")).alias("n"), F.bit_xor("row").alias("rows"))
     starts, total = {}, 0
-    for part, n, check in parts:  # three numbers per input partition
-        starts[part] = total, n, check
+    for part, n, rows in sorted(taken.collect()):
+        starts[part] = total, n, rows
         total += n
+    per_shard = per_shard or max(PER_SHARD, min(MOST_PER_SHARD, total // 4096))
     stride = HEAD.itemsize + 2 * length + 1
-    manifest = {"sequences": total, "length": length, "per_shard": per_shard, "stride": stride, "key": key, "shards": -(-total // per_shard), "dtype": "uint16"}
-    held = docs.sparkSession.sparkContext.broadcast(starts)
+    held = spark.sparkContext.broadcast(starts)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        at, n, expected = held.value.get(part, (0, 0, None))
-        first, check = at, xxhash.xxh64()
+        at, n, expected = held.value.get(TaskContext.get().partitionId(), (0, 0, 0))
+        end, seen = at + n, 0
         for batch in chunks(batches, "text"):
             tokens, ids = _tokens(batch, tokenizer), batch.column("id").to_pylist()
-            own = [-(-len(t) // length) for t in tokens]
-            _row_sum(check, ids, own)
-            rows = np.zeros(sum(own), np.dtype([("head", HEAD), ("ids", "<u2", length)]))
-            i = 0
-            for doc, t, m in zip(ids, tokens, own, strict=True):
+            sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            seen ^= int(np.bitwise_xor.reduce(batch.column("row").to_numpy()))
+            room = reserved(sizes, length)
+            own = np.array([-(-len(t) // length) for t in tokens])
+            if (own > room).any():
+                raise ValueError(f"{tokenizer} gives more tokens than a text has bytes")
+            first = at + np.cumsum(room) - room
+            at += int(room.sum())
+            rows = np.zeros(int(own.sum()), np.dtype([("head", HEAD), ("ids", "<u2", length)]))
+            begin = np.cumsum(own) - own
+            for doc, t, i, m in zip(ids, tokens, begin.tolist(), own.tolist(), strict=True):
                 flat = np.zeros(m * length, np.uint16)
                 flat[: len(t)] = t
                 rows["ids"][i : i + m] = flat.reshape(m, length)
                 rows["head"]["doc"][i : i + m] = NO_ID if doc is None else doc
-                rows["head"]["part"][i : i + m] = np.arange(m)
-                rows["head"]["n"][i : i + m] = np.minimum(length, len(t) - length * np.arange(m))
-                i += m
-            slots = permuted(np.arange(at, at + len(rows)), total, key)
-            at += len(rows)
+            part = np.arange(len(rows)) - np.repeat(begin, own)
+            rows["head"]["part"] = part
+            rows["head"]["n"] = np.minimum(length, np.repeat([len(t) for t in tokens], own) - length * part)
+            tickets = permuted(np.repeat(first, own) + part, total, key)
             flat = pa.Array.from_buffers(pa.binary(rows.itemsize), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(slots), flat], ["slot", "record"])
-        if expected is not None and (at - first, check.intdigest() - (1 << 63)) != (n, expected):
+            yield pa.RecordBatch.from_arrays([pa.array(tickets), flat], ["ticket", "record"])
+        if (at, seen) != (end, expected):
             raise ValueError("the input's rows or partitions differ between two reads; store it first")
 
+    counts: dict[int, int] = {}
     if total:
-        records = source.mapInArrow(number, "slot long, record binary")
-        dealt = records.repartitionById(manifest["shards"], F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
+        records = source.mapInArrow(number, "ticket long, record binary")
+        dealt = records.repartitionById(-(-total // per_shard), F.expr(f"cast(ticket div {per_shard} as int)")).sortWithinPartitions("ticket")
         dealt.select(F.col("record").cast("string").alias("record")).write.option("lineSep", "\n").text(f"{path}/data")
-    docs.sparkSession.createDataFrame([(json.dumps(manifest),)], "m string").coalesce(1).write.text(f"{path}/manifest")
+        counts = {shard_of(r["path"]): r["length"] // stride for r in _files(spark, [f"{path}/data"]).select("path", "length").collect()}
+    shards = sorted(k for k, n in counts.items() if n)
+    firsts = np.cumsum([0, *(counts[k] for k in shards)]).tolist()
+    manifest = {"sequences": firsts[-1], "reserved": total, "length": length, "per_shard": per_shard, "stride": stride, "key": key, "dtype": "uint16", "shards": shards, "firsts": firsts[:-1]}
+    spark.createDataFrame([(json.dumps(manifest),)], "m string").coalesce(1).write.text(f"{path}/manifest")
     return manifest
 
 
 # -- reading --------------------------------------------------------------------------------------
 
 
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").load(paths)
+
+
+def shard_of(path: str) -> int:
+    """Spark names a task's file by its number."""
+    return int(re.search(r"/part-(\d+)-[^/]*$", path)[1])
+
+
 def manifest_of(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/manifest").first()[0])
 
 
 def read(spark: SparkSession, path: str, first: int = 0, last: int | None = None, ids: bool = True) -> DataFrame:
-    """(slot, doc_id, part, n_tokens, ids_sha256 and, if asked for, ids) of the slots first..last-1; only their shards are opened.
+    """(slot, doc_id, part, n_tokens, ids_sha256 and, if asked for, ids) of the slots first..last-1; only their shards are opened (in order, slots are the training order).
 
     ids_sha256: of the ids as little-endian 16-bit numbers.
     """
@@ -179,7 +195,8 @@ def read(spark: SparkSession, path: str, first: int = 0, last: int | None = None
     schema = "slot long, doc_id long, part int, n_tokens int, ids_sha256 string, ids array<int>"
     if first >= last:
         return spark.createDataFrame([], schema if ids else schema.rpartition(",")[0])
-    length, stride, per_shard = m["length"], m["stride"], m["per_shard"]
+    length, stride = m["length"], m["stride"]
+    firsts = dict(zip(m["shards"], m["firsts"], strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.dtype([("head", HEAD), ("ids", "<u2", length), ("end", "S1")])
@@ -188,7 +205,7 @@ def read(spark: SparkSession, path: str, first: int = 0, last: int | None = None
                 data = content.as_buffer()
                 if len(data) % stride:
                     raise ValueError(f"{name} is not made of whole records")
-                begin = int(name.as_py().rpartition("/part-")[2][:5]) * per_shard if len(data) else 0
+                begin = firsts.get(shard_of(name.as_py()), 0)
                 every = np.frombuffer(data, kind)
                 for lo in range(max(0, first - begin), min(len(every), last - begin), 8192):
                     rows = every[lo : min(lo + 8192, last - begin)]
@@ -202,7 +219,8 @@ def read(spark: SparkSession, path: str, first: int = 0, last: int | None = None
                     )
 
     whole = first == 0 and last == m["sequences"]
-    paths = [f"{path}/data"] if whole else [f"{path}/data/part-{i:05d}-*" for i in range(first // per_shard, (last - 1) // per_shard + 1)]
-    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").load(paths)
+    lo, hi = (bisect_right(m["firsts"], x) for x in (first, last - 1))
+    paths = [f"{path}/data"] if whole else [f"{path}/data/part-{k:05d}-*" for k in m["shards"][lo - 1 : hi]]
+    files = _files(spark, paths)
     out = files.select("path", "content").mapInArrow(run, schema)
     return out if ids else out.drop("ids")

@@ -2,9 +2,11 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from plumbline.llm import shards
-from plumbline.llm._io import shared_dir
+from plumbline.llm._io import shared_dir, stored
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 4097])
@@ -16,25 +18,59 @@ def test_permutation(n):
         assert (slots != shards.permuted(np.arange(n), n, "other")).any()
 
 
-def test_round_trip(spark, make_docs, prose):
-    rows = [(1, prose(1, 500)), (2, None), (3, ""), (None, "null id"), (4, prose(2, 9000)), (5, "same\nline"), (5, "same\nline")]
+def plain_ticket(x, n, key):
+    """One number's way through the permutation, in whole numbers."""
+    word = (1 << 64) - 1
+    bits = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    while True:
+        left, right = x >> bits, x & (1 << bits) - 1
+        for k in (xxhash.xxh64_intdigest(f"{key}/{i}") for i in range(6)):
+            h = (right + k) * 0x9E3779B97F4A7C15 & word
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & word
+            left, right = right, left ^ (h ^ h >> 29) & (1 << bits) - 1
+        x = left << bits | right
+        if x < n:
+            return x
+
+
+def expected(rows, length, key):
+    """(id, part, ids) of all sequences of rows in training order, from the definition; one input partition."""
+    model, at, out = shards._model(shards.default_path()), 0, []
+    room = [(len((t or "").encode()) + 2 + length - 1) // length for _, t in rows]
+    for (i, t), r in zip(rows, room, strict=True):
+        ids = [*model.encode(t or ""), model.eos_id()]
+        out += [(plain_ticket(at + p, sum(room), key), i, p, ids[p * length : (p + 1) * length]) for p in range(-(-len(ids) // length))]
+        at += r
+    return [x[1:] for x in sorted(out, key=lambda x: x[0])]
+
+
+def test_order_and_round_trip(spark, make_docs, prose):
+    rows = [(1, prose(1, 500)), (2, None), (3, ""), (None, "null id"), (4, prose(2, 9000)), (5, "same\nline"), (5, "same\nline"), (6, "\u6f22\u5b57 \u2581 \x00 \U0001f600" * 9), (7, " ")]
     path = shared_dir(spark, "shards")
-    m = shards.write(make_docs(rows).coalesce(2), path, length=64, per_shard=50)
+    docs = make_docs(rows).withColumns({"ticket": F.lit(1), "row": F.lit("x"), "octets": F.lit(None)})
+    m = shards.write(docs.coalesce(1), path, key="k", length=64, per_shard=90)
     every = shards.read(spark, path).orderBy("slot").collect()
-    assert [r["slot"] for r in every] == list(range(m["sequences"])) and m["shards"] == -(-m["sequences"] // 50)
+    assert [r["slot"] for r in every] == list(range(m["sequences"])) and len(m["shards"]) > 5
+    assert [(r["doc_id"], r["part"], r["ids"]) for r in every] == expected(rows, 64, "k")
+    assert all(r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(np.array(r["ids"], np.uint16).tobytes()).hexdigest() for r in every)
+    for first, last in ((30, 120), (0, 1), (m["sequences"] - 1, m["sequences"] + 9), (50, 50)):
+        some = shards.read(spark, path, first, last).orderBy("slot").collect()
+        assert [tuple(r) for r in some] == [tuple(r) for r in every[first:last]]
+
+
+def test_partitions(spark, make_docs, prose):
+    """Numbers go on from one input partition to the next."""
+    rows = [(i, prose(i, 40 * i)) for i in range(40)]
+    path = shared_dir(spark, "shards")
+    docs = stored(make_docs(rows).repartition(5, "doc_id"), "docs")
+    m = shards.write(docs, path, length=32, per_shard=64)
+    every = shards.read(spark, path).collect()
     model = shards._model(shards.default_path())
-    want = {}
-    for i, t in rows:
-        ids = [*model.encode(t or ""), model.eos_id()]
-        for p in range(0, len(ids), 64):
-            want.setdefault((i, p // 64), []).append(ids[p : p + 64])
+    assert sorted(r["slot"] for r in every) == list(range(m["sequences"]))
     got = {}
-    for r in every:
-        got.setdefault((r["doc_id"], r["part"]), []).append(r["ids"])
-        assert r["ids_sha256"] == hashlib.sha256(np.array(r["ids"], np.uint16).tobytes()).hexdigest()
-    assert got == want
-    some = shards.read(spark, path, 30, 120).orderBy("slot").collect()
-    assert [tuple(r) for r in some] == [tuple(r) for r in every[30:120]]
+    for r in sorted(every, key=lambda r: (r["doc_id"], r["part"])):
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert got == {i: [*model.encode(t), model.eos_id()] for i, t in rows}
 
 
 def test_empty_table(spark, make_docs):
