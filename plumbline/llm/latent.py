@@ -9,19 +9,25 @@ cosine with the items, blockwise; a window is at least as long as the item and
 its stride together, so each place an item can stand in lies whole within one.
 Candidates are then checked word by word: the longest common subsequence has to
 hold `accept` of the item's words, or `paraphrase` of them if the item's end (its
-answer) is there too.
+answer) is there too. Items too short for that (fewer than `SHORTEST` words) are
+found where their words stand consecutively.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased.
-Null texts count as empty. Items with fewer than `SHORTEST` words are not
-searched for; longer ones than 64 words are searched in pieces, and where one is
-found the whole item is compared with the text around it. Repeated items
-give repeated pairs, repeated rows as well. An empty table on either side gives
-no pairs. Other columns are not read. Items are taken in blocks of bounded size,
-so only bounded data is broadcast.
+Null texts count as empty; items without words are found nowhere. Items longer
+than 64 words are searched in pieces, and where one is found the whole item is
+compared with the text around it. Items of equal words are searched once and
+give a pair each; repeated rows of the texts give repeated pairs. An empty table
+on either side gives no pairs. Very long texts are searched in stretches. Columns
+other than ids and texts are not read, whatever their names.
+
+What is broadcast is bounded: items come to the driver as a stream, and as many
+as share `TERMS` terms and `WORDS` words make one pass over the texts. A
+benchmark of usual size is one pass.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +39,15 @@ from pyspark.sql import functions as F
 from plumbline.llm._io import chunks, stored
 from plumbline.llm.licenses import TABLE
 
-#: Items of a block: what is broadcast grows with this, not with the benchmark.
-ITEMS = 2000
+#: Distinct words and words of the items of one pass at most: what is broadcast grows with these, not with the benchmark.
+TERMS, WORDS = 100_000, 2_000_000
+#: Pieces of items that windows are compared with at a time.
+PIECES = 1024
+#: Blocks of pieces up to which a task keeps their tables; with more it makes them anew for each slice.
+KEPT_BLOCKS = 4
 RANK = 64
+#: Cosine from which a window is compared word by word.
+COSINE = 0.25
 SHORTEST = 5
 #: Words of a passage for the statistics.
 PASSAGE = 64
@@ -48,10 +60,15 @@ SEGMENT = 1 << 17
 
 
 @dataclass(frozen=True)
-class Piece:
-    item: int
-    at: int
-    ids: tuple[int, ...]
+class Items:
+    """Distinct items of one pass: their digests and the term ids of each, end to end."""
+
+    keys: list[bytes]
+    flat: np.ndarray
+    offsets: np.ndarray
+
+    def ids(self, i: int) -> np.ndarray:
+        return self.flat[self.offsets[i] : self.offsets[i + 1]]
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -186,106 +203,192 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _search(texts: DataFrame, items: list[tuple], pieces: list[Piece], place: np.ndarray, terms: int, cosine: float, accept: float, paraphrase: float, item_kind: str) -> DataFrame:
-    held = texts.sparkSession.sparkContext.broadcast((items, pieces, place))
+class Block:
+    """Pieces (item, first word, words) of about one length, to be compared with windows of the same size."""
+
+    def __init__(self, items: Items, pieces: list[tuple[int, int, int]], place: np.ndarray, words: int, stride: int):
+        self.pieces, self.words, self.stride, self.items, self.terms = pieces, words, stride, items, len(place)
+        q = np.stack([place[self.ids(j)].sum(0) for j in range(len(pieces))])
+        self.queries = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).T
+
+    def ids(self, j: int) -> np.ndarray:
+        item, at, n = self.pieces[j]
+        return self.items.ids(item)[at : at + n]
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every term its column, and for every piece which columns it has; column 0: no term of these pieces."""
+        own = np.unique(np.concatenate([self.ids(j) for j in range(len(self.pieces))]))
+        column = np.zeros(self.terms, np.int32)
+        column[own] = np.arange(1, len(own) + 1)
+        member = np.zeros((len(self.pieces), len(own) + 1), bool)
+        for j in range(len(self.pieces)):
+            member[j, column[self.ids(j)]] = True
+        return column, member
+
+
+def _blocks(items: Items, place: np.ndarray) -> list[Block]:
+    by_size: list[list] = [[] for _ in SIZES]
+    for i in range(len(items.keys)):
+        total = len(items.ids(i))
+        if total < SHORTEST:
+            continue
+        n = -(-total // SIZES[-1][0])
+        cuts = [total * c // n for c in range(n + 1)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            by_size[next(k for k, (longest, _, _) in enumerate(SIZES) if hi - lo <= longest)].append((i, lo, hi - lo))
+    return [Block(items, pieces[lo : lo + PIECES], place, words, stride) for pieces, (_, words, stride) in zip(by_size, SIZES, strict=True) for lo in range(0, len(pieces), PIECES)]
+
+
+class ShortItems:
+    """Items of fewer than SHORTEST words, by their first two."""
+
+    def __init__(self, items: Items):
+        self.by_start: dict[int, list[tuple[int, list[int]]]] = {}
+        for i in range(len(items.keys)):
+            ids = items.ids(i).tolist()
+            if 0 < len(ids) < SHORTEST:
+                self.by_start.setdefault(self._code(ids[0], ids[1] if len(ids) > 1 else -1), []).append((i, ids))
+        self.codes = np.array(sorted(self.by_start), np.int64)
+
+    @staticmethod
+    def _code(one, two):
+        return one * (1 << 32) + two + 1
+
+    def found(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place, item) where an item's words stand; places between texts hold no term."""
+        if not len(self.codes):
+            return
+        one = ids.astype(np.int64)
+        two = np.append(one[1:], -1)
+        for code in (self._code(one, np.full_like(one, -1)), self._code(one, two)):
+            near = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            for at in np.flatnonzero((self.codes[near] == code) & (one >= 0)).tolist():
+                for item, words in self.by_start[int(code[at])]:
+                    # A lone word's code also stands where no term follows another one.
+                    if ids[at : at + len(words)].tolist() == words:
+                        yield at, item
+
+
+def _search(texts: DataFrame, items: Items, place: np.ndarray, cosine: float, accept: float, paraphrase: float) -> DataFrame:
+    held = texts.sparkSession.sparkContext.broadcast((items, place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, pieces, place = held.value
+        items, place = held.value
         place = np.concatenate([place, np.zeros((1, place.shape[1]), np.float32)])  # -1: no term
-        member = np.zeros((len(pieces), terms + 1), bool)
-        by_size = []
-        for j, p in enumerate(pieces):
-            member[j, list(p.ids)] = True
-        for k, (longest, words, stride) in enumerate(SIZES):
-            own = np.array([j for j, p in enumerate(pieces) if len(p.ids) <= longest and (k == 0 or len(p.ids) > SIZES[k - 1][0])], np.int64)
-            if len(own):
-                q = np.stack([place[list(pieces[j].ids)].sum(0) for j in own])
-                by_size.append((own, words, stride, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).T))
-        least = np.array([paraphrase * len(p.ids) for p in pieces])
+        blocks, short = _blocks(items, place), ShortItems(items)
+        tables = [block.table() for block in blocks] if len(blocks) <= KEPT_BLOCKS else None
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_ids, ids, begin, end in _flat(batch):
-                blocks = np.concatenate([place[ids[lo : lo + SEGMENT]].reshape(-1, 8, place.shape[1]).sum(1) for lo in range(0, len(ids), SEGMENT)])
-                sums = np.concatenate([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
+                doc_of = lambda x: int(np.searchsorted(begin, x, side="right")) - 1  # noqa: E731, B023
                 found: dict[tuple[int, int], list] = {}
-                for own, words, stride, q in by_size:
-                    at = np.arange(0, len(ids) - words + 1, stride)
-                    at = at[at < end[np.searchsorted(begin, at, side="right") - 1]]
-                    for lo in range(0, len(at), 8192):
-                        first = at[lo : lo + 8192] // 8
-                        v = (sums[first + words // 8] - sums[first]).astype(np.float32)
-                        close = v @ q >= cosine * np.linalg.norm(v, axis=1)[:, None] + 1e-12
-                        w, c = np.nonzero(close)
-                        if not len(w):
-                            continue
-                        w, c = at[lo + w], own[c]
+                for at, item in short.found(ids):
+                    doc = doc_of(at)
+                    found.setdefault((doc, item), [{}, len(items.ids(item)), 1.0, at - int(begin[doc])])
+                eighths = np.concatenate([place[ids[lo : lo + SEGMENT]].reshape(-1, 8, place.shape[1]).sum(1) for lo in range(0, len(ids), SEGMENT)])
+                sums = np.concatenate([np.zeros((1, eighths.shape[1])), np.cumsum(eighths, axis=0, dtype=np.float64)])
+                windows: dict[int, tuple] = {}
+                for b, block in enumerate(blocks):
+                    words, stride = block.words, block.stride
+                    if words not in windows:
+                        at = np.arange(0, len(ids) - words + 1, stride)
+                        at = at[at < end[np.searchsorted(begin, at, side="right") - 1]]
+                        v = (sums[at // 8 + words // 8] - sums[at // 8]).astype(np.float32)
+                        norm = np.linalg.norm(v, axis=1)
+                        windows = {words: (at[norm > 1e-9], v[norm > 1e-9] / norm[norm > 1e-9, None])}
+                    at, v = windows[words]
+                    column, member = tables[b] if tables else block.table()
+                    least = paraphrase * np.array([n for _, _, n in block.pieces])
+                    for lo in range(0, len(at), 4096):
+                        w, c = np.nonzero(v[lo : lo + 4096] @ block.queries >= cosine)
+                        w = at[lo + w]
                         for s in range(0, len(w), 4096):
                             ws, cs = w[s : s + 4096], c[s : s + 4096]
-                            shared = member[cs[:, None], ids[ws[:, None] + np.arange(words)]].sum(1)
+                            shared = member[cs[:, None], column[ids[ws[:, None] + np.arange(words)]]].sum(1)
                             for x, j in zip(ws[shared >= least[cs]].tolist(), cs[shared >= least[cs]].tolist(), strict=True):
-                                doc = int(np.searchsorted(begin, x, side="right")) - 1
-                                region = ids[max(int(begin[doc]), x - stride) : min(int(end[doc]), x + words + stride)].tolist()
-                                n = lcs(list(pieces[j].ids), region)
-                                if n >= least[j]:
-                                    p, whole = pieces[j], items[pieces[j].item][1]
-                                    best = found.setdefault((doc, p.item), [{}, 0, 0.0, x - int(begin[doc])])
-                                    best[0][j] = max(best[0].get(j, 0), n)
-                                    if len(p.ids) < len(whole):
-                                        # The piece may stand anywhere in the window; the item's other words lie before and after, up to a quarter more.
-                                        before, after = (k + k // 4 for k in (p.at, len(whole) - p.at - len(p.ids)))
-                                        lo_word, hi_word = x - stride - before, x + words + stride + after
-                                        region = ids[max(int(begin[doc]), lo_word) : min(int(end[doc]), hi_word)].tolist()
-                                        n = lcs(whole, region)
-                                    answer = lcs(whole[-ANSWER:], region) / len(whole[-ANSWER:])
-                                    best[1], best[2] = max(best[1], n), max(best[2], answer)
+                                _check(found, items, block, j, x, doc_of(x), ids, begin, end, least[j])
                 for (doc, item), (by_piece, n, answer, at) in sorted(found.items()):
-                    item_id, whole = items[item]
-                    share = max(n, sum(by_piece.values())) / len(whole)  # pieces may also stand far apart
+                    share = max(n, sum(by_piece.values())) / len(items.ids(item))  # pieces may also stand far apart
                     if share >= accept or share >= paraphrase and answer >= 0.999:
-                        for col, value in zip(out, (doc, item_id, min(1.0, share), answer >= 0.999, at), strict=True):
+                        for col, value in zip(out, (doc, items.keys[item], min(1.0, share), answer >= 0.999, at), strict=True):
                             col.append(value)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(out[0])), pa.array(out[1]), pa.array(out[2], pa.float64()), pa.array(out[3]), pa.array(out[4], pa.int64())], ["id", "item", "lcs_share", "answer", "first_word"])
+                    yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(out[0])), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64()), pa.array(out[3]), pa.array(out[4], pa.int64())], ["id", "key", "lcs_share", "answer", "first_word"])
                     out = [[], [], [], [], []]
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, item {item_kind}, lcs_share double, answer boolean, first_word long")
-
+    return texts.mapInArrow(run, f"id {kind}, key binary, lcs_share double, answer boolean, first_word long")
+
+
+def _check(found: dict, items: Items, block: Block, j: int, x: int, doc: int, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, least: float) -> None:
+    """Compares piece j with the window at x word by word and, where it is there, its whole item with the text around."""
+    first, last = int(begin[doc]), int(end[doc])
+    lo, hi = x - block.stride, x + block.words + block.stride
+    region = ids[max(first, lo) : min(last, hi)].tolist()
+    item, at, words = block.pieces[j]
+    n = lcs(block.ids(j).tolist(), region)
+    if n < least:
+        return
+    whole = items.ids(item).tolist()
+    best = found.setdefault((doc, item), [{}, 0, 0.0, x - first])
+    best[0][at] = max(best[0].get(at, 0), n)
+    if words < len(whole):
+        # The piece may stand anywhere in the window; the item's other words lie before and after, up to a quarter more.
+        before, after = (k + k // 4 for k in (at, len(whole) - at - words))
+        region = ids[max(first, lo - before) : min(last, hi + after)].tolist()
+        n = lcs(whole, region)
+    answer = lcs(whole[-ANSWER:], region) / len(whole[-ANSWER:])
+    best[1], best[2] = max(best[1], n), max(best[2], answer)
+
+
+def _normalised(benchmark: DataFrame) -> DataFrame:
+    """(item, key: a digest of the item's words, words: them, joined by spaces)."""
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, accept: float = 0.8, paraphrase: float = 0.65, rank: int = RANK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            words = [b" ".join(split_words(t)) for t in batch.column("text").to_pylist()]
+            keys = [hashlib.blake2b(w, digest_size=16).digest() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(keys, pa.binary()), pa.array(words, pa.binary())], ["item", "key", "words"])
+
+    return benchmark.mapInArrow(run, f"item {benchmark.schema['item'].dataType.simpleString()}, key binary, words binary")
+
+
+def _passes(distinct: DataFrame) -> Iterator[tuple[dict[bytes, int], Items]]:
+    """The distinct items as a stream, cut where the terms or words of a pass are full (a larger item stands alone)."""
+    vocabulary: dict[bytes, int] = {}
+    keys, flat, offsets = [], [], [0]
+    done = lambda: (vocabulary, Items(keys, np.array(flat, np.int32), np.array(offsets)))
+    for r in distinct.toLocalIterator():
+        words = bytes(r["words"]).split()
+        if keys and (len(flat) + len(words) > WORDS or len(vocabulary) + len(set(words) - vocabulary.keys()) > TERMS):
+            yield done()
+            vocabulary, keys, flat, offsets = {}, [], [], [0]
+        flat += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
+        keys.append(bytes(r["key"]))
+        offsets.append(len(flat))
+    if keys:
+        yield done()
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, accept: float = 0.8, paraphrase: float = 0.65, rank: int = RANK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc id, item id, lcs_share, answer, first_word) for each item found in each document."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("binary").alias("text"))
-    item_kind = items.schema["item"].dataType.simpleString()
-    blocks = max(1, -(-items.count() // ITEMS))
+    items = stored(_normalised(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("binary").alias("text"))), "items")
+    distinct = items.filter("octet_length(words) > 0").groupBy("key").agg(F.first("words").alias("words")).orderBy("key")
     found = None
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()  # about ITEMS rows
-        vocabulary: dict[bytes, int] = {}
-        known, pieces = [], []
-        for r in rows:
-            words = split_words(r["text"])
-            if len(words) < SHORTEST:
-                continue
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-            n = -(-len(ids) // SIZES[-1][0])
-            cuts = [len(ids) * i // n for i in range(n + 1)]
-            pieces += [Piece(len(known), lo, tuple(ids[lo:hi])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-            known.append((r["item"], ids))
-        if not known:
-            continue
+    for vocabulary, block in _passes(distinct):
         texts = stored(_term_ids(source, vocabulary), "terms")
         idf, share = _idf(texts, len(vocabulary))
-        place = _basis(texts, idf, share, rank)
-        part = _search(texts, known, pieces, place, len(vocabulary), cosine, accept, paraphrase, item_kind)
+        part = _search(texts, block, _basis(texts, idf, share, rank), cosine, accept, paraphrase)
         found = part if found is None else found.union(part)
     if found is None:
-        kind = source.schema["id"].dataType.simpleString()
-        found = docs.sparkSession.createDataFrame([], f"id {kind}, item {item_kind}, lcs_share double, answer boolean, first_word long")
-    return found.withColumnsRenamed({"id": id_col, "item": item_col})
+        kind, item_kind = source.schema["id"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, {item_col} {item_kind}, lcs_share double, answer boolean, first_word long")
+    pairs = found.join(items.select("key", "item"), "key")
+    return pairs.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "lcs_share", "answer", "first_word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs in whose texts no item was found, with all their columns."""
     bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")

@@ -17,9 +17,9 @@ def test_planted_items(spark, make_docs, prose):
         words[k] = "paraphrased"
     rows.append((700, f"{prose(900, 80, 900)} {' '.join(words)} {prose(901, 20, 900)}"))
     want.add((700, 8))
-    rows += [(800, items[3][1]), (801, None), (802, ""), (None, items[2][1]), (803, items[9][1]), (803, items[9][1]), (804, prose(7, 20_000, 900) + " " + items[1][1])]
-    want |= {(800, 3), (None, 2), (803, 9), (804, 1)}
-    bench = spark.createDataFrame([(*i, "x", "y") for i in items] + [(90, None, "", ""), (91, "", "", ""), (92, "two words", "", "")], BENCH)
+    rows += [(800, items[3][1]), (801, None), (802, ""), (None, items[2][1]), (803, items[9][1]), (803, items[9][1]), (805, prose(3, 30, 900) + " two, strange\nWORDS " + prose(4, 200, 900)), (806, "two strange"), (807, "two strange other words"), (808, "oddity"), (804, prose(7, 20_000, 900) + " " + items[1][1])]
+    want |= {(800, 3), (None, 2), (803, 9), (804, 1), (805, 92), (808, 93), (505, 94)}
+    bench = spark.createDataFrame([(*i, "x", "y") for i in items] + [(90, None, "", ""), (91, "", "", ""), (92, "two strange words", "", ""), (93, "Oddity!", "", ""), (94, items[5][1], "", ""), (95, "...", "", "")], BENCH)
     docs = make_docs(rows)
     got = [(r["doc_id"], r["item_id"]) for r in latent.contaminated(docs, bench).collect()]
     assert set(got) == want and got.count((803, 9)) == 2
@@ -57,3 +57,51 @@ def test_long_item_counts_as_a_whole(spark, make_docs, prose):
     bench = spark.createDataFrame([(1, " ".join(words), "", "")], BENCH)
     got = {r["doc_id"]: r["lcs_share"] for r in latent.contaminated(make_docs(rows), bench).collect()}
     assert set(got) == {100, 101} and all(0.81 <= v < 0.9 for v in got.values())
+
+
+def lcs_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def by_all_windows(text, item):
+    """Whether an item of at most 24 words is in a text, by the word-by-word rule at every window."""
+    words, item = (latent.split_words(t.encode()) for t in (text, item))
+    for at in range(0, max(1, len(words)), 8):
+        region = words[max(0, at - 8) : at + 40]
+        n = lcs_length(item, region)
+        if n >= 0.8 * len(item) or n >= 0.65 * len(item) and lcs_length(item[-8:], region) == len(item[-8:]):
+            return True
+    return False
+
+
+def test_against_brute_force(spark, make_docs, prose):
+    """Items with 0 to 40 % of their words exchanged, the end among them or not: what the rule accepts is found, and nothing else."""
+    r = random.Random(9)
+    items = [(i, prose(2000 + i, 14 + i % 11, 600)) for i in range(24)]
+    rows = []
+    for n in range(240):
+        words = items[n % 24][1].split()
+        room = range(len(words)) if n % 2 else range(len(words) - 8)
+        for at in r.sample(room, min(len(room), len(words) * (n % 5) // 10)):
+            words[at] = f"w{r.randrange(600)}"
+        rows.append((n, f"{prose(n, r.randrange(150), 600)} {' '.join(words)} {prose(n + 500, r.randrange(150), 600)}"))
+    bench = spark.createDataFrame([(*i, "x", "y") for i in items], BENCH)
+    got = {(x["doc_id"], x["item_id"]) for x in latent.contaminated(make_docs(rows), bench).collect()}
+    want = {(n, i) for n, t in rows for i, item in items if by_all_windows(t, item)}
+    assert len(want) > 150 and got <= want and len(got) >= 0.98 * len(want), (len(got), len(want))
+
+
+def test_many_passes_and_blocks(spark, make_docs, prose, monkeypatch):
+    """Bounds so small that the items take several passes and several blocks each."""
+    items = [(i, prose(3000 + i, 20 + i, 900)) for i in range(30)]
+    rows = [(i, f"{prose(i, 50, 900)} {t} {prose(i + 90, 50, 900)}") for i, t in items]
+    bench = spark.createDataFrame([(*i, "x", "y") for i in items], BENCH)
+    for name, value in (("WORDS", 300), ("TERMS", 250), ("PIECES", 2), ("KEPT_BLOCKS", 0)):
+        monkeypatch.setattr(latent, name, value)
+    assert {(x["doc_id"], x["item_id"]) for x in latent.contaminated(make_docs(rows), bench).collect()} == {(i, i) for i, _ in items}
