@@ -21,10 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below the one that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as
-    in tests on one machine, a folder below /tmp is set.
+    The cluster names it in spark.checkpoint.dir. Only where driver and executors
+    are one process, as in tests, an unset one becomes a folder below /tmp; on a
+    cluster that is an error, since executors would not see each other's files.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/plumbline"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file:///tmp/checkpoints/plumbline"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -34,7 +39,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again: lineage ends there."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables made by stored(), once nothing that is still to run reads them."""
+    for df in tables:
+        if df is not None and (path := df.__dict__.pop("stored_at", None)):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

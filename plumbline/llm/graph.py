@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._io import stored
+from plumbline.llm._io import release, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,15 +26,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Shorten paths until every vertex points at a root.
         while True:
             up = root.select(F.col("id").alias("root"), F.col("root").alias("up"))
-            short = stored(root.join(up, "root").select("id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
-            root = short.select("id", "root")
+            short = stored(root.select("id", "root").join(up, "root").select("id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
+            release(root)
+            root = short
             if short.filter("moved").isEmpty():
                 break
         rx = root.select(F.col("id").alias("x"), F.col("root").alias("rx"))
         ry = root.select(F.col("id").alias("y"), F.col("root").alias("ry"))
-        left = pairs.join(rx, "x").join(ry, "y").filter("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct()
-        pairs = stored(left, "edges")
+        left = stored(pairs.join(rx, "x").join(ry, "y").filter("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct(), "edges")
+        release(pairs)
+        pairs = left
         if pairs.isEmpty():
             return root.select("id", F.col("root").alias("component"))
         hooks = stored(pairs.groupBy("y").agg(F.min("x").alias("to")), "hooks")
-        root = stored(root.join(hooks, root.root == hooks.y, "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
+        hooked = stored(root.join(hooks, root.root == hooks.y, "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
+        release(root, hooks)
+        root = hooked

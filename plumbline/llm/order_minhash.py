@@ -4,19 +4,22 @@ A sketch takes, under one seed, the two smallest of a text's occurrence-labelled
 word k-mers and keeps them in the order in which they stand in the text, so two
 texts share it about as often as their alignment keeps k-mers. Texts with a
 common sketch form a bucket; each meets the bucket's smallest id among those of
-about its length, a number of pairs linear in the bucket. Short texts, whose few k-mers sketches may miss, also
-meet by each of their k-mers. Pairs that met are candidates, and one counts if the texts' edit similarity in words, 1 - distance / longer length,
-reaches the threshold by a banded alignment. Texts that failed against a hub,
+about its length, a number of pairs linear in the bucket. Short texts, whose few
+k-mers sketches may miss, also meet by each of their k-mers. Pairs that met are
+candidates, and one counts if the texts' edit similarity in words, 1 - distance
+/ longer length, reaches the threshold by a banded alignment. Texts that failed against a hub,
 linked elsewhere or not, get a hub from among themselves in that bucket, up to
-`ROUNDS` times. Classes are the
-connected components of the pairs that count.
+`ROUNDS` times. Classes are the connected components of the pairs that count.
 
 Texts with the same words are one text from the start. Texts with fewer than
 `SHORTEST` words, null ones among them (no words), have equal texts only as
 duplicates. Rows with a null id are classes of their own. Rows that repeat an id
-share its class. An empty table gives an empty result. Minima aggregate map-side
-and joins split hot keys, so a bucket may hold any share of the rows. Columns
-other than id and text are not read.
+share its class, whatever their texts: these count as duplicates of each other.
+Ties do not arise, ids and hashes of texts order them. A very long text takes
+memory in proportion to its words, and an alignment its band times its words in
+bits. An empty table gives an empty result. Minima aggregate map-side and joins
+split hot keys, so a bucket may hold any share of the rows. Columns other than
+id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._io import chunks, stored
+from plumbline.llm._io import chunks, release, stored
 from plumbline.llm.graph import components
 from plumbline.llm.substring import M_KMER, _mixed, _stretches, forget, hashed, words
 
@@ -183,7 +186,7 @@ def _met(rows: DataFrame, seekers: DataFrame, threshold: float, mixed: bool) ->
     near = hubs.select("key", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"), "hub")
     allowed = F.least("n", "hub.n") >= F.greatest("n", "hub.n") * F.lit(threshold) - 1e-9
     met = rows.join(near, ["key", "band"]).filter((F.struct("id", "th") != F.struct("hub.id", "hub.th")) & allowed)
-    return met.select("id", "th", "key", F.col("hub.id").alias("hub"), F.col("hub.th").alias("hub_th")), hubs.select("hub.id", "hub.th", "key")
+    return met.select("id", "th", "key", F.col("hub.id").alias("hub"), F.col("hub.th").alias("hub_th")), hubs
 
 
 def _links(texts: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
@@ -195,6 +198,7 @@ def _links(texts: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
     keyed = texts.select("id", "th", "n", F.floor(F.log("n") / width).cast("int").alias("band"), F.explode("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "shared")
     rows = stored(keyed.join(shared, "key"), "buckets")
+    release(shared)
     seekers, done = rows, None
     for i in range(ROUNDS):
         met, hubs = _met(rows, seekers, threshold, i > 0)
@@ -202,13 +206,19 @@ def _links(texts: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
         pairs = met.drop("key").distinct()
         if done is not None:
             pairs = pairs.join(done, PAIR, "left_anti")
-        new = stored(_verified(stored(pairs, "candidates"), source, threshold), "pairs")
+        asked = stored(pairs, "candidates")
+        new = stored(_verified(asked, source, threshold), "pairs")
+        release(asked)
         done = new if done is None else done.union(new)
         failed = met.join(done.filter("similarity = 0"), PAIR).select("id", "th", "key").distinct()
-        seekers = stored(seekers.join(failed, ["id", "th", "key"], "left_semi").join(hubs, ["id", "th", "key"], "left_anti"), "seekers")
+        seek = stored(seekers.join(failed, ["id", "th", "key"], "left_semi").join(hubs.select("hub.id", "hub.th", "key"), ["id", "th", "key"], "left_anti"), "seekers")
+        release(met, hubs, seekers if i else None)
+        seekers = seek
         if seekers.isEmpty():
             break
-    return done.filter("similarity > 0").select(*PAIR)
+    links = stored(done.filter("similarity > 0").select(*PAIR), "links")
+    release(rows, seekers)
+    return links
 
 
 def _verified(pairs: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
@@ -230,26 +240,48 @@ def _verified(pairs: DataFrame, source: DataFrame, threshold: float) -> DataFram
     return both.mapInArrow(run, f"id {kind}, th int, hub {kind}, hub_th int, similarity double").dropDuplicates(["id", "th", "hub", "hub_th"])
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id: the smallest id of the row's class, n_class: rows of the class, kept: the id is the class') of every row."""
+def _classified(docs: DataFrame, threshold: float, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, n: rows, first: the smallest hash of a text of the id and its rows) of every id; texts of one id count as duplicates."""
     source = docs.select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("th"), F.col(text_col).cast("binary").alias("text"))
     every = stored(_sketched(source, k), "sketches")
     texts = every.groupBy("same").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = stored(texts.select("same", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "n", "keys"), "texts")
-    edges = _links(texts, source, threshold).select("id", "hub")
-    parts = components(edges, "id", "hub")
-    reps = texts.select("same", F.col("id").alias("rep")).join(parts, F.col("rep") == parts["id"], "left").select("same", F.coalesce("component", "rep").alias("class_id"))
-    # A row that repeats an id with another text shares the smallest class of that id.
-    known = every.select("id", "same").join(reps, "same").groupBy("id").agg(F.min("class_id").alias("class_id"))
+    members = every.select("id", "th", "same").join(texts.select("same", F.col("id").alias("rep")), "same")
+    by_text = members.groupBy("id", "th").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    ids = by_text.groupBy("id").agg(F.sum("n").alias("n"), F.min(F.struct("th", "n")).alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ids = stored(ids, "ids")
+    links = _links(texts, source, threshold)
+    several = members.join(ids.filter("lo <> hi").select("id", "lo"), "id").select("rep", F.col("lo").alias("hub"))
+    parts = components(links.select(F.col("id").alias("rep"), "hub").union(several), "rep", "hub")
+    known = ids.join(parts.withColumnRenamed("id", "lo"), "lo", "left").select("id", F.coalesce("component", "lo").alias("class_id"), "n", "first")
     known = stored(known, "known")
-    sizes = stored(every.select("id").join(known, "id").groupBy("class_id").agg(F.count("*").alias("n_class")), "sizes")
-    known = known.join(sizes, "class_id")
+    release(every, texts, links, ids)
+    return known
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id: the smallest id of the row's class, n_class: rows of the class, kept: the id is the class') of every row."""
+    known = _classified(docs, threshold, k, id_col, text_col)
+    sizes = stored(known.groupBy("class_id").agg(F.sum("n").alias("n_class")), "sizes")
+    known = known.select("id", "class_id").join(sizes, "class_id")
     rows = docs.select(F.col(id_col).alias("id")).join(known, "id", "left")
     return rows.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_class", F.lit(1)).alias("n_class"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their class, one each, with all their columns; rows with a null id all stay."""
-    kept = classes(docs, threshold, id_col=id_col, text_col=text_col).filter("kept").select(F.col(id_col).alias("_kept")).filter("_kept IS NOT NULL").distinct()
-    stays = docs.join(kept, docs[id_col] == F.col("_kept")).select(*docs.columns).dropDuplicates([id_col])
-    return stays.union(docs.filter(F.col(id_col).isNull()))
+    """One row of each class with all its columns, and every row with a null id.
+
+    It is the row with the smallest id. Where several rows have that id, the one
+    whose text hashes lowest, and of equal texts the one that does so as JSON.
+    """
+    known = _classified(docs, threshold, K, id_col, text_col).filter("id = class_id")
+    known = known.select(F.col("id").alias("_kept"), F.col("first.th").alias("_kept_th"), F.col("first.n").alias("_kept_n"))
+    its_own = (docs[id_col] == known["_kept"]) & (F.hash(docs[text_col]) == known["_kept_th"])
+    single = docs.join(known.filter("_kept_n = 1"), its_own, "left_semi")
+    nameless = docs.filter(F.col(id_col).isNull())
+    if known.filter("_kept_n > 1").isEmpty():
+        return single.union(nameless)
+    repeated = docs.join(known.filter("_kept_n > 1"), its_own, "left_semi")
+    first = repeated.groupBy(id_col).agg(F.min(F.xxhash64(F.to_json(F.struct(*docs.columns)))).alias("_first")).select(F.col(id_col).alias("_of"), "_first")
+    one = repeated.join(first, (repeated[id_col] == first["_of"]) & (F.xxhash64(F.to_json(F.struct(*(repeated[c] for c in docs.columns)))) == first["_first"]), "left_semi").dropDuplicates([id_col])
+    return single.union(one).union(nameless)

@@ -66,6 +66,24 @@ def test_odd_rows(make_docs, prose):
     assert order_minhash.classes(make_docs([])).collect() == []
 
 
+def test_repeated_ids_and_clashing_names(spark, prose):
+    """An id with two texts joins their classes; of rows with one id one stays, whatever the order of rows; names used inside may be columns."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a, "p", 1, 2), (7, a, "q", 1, 2), (7, b, "q", 1, 2), (8, b, "r", 1, 2), (9, b, "s", 1, 2), (4, c, "t", 1, 2), (4, c, "u", 3, 2), (4, c, "u", 3, 2), (4, prose(5, 60), "v", 1, 2), (None, c, "w", 1, 2)]
+    schema = "doc_id long, text string, _kept string, _first long, same int"
+    first = None
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, schema).repartition(3)
+        out = order_minhash.classes(docs).collect()
+        assert {(r["doc_id"], r["class_id"], r["n_class"]) for r in out if r["doc_id"]} == {(i, 1, 5) for i in (1, 7, 8, 9)} | {(4, 4, 4)} and len(out) == 10
+        kept = order_minhash.keep_one(docs)
+        assert kept.columns == docs.columns
+        got = sorted([tuple(r) for r in kept.collect()], key=str)
+        assert [r[0] for r in got] == [1, 4, None] and got == (first or got)
+        first = got
+
+
 def edited(r, text, n):
     """The text after n edits of single words at different places: changed, or, at every fourth, lost or put in."""
     out = list(text)
