@@ -7,15 +7,27 @@ the source characters it came from. The same patterns run over the rewritten
 text, and each match is mapped back to the source span it came from. A span that
 overlaps one of its kind found before adds nothing.
 
+A disguise is judged by what it holds and by its own sentence, never by other
+parts of the text: an "at" or "dot" in brackets, an @ between spaces and a dot
+spelled out speak for themselves; a bare "at" before a domain with plain dots is
+common in prose ("find us at example.com") and counts only where its sentence
+speaks of writing to somebody before. A domain ends in letters. Eight to fifteen
+digits in a row of which six at least are spelled out are a phone number, with
+or without a plus, unless they are a card's.
+
 Null texts count as empty: no spans. Rows are independent, so repeated rows give
-repeated results and an empty table an empty one; other columns are not read.
-Offsets count code points, ends exclusive.
+repeated results and an empty table an empty one; other columns are not read,
+whatever their names. Of spans that overlap the one that starts first stays, of
+those that start together the longer one. Offsets count code points, ends
+exclusive. Very long texts take memory in proportion to their length and to the
+number of their rewritten stretches.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,6 +78,12 @@ _SPELLED_IP_ONE = re.compile(rf"(?P<dot>{_DOT})|{_DIGIT}|[0-9]+|[\x20-]", re.I)
 _HINT_DIGITS = re.compile(rf"(?:{_DIGIT})[\x20,.-]{{1,2}}(?:{_DIGIT}|[0-9])(?![A-Za-z])", re.I)
 
 
+#: What speaks of writing to somebody, within a sentence before a bare "at"; and who is written to without having an address.
+_CUE = re.compile(r"\b(?:e-?mail(?:s|ed|ing)?|mail|write|contact|reach|address|message|ping|send)\b", re.I)
+_NO_NAMES = frozenset("a all an and are arrive back be but call find for he her here him i in is it look me meet not of on or out see she start that the them there they this to up us visit was we were you".split())
+_SENTENCE = re.compile(r"[.!?]\s|\n")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -104,26 +122,59 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class Rewrite:
-    """Text with the source span of each of its characters."""
+    """Text with the source span of each of its stretches.
+
+    Stretches are kept as runs: where one begins in the text, where it begins and
+    ends in the source, and whether it was copied character by character or
+    stands as a whole for what it replaces.
+    """
 
     def __init__(self, text: str):
-        self.text, self.at = text, None
+        self.text = text
+        self.starts, self.runs = [0], [(0, len(text), True)]
+        self.extra: list[tuple[str, int, int]] = []
+
+    @property
+    def changed(self) -> bool:
+        return len(self.runs) > 1 or not self.runs[0][2]
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.at is None else (self.at[start][0], self.at[end - 1][1])
+        i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
+        lo, _, copied = self.runs[i]
+        _, hi, end_copied = self.runs[j]
+        return lo + (start - self.starts[i]) * copied, self.runs[j][0] + end - self.starts[j] if end_copied else hi
 
     def put(self, changes: list[tuple[int, int, str]]) -> None:
         """changes: (start, end, new), in order; every new character comes from the whole span it replaces."""
         if not changes:
             return
-        old = self.at or [(i, i + 1) for i in range(len(self.text))]
-        text, at, done = [], [], 0
+        text, starts, runs, at = [], [], [], 0
+
+        def add(length: int, run: tuple[int, int, bool]) -> None:
+            nonlocal at
+            if length:
+                starts.append(at)
+                runs.append(run)
+                at += length
+
+        def copy(lo: int, hi: int) -> None:
+            i = bisect_right(self.starts, lo) - 1
+            while lo < hi:
+                end = min(hi, self.starts[i + 1] if i + 1 < len(self.starts) else hi)
+                first, last, copied = self.runs[i]
+                begin = first + lo - self.starts[i]
+                add(end - lo, (begin, begin + end - lo, True) if copied else (first, last, False))
+                lo, i = end, i + 1
+
+        done = 0
         for start, end, new in changes:
             text += [self.text[done:start], new]
-            at += old[done:start]
-            at += [(old[start][0], old[end - 1][1])] * len(new)
+            copy(done, start)
+            add(len(new), (*self.span(start, end), False))
             done = end
-        self.text, self.at = "".join([*text, self.text[done:]]), at + old[done:]
+        copy(done, len(self.text))
+        self.text = "".join([*text, self.text[done:]])
+        self.starts, self.runs = starts or [0], runs or [(0, 0, False)]
 
 
 def _homoglyphs(r: Rewrite) -> None:
@@ -133,8 +184,12 @@ def _homoglyphs(r: Rewrite) -> None:
 def _spelled_digits(r: Rewrite) -> None:
     changes = []
     for run in _SPELLED_RUN.finditer(r.text):
-        if not _SPELLED_ONE.search(run[0]):
+        n_spelled = sum(1 for _ in _SPELLED_ONE.finditer(run[0]))
+        if not n_spelled:
             continue
+        n = n_spelled + len(_only_digits(run[0]))
+        if n_spelled >= 6 and 8 <= n <= 15:
+            r.extra.append(("phone", *r.span(*run.span())))
         done = None
         for m in re.finditer(rf"plus|{_DIGIT}|[0-9]+|[^A-Za-z0-9]+", run[0], re.I):
             start, end = m.start() + run.start(), m.end() + run.start()
@@ -162,6 +217,13 @@ def _disguises(r: Rewrite) -> None:
     changes = []
     for run in _DISGUISED.finditer(r.text):
         at = _AT_ONE.search(run[0])
+        if not re.search(r"(?:^|[^A-Za-z0-9-])[A-Za-z]{2,}$", run[0]):
+            continue
+        if at[0].strip().lower() == "at" and not _DOT_HINT.search(run[0]):
+            before = r.text[max(0, run.start() - 80) : run.start()]
+            sentence = before[max((m.end() for m in _SENTENCE.finditer(before)), default=0) :]
+            if run[0][: at.start()].lower() in _NO_NAMES or not _CUE.search(sentence):
+                continue
         signs = [(at.start(), at.end(), "@")] + [(m.start(), m.end(), ".") for part in ((0, at.start()), (at.end(), len(run[0]))) for m in _DOT_ONE.finditer(run[0], *part)]
         changes += [(run.start() + a, run.start() + b, new) for a, b, new in sorted(signs)]
     r.put(changes)
@@ -179,7 +241,7 @@ def hidden_spans(text: str) -> list[tuple[str, int, int]]:
         _spelled_digits(r)
     if _DOT_HINT.search(r.text) or _AT_HINT.search(r.text):
         _disguises(r)
-    return [] if r.at is None else [(kind, *r.span(start, end)) for kind, start, end in base_spans(r.text)]
+    return [*((kind, *r.span(start, end)) for kind, start, end in base_spans(r.text)), *r.extra] if r.changed else []
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -188,7 +250,13 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     base = sorted(base_spans(text), key=order)
     new = hidden_spans(text)
     taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS} if new else {}
-    added = [s for s in new if not any(a < s[2] and s[1] < b for a, b in taken[s[0]])]
+    added = []
+    for kind, a, b in sorted(set(new), key=lambda s: (s[0] == "phone", s[1], -s[2])):
+        # A spelled run is a phone number only where no card stands.
+        others = taken[kind] + (taken["card"] if kind == "phone" else [])
+        if not any(x < b and a < y for x, y in others):
+            added.append((kind, a, b))
+            taken[kind].append((a, b))
     return base, sorted(base + added, key=order)
 
 
