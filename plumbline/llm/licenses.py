@@ -3,9 +3,12 @@
 A template is wording with two marks: `<<opt>> ... <</opt>>` holds words that
 may be missing, `<<var:N>>` stands for up to N words of any kind. It compiles
 to an automaton over tokens; a text holds the template where the automaton
-accepts a run of its words, so mandatory wording has to match word for word.
-Beside the templates, bare phrases are found wherever their words stand
-consecutively.
+accepts a run of its words, so mandatory wording has to match word for word: the
+whole text of short licenses, the notices of long ones, and full names with
+their version. A family's name is mandatory, so the Lesser or Affero license is
+never taken for the General one. Several templates may share a label (what
+follows a colon in a template's name only tells them apart). Beside the
+templates, bare phrases are found wherever their words stand consecutively.
 
 Words are runs of digits, letters and non-ASCII characters after A-Z are
 lower-cased. Null texts count as empty: no words, no places, score 0. Rows are
@@ -30,20 +33,54 @@ from plumbline.llm._io import chunks
 # The phrases and labels of the base result.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# License wording in template markup.
+# License wording in template markup. Texts of licenses, the notices that their authors
+# ask for, and names by which works refer to them; holders' names and years are replaceable regions.
+_WARRANTY = "<<opt>>the<</opt>> software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the <<var:8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD_CONDITIONS = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_WARRANTY = "this software is provided by <<var:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
+
+def _gnu(name: str, version: str) -> str:
+    """How works name a GNU license of a version, or ask for it with its usual notice."""
+    return f"gnu {name} <<opt>>as published by the free software foundation either<</opt>> <<opt>>v<</opt>> <<opt>>version<</opt>> {version}"
+
+
+def _later(name: str, version: str) -> str:
+    return f"gnu {name} as published by the free software foundation either version {version} of the license or at your option any later version"
+
+
+_CC_NAMES = {"by": "attribution", "by sa": "attribution sharealike", "by nc": "attribution noncommercial", "by nd": "attribution noderivatives", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
+_GNU_NAMES = {"gpl": ("general public license", ("2", "3")), "lgpl": ("lesser general public license", ("2 1", "3")), "agpl": ("affero general public license", ("3",))}
+_SPDX = {"mit": "mit", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "apache-2.0": "apache 2 0", "mpl-2.0": "mpl 2 0", "bsd-2-clause": "bsd 2 clause", "bsd-3-clause": "bsd 3 clause", "bsl-1.0": "bsl 1 0", "cc0-1.0": "cc0 1 0"}
+
 TEMPLATES = {
-    "apache-2.0": "licensed under the apache license <<opt>>version<</opt>> 2 0",
-    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-    "cc-by-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> <<opt>>creative commons<</opt>> <<opt>>attribution<</opt>> <<opt>>cc by<</opt>> 4 0 <<opt>>international license<</opt>>",
-    "cc-by-nc-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> cc by nc 4 0",
-    "cc-by-sa-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> cc by sa 4 0",
-    "gpl-2.0": "<<opt>>gnu<</opt>> general public license <<opt>>as published by the free software foundation either<</opt>> version 2 <<opt>>of the license or at your option any later version<</opt>>",
-    "gpl-3.0": "<<opt>>gnu<</opt>> general public license <<opt>>as published by the free software foundation either<</opt>> version 3 <<opt>>of the license or at your option any later version<</opt>>",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "mit-named": "<<opt>>released<</opt>> <<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> mit license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "mit": f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software {_WARRANTY}",
+    "mit:name": "<<opt>>expat<</opt>> mit license",
+    "isc": "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var:8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var:8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "isc:name": "isc license",
+    "bsd-2-clause": f"{_BSD_CONDITIONS} {_BSD_WARRANTY}",
+    "bsd-3-clause": f"{_BSD_CONDITIONS} <<opt>>3<</opt>> neither the name of <<var:16>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_WARRANTY}",
+    "bsd-2-clause:name": "bsd 2 clause <<opt>>simplified<</opt>> license",
+    "bsd-3-clause:name": "bsd 3 clause <<opt>>new or revised<</opt>> license",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "bsl-1.0": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+    "bsl-1.0:name": "boost software license <<opt>>version<</opt>> 1 0",
+    "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<opt>>http<</opt>> <<opt>>https<</opt>> www apache org licenses license 2 0 <<opt>>txt<</opt>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "apache-2.0:name": "apache license <<opt>>v<</opt>> <<opt>>version<</opt>> 2 0",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<opt>>http<</opt>> <<opt>>https<</opt>> mozilla org mpl 2 0",
+    "mpl-2.0:name": "mozilla public license <<opt>>v<</opt>> <<opt>>version<</opt>> 2 0",
+    "cc0-1.0": "<<opt>>creative commons<</opt>> cc0 1 0 <<opt>>universal<</opt>>",
     "copyright-reserved": "copyright <<opt>>c<</opt>> <<var:8>> all rights reserved",
 }
+for _family, (_name, _versions) in _GNU_NAMES.items():
+    for _v in _versions:
+        _label = f"{_family}-{_v.replace(' ', '.')}" + ".0" * (" " not in _v)
+        TEMPLATES |= {_label: _gnu(_name, f"{_v} <<opt>>0<</opt>>"), f"{_label}:v": _gnu(_name, f"v{_v}"), f"{_label}-or-later": _later(_name, _v), f"{_label}:spdx": f"spdx license identifier {_family} {_v if ' ' in _v else _v + ' 0'}"}
+for _code, _words in _CC_NAMES.items():
+    _label = f"cc-{_code.replace(' ', '-')}-4.0"
+    TEMPLATES |= {_label: f"cc {_code} 4 0", f"{_label}:name": f"<<opt>>creative commons<</opt>> {_words} 4 0 <<opt>>international<</opt>>"}
+TEMPLATES |= {f"{_label}:spdx": f"spdx license identifier {_words}" for _label, _words in _SPDX.items()}
 
 #: What every byte becomes before a text is cut at spaces: word bytes stay (A-Z lower-cased), the rest is a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -113,7 +150,7 @@ class Automaton:
 
 @lru_cache(maxsize=16)
 def compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, Automaton]]:
-    return [(label, Automaton(t)) for label, t in templates]
+    return [(name.partition(":")[0], Automaton(t)) for name, t in templates]
 
 
 def places(joined: bytes, phrase: bytes, starts: list[int]) -> list[int]:

@@ -65,7 +65,7 @@ def _pattern(template: str) -> str:
 def op9() -> str:
     places = {label: f"list_filter(range(1, len(ws) + 1), lambda i: {' AND '.join(f'''ws[i + {k}] = '{w}' ''' for k, w in enumerate(phrase.split()))})" for phrase, label in PHRASES.items()}
     base = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for label, p in places.items())
-    more = ", ".join(f"CASE WHEN regexp_matches(j, '{_pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES.items())
+    more = ", ".join(f"CASE WHEN regexp_matches(j, '{_pattern(t)}') THEN '{name.partition(':')[0]}' END" for name, t in TEMPLATES.items())
     every = "list_concat(" + ", ".join(places.values()) + ")"
     return rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
