@@ -15,6 +15,13 @@ into such runs where it is read, and only runs are shuffled:
 4. The source coordinates of each long span are read again and a digest of the
    words there must equal that of the words to be removed.
 
+The runs are the nonbranching paths of the dealt graph: its nodes are stretches
+of window - 1 words, and an edge's two nodes lie in one run exactly if no other
+text enters or leaves the path between them as far as step 2 can tell - equal
+runs are the same path, and step 3 opens every path that has another way in or
+out under its minimizer. A degree is therefore only asked for where two
+different runs meet, not for every edge.
+
 No step holds a minimizer's or an edge's occurrences together: groups are
 minima with map-side aggregation, and what goes back to the occurrences is a
 sort-merge join, which splits hot keys.
@@ -22,7 +29,10 @@ sort-merge join, which splits hot keys.
 Results are exact whatever the size of groups. A null or empty text has no
 words; a null id is never a source and loses nothing; rows with equal ids never
 remove each other's words; repeated rows give repeated results; an empty table
-gives an empty one. Columns other than id and text are not read.
+gives an empty one. A very long text is read again in stretches of PART words,
+and spans are cut at their ends. A span whose digest differs, where two hashes
+of 64 bits collided, stays. Columns other than id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +50,8 @@ from plumbline.llm._io import chunks, stored
 
 #: Odd multipliers of the polynomial hashes (modulo 2**64): k-mers, runs, edges twice.
 M_KMER, M_RUN, M_EDGE, M_EDGE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Words of a stretch in which texts are read again.
+PART = 4096
 #: Words whose hashes a worker remembers within a task (no result depends on it).
 MEMO_WORDS = 200_000
 
@@ -138,31 +150,56 @@ def _digest(stretch: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(stretch), digest_size=16).digest()
 
 
+def _cut(df: DataFrame, at: str, *shifted: str) -> DataFrame:
+    """Rows (at, n) cut where `at` passes a multiple of PART; shifted: columns that move along."""
+    last = F.floor((F.col(at) + F.col("n") - 1) / PART)
+    parts = df.withColumn("part", F.explode(F.sequence(F.floor(F.col(at) / PART), last)))
+    lo, hi = F.greatest(F.col(at), F.col("part") * PART), F.least(F.col(at) + F.col("n"), (F.col("part") + 1) * PART)
+    return parts.withColumns({**{c: (F.col(c) + lo - F.col(at)).cast("int") for c in (at, *shifted)}, "n": (hi - lo).cast("int")})
+
+
+def _parts(docs: DataFrame, window: int) -> DataFrame:
+    """(id, th, part, text): the words that windows reach which start in each stretch of PART words; no text is copied more than twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            for i in range(batch.num_rows):
+                own = words(batch.column("text")[i].as_py())
+                texts = [b" ".join(own[lo : lo + 2 * PART + window]) for lo in range(0, max(1, len(own)), PART)]
+                same = pa.array([0] * len(texts), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1).take(same), batch.column("th").slice(i, 1).take(same), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["id", "th", "part", "text"])
+
+    # So many bytes hold PART words at most, and need no cutting.
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= 2 * PART
+    cut = docs.filter(~short).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th int, part long, text binary")
+    return docs.filter(short).select("id", "th", F.lit(0).cast("long").alias("part"), "text").union(cut)
+
+
 def _read_again(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
-    """What is asked of texts at (id, th, start, n): kind 0, every edge's hashes; kind 1, the digest of the words."""
+    """What is asked of texts at (id, th, part, start, n): kind 0, every edge's hashes; kind 1, the digest of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             out: list[list] = [[] for _ in range(8)]
-            for i, th, text, asks in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "text", "asks")), strict=True):
-                own = words(text)
+            for i, th, part, text, asks in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "part", "text", "asks")), strict=True):
+                own, base = words(text), part * PART
                 a = hashed([own])
-                edges = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(x["start"], x["start"] + x["n"]) for x in asks if x["kind"] == 0)])).astype(np.int64)
+                edges = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(x["start"] - base, x["start"] - base + x["n"]) for x in asks if x["kind"] == 0)])).astype(np.int64)
                 rows = len(edges)
-                for col, values in zip(out, ([0] * rows, [i] * rows, [th] * rows, edges.tolist(), [1] * rows, *(_stretches(a, m, edges, edges + window).view(np.int64).tolist() for m in (M_EDGE, M_EDGE2)), [None] * rows), strict=True):
+                for col, values in zip(out, ([0] * rows, [i] * rows, [th] * rows, (edges + base).tolist(), [1] * rows, *(_stretches(a, m, edges, edges + window).view(np.int64).tolist() for m in (M_EDGE, M_EDGE2)), [None] * rows), strict=True):
                     col.extend(values)
                 for x in asks:
                     if x["kind"] == 1:
-                        for col, value in zip(out, (1, i, th, x["start"], x["n"], 0, 0, _digest(own[x["start"] : x["start"] + x["n"] + window - 1])), strict=True):
+                        at = x["start"] - base
+                        for col, value in zip(out, (1, i, th, x["start"], x["n"], 0, 0, _digest(own[at : at + x["n"] + window - 1])), strict=True):
                             col.append(value)
             kinds = [pa.int32(), batch.schema.field("id").type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["kind", "id", "th", "start", "n", "h1", "h2", "digest"])
         forget()
 
-    # One row asks for at most the spans that start within 4096 words, so no row grows with a source's popularity alone.
-    by_text = asked.withColumn("part", F.floor(F.col("start") / 4096)).groupBy("id", "th", "part").agg(F.collect_set(F.struct("kind", "start", "n")).alias("asks"))
+    by_text = asked.groupBy("id", "th", "part").agg(F.collect_set(F.struct("kind", "start", "n")).alias("asks"))
     id_kind = docs.schema["id"].dataType.simpleString()
-    joined = docs.join(by_text, ["id", "th"]).select("id", "th", "text", "asks")
+    joined = _parts(docs, window).join(by_text, ["id", "th", "part"]).select("id", "th", "part", "text", "asks")
     return joined.mapInArrow(run, f"kind int, id {id_kind}, th int, start int, n int, h1 long, h2 long, digest binary")
 
 
@@ -190,9 +227,10 @@ def repeated_spans(docs: DataFrame, window: int = 50, k: int = 17) -> DataFrame:
         .groupBy("id", "th", "span")
         .agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src").alias("src"), F.min("src_th").alias("src_th"), F.min("src_start").alias("src_start"))
     )
-    spans = stored(compact.drop("span"), "spans")
+    spans = stored(_cut(compact.drop("span"), "src_start", "start"), "spans")
     opened = known.filter("branches AND id = first.id").select(F.lit(0).alias("kind"), "id", "th", "start", "n")
-    sources = spans.select(F.lit(1).alias("kind"), F.col("src").alias("id"), F.col("src_th").alias("th"), F.col("src_start").alias("start"), "n")
+    opened = _cut(opened, "start").select("kind", "id", "th", "part", "start", "n")
+    sources = spans.select(F.lit(1).alias("kind"), F.col("src").alias("id"), F.col("src_th").alias("th"), "part", F.col("src_start").alias("start"), "n")
     read = stored(_read_again(docs, opened.union(sources).distinct(), window), "read")
     edges = read.filter("kind = 0").select("id", "th", "start", "h1", "h2")
     lowest = edges.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
