@@ -10,7 +10,10 @@ tokens again.
 
 Null texts count as empty ones; an empty text has no tokens. Rows are handled
 on their own: repeated rows give repeated results, an empty table an empty one.
-Columns other than the id and the text are not read.
+A very long text takes memory in proportion to its words, once. Of merges with
+equal rank there are none. Columns other than the id and the text are not read,
+whatever their names. Vocabulary files that ask for more than byte-level BPE
+(normalisers, prefix spaces, dropout) are refused.
 """
 
 from __future__ import annotations
@@ -57,6 +60,7 @@ class TrieBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._known(spec)
         model, of = spec["model"], _printable_bytes()
         raw = lambda s: bytes(of[c] for c in s)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -74,6 +78,17 @@ class TrieBpe:
         self.pairs: dict[int, bool] = {}
         self.memo: dict[str, tuple[str, int, bytes, bytes]] = {}
 
+    @staticmethod
+    def _known(spec: dict) -> None:
+        """Refuses files whose texts are not cut and merged as here."""
+        cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError("only byte-level vocabularies without normaliser and prefix space are known")
+        if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+            raise ValueError("only plain BPE models are known")
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens with conditions are not known")
+
     def merged(self, data: bytes) -> list[int]:
         """The encoding by merges, lowest rank first: for the short strings that decide which tokens go together."""
         ids = [self.id_of[data[i : i + 1]] for i in range(len(data))]

@@ -1,5 +1,7 @@
 import hashlib
+import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -30,3 +32,11 @@ def test_operator(make_docs, prose):
     assert sorted([tuple(r) for r in out], key=str) == sorted(want, key=str)
     assert bpe.encode_and_decode(make_docs([])).collect() == []
     assert bpe.encode_and_decode(make_docs(rows), keep_ids=False).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}])
+def test_other_vocabularies_are_refused(tmp_path, change):
+    spec = json.loads(open(PATH, encoding="utf-8").read()) | change
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.TrieBpe(str(tmp_path / "v.json"))

@@ -49,3 +49,27 @@ def test_stages_against_brute_force(spark, sf):
         assert out[r["doc_id"]]["ids"] == own.encode(r["text"]) and out[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
     whole = corpus_pipeline.run(spark, sf)
     assert sorted(r["doc_id"] for r in whole.select("doc_id").collect()) == sorted(out)
+
+
+def test_stages_take_odd_rows(spark, sf, tmp_path, prose):
+    """Nulls everywhere, empty and very long texts, repeated rows, clashing names, empty tables: each stage gives its defined rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _kept string, _bad int, id string, key map<string,int>, score double"
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    long = prose(1, 60_000)
+    rows = [(1, None), (2, ""), (3, long), (4, long + " more"), (None, "no id"), (None, None), (5, "twice twice twice twice twice"), (5, "twice twice twice twice twice"), (6, "mail a@b.cd")]
+    docs = spark.createDataFrame([(i, t, None, "s", None, "k", 1, "x", {"a": 1}, None) for i, t in rows], schema)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        assert none.collect() == [] and none.columns == out.columns
+        got = sorted([(r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()])
+        ids = [i for _, i in got]
+        if name == "near_dedup":
+            assert got == [(False, 1), (False, 3), (False, 5), (False, 6), (True, 0), (True, 0)]
+        elif name != "quality":
+            assert ids == [1, 2, 3, 4, 5, 5, 6, 0, 0]
+        if name != "bpe":
+            assert out.columns == docs.columns
+        if name == "pii":
+            assert {r["text"] for r in out.filter("doc_id = 6 OR doc_id = 1").collect()} == {"mail [EMAIL]", None}
