@@ -37,8 +37,9 @@ def disclosures(texts: DataFrame) -> DataFrame:
 
 
 def duplicates(v: DataFrame, least: int = 4) -> DataFrame:
-    d = pairs.duplicates_within_source(v, least)
-    return finding(d, "P-SOURCE-DUPLICATE-VALUES", F.concat_ws(": ", "source", F.concat_ws(" = ", "group_a", "group_b")), F.array("source"), {"n": F.col("n")}, {"group_a": F.col("group_a"), "group_b": F.col("group_b")})
+    """One finding for every group that stands behind its class' first one, and for the first one none."""
+    d = pairs.duplicates_within_source(v, least).filter("group_key <> class_group")
+    return finding(d, "P-SOURCE-DUPLICATE-VALUES", F.concat_ws(": ", "source", F.concat_ws(" = ", "class_group", "group_key")), F.array("source"), {"n": F.col("n"), "n_links": F.col("n_links")}, {"group_a": F.col("class_group"), "group_b": F.col("group_key")})
 
 
 def ratios(v: DataFrame, least: int = 4) -> DataFrame:

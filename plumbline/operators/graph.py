@@ -5,11 +5,14 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.storage import release, stored
+
 # Calls that read, draw and save, by the last part of their name.
 READERS = {"read_csv", "read_excel", "read_table", "read_parquet", "loadtxt", "read.csv", "read.table", "read_tsv", "read.delim", "read_xlsx"}
 PLOTTERS = {"plot", "scatter", "bar", "hist", "boxplot", "barplot", "ggplot", "violinplot", "stripplot", "swarmplot", "lineplot"}
@@ -84,41 +87,55 @@ def script_edges(scripts: DataFrame) -> DataFrame:
     return scripts.select("path", "code").mapInPandas(run, "path string, src string, dst string, kind string")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most: int = 30) -> DataFrame:
-    """(start, node, hops): what follows from each start (start) along edges (src, dst), by the fewest hops; `most` bounds them."""
-    spark = edges.sparkSession
-    edges.select("src", "dst").distinct().createOrReplaceTempView("_plumbline_edges")
-    starts.select("start").distinct().createOrReplaceTempView("_plumbline_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, node, hops) AS (
-          SELECT start, start, 0 FROM _plumbline_starts
-          UNION ALL
-          SELECT w.start, e.dst, w.hops + 1 FROM walk w JOIN _plumbline_edges e ON w.node = e.src WHERE w.hops < {most}
-        )
-        SELECT start, node, CAST(min(hops) AS BIGINT) AS hops FROM walk GROUP BY start, node""")
+def reachable(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(start, node, hops): what follows from each start (start) along edges (src, dst), by the fewest hops; `most` bounds them if given.
 
+    Each round goes on from the nodes found last and keeps those not met before,
+    so cycles end and a node is visited once per start, however many ways lead there.
+    """
+    edges = stored(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    rounds = [stored(starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("hops")).filter("start IS NOT NULL").distinct(), "walk")]
+    while most is None or len(rounds) <= most:
+        on = rounds[-1].join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        met = reduce(DataFrame.union, rounds).select("start", "node")
+        new = stored(on.join(met, ["start", "node"], "left_anti").withColumn("hops", F.lit(len(rounds)).cast("long")), "walk")
+        if new.isEmpty():
+            break
+        rounds.append(new)
+    return reduce(DataFrame.union, rounds)
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component) of undirected edges (a, b): smallest labels spread and jump until nothing changes.
 
-    Every round is checkpointed to spark.checkpoint.dir.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component): the smallest id that each end of an undirected edge can reach; an edge from a node to itself is none.
+
+    Roots hang below the smallest root next to them, then paths are shortened
+    until every node points at its root: the number of rounds grows with the
+    logarithm of the longest path. Minima aggregate map-side, so a node with very
+    many edges is no hot group; every round is a table in the shared folder, and
+    the one before is given back.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/plumbline")
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
-    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("l")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("id").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        spread = label.join(near, F.col("id") == F.col("a")).select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        up = spread.select(F.col("id").alias("l"), F.col("l").alias("up"))
-        new = spread.join(up, "l").select("id", F.least("l", "up").alias("l"), (F.col("old") != F.least("l", "up")).alias("moved")).checkpoint()
-        label = new.select("id", "l")
-        if new.filter("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle; allow more rounds")
-    return label.select("id", F.col("l").alias("component"))
+    x, y = F.least(a, b), F.greatest(a, b)
+    links = stored(edges.select(x.alias("x"), y.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL AND x <> y").distinct(), "links")
+    ends = links.union(links.select("y", "x"))
+    points = stored(ends.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("to")), "points")
+    while True:
+        moved = True
+        while moved:
+            on = points.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            shorter = stored(points.select("id", "to").join(on, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "points")
+            release(points)
+            points, moved = shorter, not shorter.filter("moved").isEmpty()
+        root = lambda c: points.select(F.col("id").alias(c), F.col("to").alias(f"root_{c}"))  # noqa: E731, B023
+        across = links.join(root("x"), "x").join(root("y"), "y").filter("root_x <> root_y")
+        across = stored(across.select(F.least("root_x", "root_y").alias("x"), F.greatest("root_x", "root_y").alias("y")).distinct(), "links")
+        release(links)
+        links = across
+        if links.isEmpty():
+            return points.select("id", F.col("to").alias("component"))
+        hooks = stored(links.groupBy("y").agg(F.min("x").alias("under")), "hooks")
+        hung = stored(points.join(hooks, points["to"] == hooks["y"], "left").select("id", F.coalesce("under", "to").alias("to")), "points")
+        release(points, hooks)
+        points = hung
 
 
 def save_conflicts(edges: DataFrame, vocabulary: list[str]) -> DataFrame:

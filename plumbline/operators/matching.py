@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def pairs_off(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
+    """How many values of two sorted vectors pair off within the tolerance: both are walked from the low end, which pairs off as many as any order can."""
+    i = j = hits = 0
+    while i < len(a) and j < len(b):
+        gap = a[i] - b[j]
+        if abs(gap) <= tolerance:
+            i, j, hits = i + 1, j + 1, hits + 1
+        elif gap < 0:
+            i += 1
+        else:
+            j += 1
+    return hits
+
+
 def coverage(a: Column, b: Column, tolerance: float = 0.25) -> Column:
-    """Values of two sorted vectors that pair off within the tolerance, over the longer length.
+    """Values of two sorted vectors that pair off within the tolerance, over the longer length."""
 
-    Both are walked from the low end; a value pairs with the lowest free one of
-    the other side within reach, which pairs off as many as any order can.
-    """
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([pairs_off(p, q, tolerance) / max(len(p), len(q), 1) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    def step(acc: Column, y: Column) -> Column:
-        # acc: (i, hits); values of a below y's reach are passed over, the next one within it is taken.
-        skipped = F.size(F.filter(F.slice(a, acc["i"] + 1, F.size(a)), lambda x: x < y - tolerance))
-        at = acc["i"] + skipped
-        fits = F.coalesce(F.try_element_at(a, at + 1) <= y + tolerance, F.lit(False))
-        return F.struct((at + fits.cast("int")).alias("i"), (acc["hits"] + fits.cast("int")).alias("hits"))
+    return score(F.coalesce(a, F.array().cast("array<double>")), F.coalesce(b, F.array().cast("array<double>")))
 
-    hits = F.aggregate(b, F.struct(F.lit(0).alias("i"), F.lit(0).alias("hits")), step, lambda acc: acc["hits"])
-    return F.coalesce(F.try_divide(hits.cast("double"), F.greatest(F.size(a), F.size(b)).cast("double")), F.lit(0.0))
 
+def best_tables(plots: DataFrame, tables: DataFrame, tolerance: float = 0.25, least: float = 0.85) -> DataFrame:
+    """Each plot (plot, folder, group_key, vals) with the table (source, folder, group_key, vals) of its folder that matches most groups, then best: (plot, source, n_groups, mean_score).
 
-def best_tables(plots: DataFrame, tables: DataFrame, tolerance: float = 0.25, least: float = 0.5) -> DataFrame:
-    """Each plot (plot, folder, group_key, vals) with the table (source, folder, group_key, vals) of its folder that matches most groups, then best: (plot, source, n_groups, mean_score)."""
-    t = tables.select("source", "folder", F.col("group_key").alias("t_group"), F.col("vals").alias("t_vals"))
-    scored = plots.join(t, "folder").withColumn("score", coverage(F.col("vals"), F.col("t_vals"), tolerance)).filter(F.col("score") >= least)
+    A share of `least` of the longer vector needs lengths that near, so groups
+    meet by folder and bands of length.
+    """
+    width = -math.log(min(0.99, max(0.05, least)))
+    band = F.floor(F.log(F.greatest(F.size("vals"), F.lit(1))) / width)
+    p = plots.withColumn("band", F.explode(F.array(*(band + i for i in (-1, 0, 1)))))
+    t = tables.withColumn("band", band).select("source", "folder", "band", F.col("group_key").alias("t_group"), F.col("vals").alias("t_vals"))
+    near = p.join(t, ["folder", "band"]).filter(F.least(F.size("vals"), F.size("t_vals")) >= least * F.greatest(F.size("vals"), F.size("t_vals")))
+    scored = near.withColumn("score", coverage(F.col("vals"), F.col("t_vals"), tolerance)).filter(F.col("score") >= least)
     per_group = scored.groupBy("plot", "source", "group_key").agg(F.max("score").alias("score"))
     per_table = per_group.groupBy("plot", "source").agg(F.count("*").alias("n_groups"), F.avg("score").alias("mean_score"))
     best = per_table.groupBy("plot").agg(F.max_by(F.struct("source", "n_groups", "mean_score"), F.struct("n_groups", F.round("mean_score", 9).alias("m"), F.col("source"))).alias("b"))
@@ -37,13 +55,17 @@ def best_tables(plots: DataFrame, tables: DataFrame, tolerance: float = 0.25, le
 def residue_errors(residues: DataFrame, stats: DataFrame) -> DataFrame:
     """(path, source, mean_error): each residue (path, folder, mean_a, mean_b) against the tables (source, folder, group_key, mean) of its folder.
 
-    The error is the smallest sum of mean differences over pairs of groups, in either order.
+    The error is the smallest sum of mean differences over two groups of a table.
+    It needs each mean's two nearest groups only, never pairs of groups.
     """
-    a = stats.select("source", "folder", F.col("group_key").alias("g1"), F.col("mean").alias("m1"))
-    b = stats.select("source", "folder", F.col("group_key").alias("g2"), F.col("mean").alias("m2"))
-    both = a.join(b, ["source", "folder"]).filter("g1 < g2")
-    gap = F.least(F.abs(F.col("mean_a") - F.col("m1")) + F.abs(F.col("mean_b") - F.col("m2")), F.abs(F.col("mean_a") - F.col("m2")) + F.abs(F.col("mean_b") - F.col("m1")))
-    return residues.join(both, "folder").withColumn("gap", gap).groupBy("path", "source").agg(F.min("gap").alias("mean_error"))
+    both = residues.select("path", "folder", "mean_a", "mean_b").join(stats.select("source", "folder", "group_key", "mean"), "folder")
+    both = both.withColumns({"da": F.struct(F.abs(F.col("mean_a") - F.col("mean")).alias("d"), F.col("group_key").alias("g")), "db": F.struct(F.abs(F.col("mean_b") - F.col("mean")).alias("d"), F.col("group_key").alias("g"))})
+    keys = ["path", "source"]
+    first = both.groupBy(*keys).agg(F.min("da").alias("a1"), F.min("db").alias("b1"), F.count("*").alias("k")).filter("k >= 2")
+    next_to = both.select(*keys, "da", "db").join(first, keys)
+    second = next_to.groupBy(*keys).agg(F.first("a1").alias("a1"), F.first("b1").alias("b1"), F.min(F.when(F.col("da.g") != F.col("a1.g"), F.col("da.d"))).alias("a2"), F.min(F.when(F.col("db.g") != F.col("b1.g"), F.col("db.d"))).alias("b2"))
+    apart = F.when(F.col("a1.g") != F.col("b1.g"), F.col("a1.d") + F.col("b1.d")).otherwise(F.least(F.col("a1.d") + F.col("b2"), F.col("a2") + F.col("b1.d")))
+    return second.select(*keys, apart.alias("mean_error"))
 
 
 def unmatched_residues(residues: DataFrame, stats: DataFrame, floor: float = 1.0) -> DataFrame:
@@ -75,5 +97,10 @@ def shape_cards(claims: DataFrame, tables: DataFrame) -> DataFrame:
     """Statements whose list of n has a table's number of groups and lies near its sizes, each within max(1, 20 %), without being equal: (claim_id, source, stated, found)."""
     c = claims.groupBy("claim_id").agg(F.sort_array(F.collect_list("n")).alias("stated")).withColumn("k", F.size("stated"))
     t = tables.groupBy("source").agg(F.sort_array(F.collect_list("n")).alias("found")).withColumn("k", F.size("found"))
+    # Near lists have their smallest and largest n in neighbouring bands: sizes that differ by a fifth, or by one, differ by one band at most.
+    band = lambda x: F.floor(F.log(F.greatest(x, F.lit(1))) / math.log(2))
+    near_bands = lambda x: F.explode(F.array(*(band(x) + i for i in (-1, 0, 1))))
+    c = c.withColumn("low", near_bands(F.element_at("stated", 1))).withColumn("high", near_bands(F.element_at("stated", -1)))
+    t = t.withColumns({"low": band(F.element_at("found", 1)), "high": band(F.element_at("found", -1))})
     near = F.forall(F.arrays_zip(F.col("stated").alias("a"), F.col("found").alias("b")), lambda p: F.abs(p["a"] - p["b"]) <= F.greatest(F.lit(1), F.ceil(0.2 * p["b"])))
-    return c.join(t, "k").filter(near & (F.col("stated") != F.col("found"))).select("claim_id", "source", F.array_join("stated", ",").alias("stated"), F.array_join("found", ",").alias("found"))
+    return c.join(t, ["k", "low", "high"]).filter(near & (F.col("stated") != F.col("found"))).select("claim_id", "source", F.array_join("stated", ",").alias("stated"), F.array_join("found", ",").alias("found"))

@@ -2,8 +2,10 @@
 
 Equal vectors are found by hash and told as classes: every member with the
 class' smallest (source, group) and its number of links, so a class of any size
-gives one row per member. Pairs are only made within a source, or between
-different value sets that meet in an inverted index.
+gives one row per member. Pairs are made between different vectors only (one
+stands for its equals), and only where an index brings them together: rarest
+values for sets, scale-free bands for multiples. Tables that join their own
+aggregate are stored first, so that adaptive execution can split a hot key.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays
+from plumbline.operators.storage import stored
 from plumbline.operators.vectors import vectors
 
 # What marks a group as a control.
@@ -23,45 +26,109 @@ def control_like(group: F.Column) -> F.Column:
     return F.exists(F.array(*map(F.lit, CONTROLS)), lambda c: F.contains(low, c))
 
 
+def _hashed(v: DataFrame, least: int, decimals: int) -> DataFrame:
+    vals = arrays.rounded(F.col("vals"), decimals)
+    return v.filter(F.col("n") >= least).select("source", "group_key", "n", arrays.value_hash(vals, decimals).alias("fp"))
+
+
 def equal_across_sources(v: DataFrame, least: int = 3, decimals: int = 6) -> DataFrame:
     """(source, group_key, class_source, class_group, n_links): vectors of `least` values that another source holds as well.
 
     n_links counts the equal vectors of other sources. Class minima and counts
-    aggregate map-side; the join back is by hash and splits large classes.
+    aggregate map-side; members meet their class from a stored table.
     """
-    hashed = v.filter(F.col("n") >= least).withColumn("fp", arrays.value_hash(arrays.rounded(F.col("vals"), decimals), decimals)).select("source", "group_key", "n", "fp")
+    hashed = stored(_hashed(v, least, decimals), "hashed")
     per_source = hashed.groupBy("fp", "n", "source").agg(F.count("*").alias("own"), F.min(F.struct("source", "group_key")).alias("first"))
+    per_source = stored(per_source, "per-source")
     classes = per_source.groupBy("fp", "n").agg(F.sum("own").alias("total"), F.min("first").alias("first"), F.count("*").alias("sources")).filter("sources > 1")
-    joined = hashed.join(per_source.select("fp", "n", "source", "own"), ["fp", "n", "source"]).join(classes, ["fp", "n"])
+    classes = stored(classes, "classes")
+    joined = hashed.join(classes, ["fp", "n"]).join(per_source.select("fp", "n", "source", "own"), ["fp", "n", "source"])
     return joined.select("source", "group_key", "n", F.col("first.source").alias("class_source"), F.col("first.group_key").alias("class_group"), (F.col("total") - F.col("own")).alias("n_links"))
 
 
-def within_source(v: DataFrame, least: int) -> DataFrame:
-    """Pairs of a source's vectors: (source, group_a, group_b, a, b), group_a < group_b."""
-    own = v.filter(F.col("n") >= least)
-    a = own.select("source", F.col("group_key").alias("group_a"), F.col("vals").alias("a"))
-    b = own.select("source", F.col("group_key").alias("group_b"), F.col("vals").alias("b"))
-    return a.join(b, "source").filter("group_a < group_b")
+def duplicates_within_source(v: DataFrame, least: int = 4, decimals: int = 6) -> DataFrame:
+    """(source, group_key, class_group, n, n_links): groups of a source whose vector others of it hold as well.
+
+    n_links counts the others, without those of which both look like controls;
+    groups without such a link are left out.
+    """
+    hashed = stored(_hashed(v, least, decimals).withColumn("control", control_like(F.col("group_key"))), "hashed")
+    classes = hashed.groupBy("source", "fp", "n").agg(F.count("*").alias("total"), F.sum(F.col("control").cast("int")).alias("controls"), F.min("group_key").alias("class_group")).filter("total > 1")
+    joined = hashed.join(stored(classes, "classes"), ["source", "fp", "n"])
+    links = F.col("total") - F.when(F.col("control"), F.col("controls")).otherwise(1)
+    return joined.withColumn("n_links", links).filter("n_links > 0").select("source", "group_key", "class_group", "n", "n_links")
 
 
-def duplicates_within_source(v: DataFrame, least: int = 4, decimals: int = 6) -> DataFrame:
-    """Groups of a source with equal vectors, unless both look like controls."""
-    own = v.filter(F.col("n") >= least).withColumn("fp", arrays.value_hash(arrays.rounded(F.col("vals"), decimals), decimals))
-    a = own.select("source", "fp", "n", F.col("group_key").alias("group_a"))
-    b = own.select("source", "fp", "n", F.col("group_key").alias("group_b"))
-    pairs = a.join(b, ["source", "fp", "n"]).filter("group_a < group_b")
-    return pairs.filter(~(control_like(F.col("group_a")) & control_like(F.col("group_b")))).select("source", "group_a", "group_b", "n", "fp")
+def distinct_vectors(v: DataFrame, least: int, decimals: int = 6) -> DataFrame:
+    """(source, group_key, vals, members): each different vector of a source once, under its smallest group."""
+    vals = v.filter(F.col("n") >= least).withColumn("vals", arrays.rounded(F.col("vals"), decimals))
+    return vals.groupBy("source", "vals").agg(F.min("group_key").alias("group_key"), F.count("*").alias("members")).select("source", "group_key", "vals", "members")
 
 
 def ratios_within_source(v: DataFrame, least: int = 4) -> DataFrame:
-    """Groups of a source of which one is k times the other, rank by rank."""
+    """(source, group_a, group_b, k, n): different vectors of a source of which one is k times the other, rank by rank.
+
+    Multiples agree in what does not depend on scale: the number of zeros, the
+    first and the last value over the sum of sizes. They meet in bands of these.
+    """
+    size = F.aggregate("vals", F.lit(0.0), lambda s, x: s + F.abs(x))
+    other = F.filter("vals", lambda x: x != 0)
+    band = lambda x: F.floor(x / F.col("size") * 1e4)
+    each = distinct_vectors(v, least).withColumn("size", size).filter("size > 0").withColumn("other", other)
+    each = each.select("source", "group_key", "vals", F.size("vals").alias("n"), F.size("other").alias("nonzero"), band(F.element_at("other", 1)).alias("first"), band(F.element_at("other", -1)).alias("last"))
+    each = stored(each, "vectors")
+    near = lambda c: F.explode(F.array(*(F.col(c) + i for i in (-1, 0, 1))))
+    a = each.select("source", F.col("group_key").alias("group_a"), F.col("vals").alias("a"), "n", "nonzero", "first", "last").withColumn("first", near("first")).withColumn("last", near("last"))
+    b = each.select("source", F.col("group_key").alias("group_b"), F.col("vals").alias("b"), "n", "nonzero", "first", "last")
+    met = a.join(b, ["source", "n", "nonzero", "first", "last"]).filter("group_a < group_b")
     k = arrays.integer_ratio(F.col("a"), F.col("b"))
-    return within_source(v, least).select("source", "group_a", "group_b", k.alias("k"), F.size("a").cast("long").alias("n")).filter("k IS NOT NULL")
+    return met.select("source", "group_a", "group_b", k.alias("k"), F.col("n").cast("long").alias("n")).filter("k IS NOT NULL")
+
+
+def overlapping(items: DataFrame, share: float) -> DataFrame:
+    """(scope, id_a, id_b, common, n_a, n_b): items (scope, id, tokens: an array without repetition) that have `share` of the smaller one's tokens in common.
+
+    Of two such items the smaller one's rarest tokens - all but as many as `share`
+    of them, and one more - hold one of the other's. So items meet by these few
+    tokens only, never by the common ones. a is the smaller item, then the smaller id.
+    """
+    each = stored(items.filter(F.size("tokens") > 0).select("scope", "id", "tokens", F.size("tokens").alias("n")), "items")
+    places = each.select("scope", "id", "n", F.explode("tokens").alias("token"))
+    seen = stored(places.groupBy("scope", "token").agg(F.count("*").alias("df")), "tokens")
+    ordered = places.join(seen, ["scope", "token"]).groupBy("scope", "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("o"), F.first("n").alias("n"))
+    rare = ordered.select("scope", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1)).alias("e"))
+    a = rare.select("scope", "id_a", "n_a", F.col("e.token").alias("token"))
+    b = places.select("scope", F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token")
+    met = a.join(b, ["scope", "token"]).filter("n_a < n_b OR n_a = n_b AND id_a < id_b").select("scope", "id_a", "id_b", "n_a", "n_b").distinct()
+    ta, tb = each.select("scope", F.col("id").alias("id_a"), F.col("tokens").alias("ta")), each.select("scope", F.col("id").alias("id_b"), F.col("tokens").alias("tb"))
+    both = met.join(ta, ["scope", "id_a"]).join(tb, ["scope", "id_b"]).withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    return both.filter(F.col("common") >= F.col("n_a") * share - 1e-9).select("scope", "id_a", "id_b", "common", "n_a", "n_b")
+
+
+def labelled(values: F.Column) -> F.Column:
+    """Values as tokens that tell repetitions apart, so that sets of them intersect like multisets."""
+    return F.transform(F.sort_array(values), lambda x, i: F.concat_ws("#", x.cast("string"), (i - F.array_position(F.sort_array(values), x) + 1).cast("string")))
 
 
 def shares_within_source(v: DataFrame, least: int = 3) -> DataFrame:
-    """Groups of a source that share values, and how (exact, endpoint_dropout, subset, high_jaccard)."""
-    return within_source(v, least).select("source", "group_a", "group_b", arrays.share_kind(F.col("a"), F.col("b")).alias("kind")).filter("kind IS NOT NULL")
+    """(source, group_a, group_b, kind): different vectors of a source that share values, and how (endpoint_dropout, subset, high_jaccard).
+
+    In each kind one vector's different values lie in the other, all or 0.95 of
+    them, so they meet by rarest values. Equal vectors are told by duplicates_within_source.
+    """
+    each = stored(distinct_vectors(v, least), "vectors")
+    met = overlapping(each.select(F.col("source").alias("scope"), F.col("group_key").alias("id"), F.array_distinct("vals").alias("tokens")), 0.95)
+    pairs = met.select(F.col("scope").alias("source"), F.least("id_a", "id_b").alias("group_a"), F.greatest("id_a", "id_b").alias("group_b"))
+    a = each.select("source", F.col("group_key").alias("group_a"), F.col("vals").alias("a"))
+    b = each.select("source", F.col("group_key").alias("group_b"), F.col("vals").alias("b"))
+    out = pairs.join(a, ["source", "group_a"]).join(b, ["source", "group_b"])
+    return out.select("source", "group_a", "group_b", arrays.share_kind(F.col("a"), F.col("b")).alias("kind")).filter("kind IS NOT NULL")
+
+
+def multiset_overlaps(v: DataFrame, share: float = 0.5) -> DataFrame:
+    """(source, group_a, group_b, hits): vectors of a source that have `share` of the shorter one's values in common, repetitions counted."""
+    met = overlapping(v.select(F.col("source").alias("scope"), F.col("group_key").alias("id"), labelled(F.col("vals")).alias("tokens")), share)
+    return met.select(F.col("scope").alias("source"), F.least("id_a", "id_b").alias("group_a"), F.greatest("id_a", "id_b").alias("group_b"), F.col("common").cast("long").alias("hits"))
 
 
 def similar_sets(obs: DataFrame, threshold: float = 0.95, least: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import pairs
+
 
 def missing_entries(cites: DataFrame, bib: DataFrame) -> DataFrame:
     """Cited keys (doc, key) that the bibliography (doc, key, alias) has under neither name, once each."""
@@ -73,10 +75,13 @@ def matched_by_priority(bib: DataFrame, files: DataFrame) -> DataFrame:
     status: matched, ambiguous (more than one by the best rule) or unmatched.
     """
     by_doi = bib.filter("doi IS NOT NULL").join(files.select("file", "doi"), "doi").select("entry", "file", F.lit(1).alias("rule"))
-    tokens = lambda d, name: d.select(name, "year", F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " "), " "), lambda t: F.length(t) > 2)).alias(f"t_{name}"))
-    both = tokens(bib, "entry").join(tokens(files, "file"), "year")
-    overlap = F.size(F.array_intersect("t_entry", "t_file")) / F.greatest(F.least(F.size("t_entry"), F.size("t_file")), F.lit(1))
-    by_title = both.filter(overlap >= 0.6).select("entry", "file", F.lit(2).alias("rule"))
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " "), " "), lambda t: F.length(t) > 2))
+    side = lambda d, name: d.select(F.col("year").alias("scope"), F.struct(F.lit(name).alias("side"), F.col(name).cast("string").alias("of")).alias("id"), words.alias("tokens"))
+    # Only entries whose DOI leads nowhere look for their title, by its rarest words within the year.
+    open_entries = bib.join(by_doi.select("entry").distinct(), "entry", "left_anti")
+    met = pairs.overlapping(side(open_entries, "entry").union(side(files, "file")), 0.6).filter("id_a.side <> id_b.side")
+    of = lambda name: F.when(F.col("id_a.side") == name, F.col("id_a.of")).otherwise(F.col("id_b.of"))
+    by_title = met.select(of("entry").cast(bib.schema["entry"].dataType).alias("entry"), of("file").cast(files.schema["file"].dataType).alias("file"), F.lit(2).alias("rule"))
     hits = by_doi.union(by_title)
     best = hits.groupBy("entry").agg(F.min("rule").alias("rule"))
     top = hits.join(best, ["entry", "rule"]).groupBy("entry", "rule").agg(F.count_distinct("file").alias("n"), F.min("file").alias("file"))

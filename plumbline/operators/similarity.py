@@ -6,52 +6,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that a pass over the table compares at a time; what is broadcast grows with this only.
-QUERY_BLOCK = 4096
-
-
-def _search_block(queries: list, table: DataFrame, k: int, floor: float, mirrored: bool) -> DataFrame:
-    held = table.sparkSession.sparkContext.broadcast((np.array([r[0] for r in queries], np.int64), np.stack([np.asarray(r[1], np.float64) for r in queries])))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = held.value
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
-        best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).T
-            s = np.round(np.abs(s) if mirrored else s, 9)
-            own = pdf["id"].to_numpy()
-            s[ids[:, None] == own[None, :]] = -2
-            best, best_id = np.concatenate([best, s], 1), np.concatenate([best_id, np.broadcast_to(own, s.shape)], 1)
-            keep = np.lexsort((best_id, -best), axis=1)[:, :k]
-            best, best_id = np.take_along_axis(best, keep, 1), np.take_along_axis(best_id, keep, 1)
-        rows, cols = np.nonzero(best >= max(floor, -1.5))
-        yield pd.DataFrame({"query": ids[rows], "id": best_id[rows, cols], "score": best[rows, cols]})
-
-    return table.select("id", "v").mapInPandas(run, "query long, id long, score double")
+#: Queries and rows of a block; a task holds one block of each.
+QUERY_BLOCK, ROW_BLOCK = 2048, 32768
+
+
+def _best(k: int, floor: float, mirrored: bool):
+    def best(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        ids, own = queries.column("id").to_numpy(), rows.column("id").to_numpy()
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(ids) and len(own):
+            q, x = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1) for t in (queries, rows))
+            q, x = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30) for m in (q, x))
+            out = []
+            for lo in range(0, len(ids), 256):
+                s = q[lo : lo + 256] @ x.T
+                s = np.round(np.abs(s) if mirrored else s, 9)
+                s[ids[lo : lo + 256, None] == own[None, :]] = -2
+                if s.shape[1] > k:
+                    # Everything from the k-th best score on, then in order: ties go by id.
+                    at_least = np.partition(s, -k, axis=1)[:, -k]
+                    r, c = np.nonzero((s >= at_least[:, None]) & (s >= max(floor, -1.5)))
+                else:
+                    r, c = np.nonzero(s >= max(floor, -1.5))
+                order = np.lexsort((own[c], -s[r, c], r))
+                r, c = r[order], c[order]
+                first = np.searchsorted(r, r)
+                few = np.arange(len(r)) - first < k
+                out.append((ids[lo + r[few]], own[c[few]], s[r[few], c[few]]))
+            found = [np.concatenate(col) for col in zip(*out, strict=True)]
+        return pa.table({"query": pa.array(found[0], pa.int64()), "id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+
+    return best
 
 
 def top_k(queries: DataFrame, table: DataFrame, k: int = 5, floor: float = -1.0, mirrored: bool = False) -> DataFrame:
     """(query, rank, id, score): the k rows of table (id, v) with the highest cosine for each query (id, v), ties by id, itself left out.
 
-    mirrored takes the absolute value. Each task keeps k rows a query; queries go
-    in blocks of bounded size.
+    Both sides are dealt into blocks of about equal size and every block of
+    queries meets every block of rows in a task of its own, which hands on k rows
+    a query; nothing is gathered on the driver. mirrored takes the absolute value.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = None
-    for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "v").collect()
-        if rows:
-            part = _search_block(rows, table, k, floor, mirrored)
-            parts = part if parts is None else parts.union(part)
-    if parts is None:
-        parts = table.sparkSession.createDataFrame([], "query long, id long, score double")
+    n_queries, n_rows = (max(1, -(-df.count() // most)) for df, most in ((queries, QUERY_BLOCK), (table, ROW_BLOCK)))
+    deal = lambda df, n, seed, name: df.select("id", "v", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int").alias(name))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = deal(queries, n_queries, 1, "qb").withColumn("rb", every(n_rows))
+    r = deal(table, n_rows, 2, "rb").withColumn("qb", every(n_queries))
+    parts = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(_best(k, floor, mirrored), "query long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return parts.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
 

@@ -84,14 +84,16 @@ def catalog_diff(spark, d):
     return refs.compared(a, b, ["k"], ["seg", "nat"])
 
 
-@query("""WITH p AS (SELECT p_partkey, p_brand, year(DATE '2000-01-01') AS y, p_name FROM part),
-  e AS (SELECT 'E' || p_partkey AS entry, CASE WHEN p_partkey % 2 = 0 THEN 'd' || p_partkey END AS doi FROM p), f AS (SELECT 'F' || p_partkey AS file, 'd' || p_partkey AS doi FROM p WHERE p_partkey % 3 <> 0)
-  SELECT e.entry, CASE WHEN f.file IS NULL THEN 'unmatched' ELSE 'matched' END AS status, f.file, CASE WHEN f.file IS NOT NULL THEN 1 END AS rule FROM e LEFT JOIN f ON e.doi = f.doi""")
+@query("""WITH p AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) > 2)) AS w FROM part),
+  e AS (SELECT 'E' || p_partkey AS entry, CASE WHEN p_partkey % 2 = 0 THEN 'd' || p_partkey END AS doi, 1990 + p_size AS year, w FROM p), f AS (SELECT 'F' || p_partkey AS file, 'd' || p_partkey AS doi, 1990 + p_size AS year, w FROM p WHERE p_partkey % 3 <> 0),
+  h1 AS (SELECT entry, file FROM e JOIN f USING (doi)), h2 AS (SELECT entry, file FROM e JOIN f ON e.year = f.year WHERE entry NOT IN (SELECT entry FROM h1) AND len(list_intersect(e.w, f.w)) >= 0.6 * least(len(e.w), len(f.w))),
+  g AS (SELECT entry, 1 AS rule, count(DISTINCT file) AS n, min(file) AS file FROM h1 GROUP BY entry UNION ALL SELECT entry, 2, count(DISTINCT file), min(file) FROM h2 GROUP BY entry)
+  SELECT e.entry, CASE WHEN g.n IS NULL THEN 'unmatched' WHEN g.n = 1 THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN g.n = 1 THEN g.file END AS file, g.rule FROM e LEFT JOIN g USING (entry)""")
 def matched_by_doi(spark, d):
-    """Parts as entries and files; years differ, so that only the DOI rule can match."""
-    p = table(spark, d, "part")
-    bib = p.selectExpr("concat('E', p_partkey) AS entry", "CASE WHEN p_partkey % 2 = 0 THEN concat('d', p_partkey) END AS doi", "2000 AS year", "p_name AS title")
-    files = p.filter("p_partkey % 3 <> 0").selectExpr("concat('F', p_partkey) AS file", "concat('d', p_partkey) AS doi", "2001 AS year", "p_name AS title")
+    """Parts as entries and files: half of the entries have a DOI, a third of the files are gone; what no DOI finds, its title within a year may."""
+    p = table(spark, d, "part").withColumns({"year": F.col("p_size") + 1990, "title": F.concat_ws(" ", "p_name", "p_type")})
+    bib = p.selectExpr("concat('E', p_partkey) AS entry", "CASE WHEN p_partkey % 2 = 0 THEN concat('d', p_partkey) END AS doi", "year", "title")
+    files = p.filter("p_partkey % 3 <> 0").selectExpr("concat('F', p_partkey) AS file", "concat('d', p_partkey) AS doi", "year", "title")
     return refs.matched_by_priority(bib, files)
 
 
@@ -246,7 +248,12 @@ def cosine_top_k(spark, d):
     return similarity.top_k(v.filter("id % 20 = 0"), v).withColumn("score", F.round("score", 6))
 
 
-@query()
+_HALF = """SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query, v.id, round(list_dot_product(q.v, v.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(v.v, v.v)), 9) AS score FROM v q JOIN v ON {q} AND {v} WHERE q.id % 20 = 0)"""
+
+
+@query(f"""WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL),
+  a AS ({_HALF.format(q="q.label < 5", v="v.label >= 5")}), b AS ({_HALF.format(q="q.label >= 5", v="v.label < 5")}),
+  u AS (SELECT query AS a, id AS b, score FROM a WHERE rank <= 3 UNION ALL SELECT id, query, score FROM b WHERE rank <= 3) SELECT a, b, round(max(score), 6) AS score FROM u GROUP BY a, b""")
 def cosine_shortlist(spark, d):
     """Best partners across two halves of the labels, from either side."""
     v = table(spark, d, "embeddings").filter("embedding IS NOT NULL").selectExpr("vec_id AS id", "embedding AS v", "label")

@@ -91,14 +91,17 @@ def exact_across_sources(spark, d):
     return pairs.equal_across_sources(vectors.vectors(discounts(spark, d)), 3)
 
 
-@query(f"""WITH v AS ({VECTORS.format(obs=OBS_L)}) SELECT a.source, a.group_key AS group_a, b.group_key AS group_b, a.n
-  FROM v a JOIN v b ON a.source = b.source AND a.vals = b.vals AND a.group_key < b.group_key WHERE a.n >= 2""")
+@query(f"""WITH v AS ({VECTORS.format(obs=OBS_L)}), c AS (SELECT source, vals, count(*) AS total, min(group_key) AS class_group FROM v WHERE n >= 2 GROUP BY source, vals HAVING count(*) > 1)
+  SELECT v.source, v.group_key, c.class_group, v.n, CAST(c.total - 1 AS BIGINT) AS n_links FROM v JOIN c ON v.source = c.source AND v.vals = c.vals""")
 def duplicates_within_source(spark, d):
     """min_n is 2: at the default of 4 the driver's tables hold no pair."""
-    return pairs.duplicates_within_source(vectors.vectors(line_numbers(spark, d)), 2).drop("fp")
+    return pairs.duplicates_within_source(vectors.vectors(line_numbers(spark, d)), 2)
 
 
-@query(f"""WITH v AS ({VECTORS.format(obs=OBS_L)}),
+_REPS = f"""v AS (SELECT source, vals, n, min(group_key) AS group_key FROM ({VECTORS.format(obs="{obs}")}) GROUP BY source, vals, n)"""
+
+
+@query(f"""WITH {_REPS.format(obs=OBS_L)},
   p AS (SELECT a.source, a.group_key AS group_a, b.group_key AS group_b, a.n, CASE WHEN list_sum(a.vals) <= list_sum(b.vals) THEN a.vals ELSE b.vals END AS x,
         CASE WHEN list_sum(a.vals) <= list_sum(b.vals) THEN b.vals ELSE a.vals END AS y
         FROM v a JOIN v b ON a.source = b.source AND a.group_key < b.group_key AND a.n = b.n AND a.vals <> b.vals WHERE a.n >= 2),
@@ -110,15 +113,15 @@ def ratios_within_source(spark, d):
     return pairs.ratios_within_source(vectors.vectors(line_numbers(spark, d)), 2)
 
 
-@query(f"""WITH v AS ({VECTORS.format(obs=OBS_L)}),
+@query(f"""WITH {_REPS.format(obs=OBS_Q)},
   p AS (SELECT a.source, a.group_key AS group_a, b.group_key AS group_b, a.vals AS a, b.vals AS b, CASE WHEN a.n < b.n THEN a.vals ELSE b.vals END AS s, CASE WHEN a.n < b.n THEN b.vals ELSE a.vals END AS l
         FROM v a JOIN v b ON a.source = b.source AND a.group_key < b.group_key WHERE a.n >= 3 AND b.n >= 3),
   q AS (SELECT *, len(list_filter(range(0, len(l) - len(s) + 1), lambda i: l[i + 1 : i + len(s)] = s)) > 0 AS slice,
         len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 OR len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS sub, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS jac FROM p)
-  SELECT source, group_a, group_b, CASE WHEN a = b THEN 'exact' WHEN len(a) <> len(b) AND slice THEN 'endpoint_dropout' WHEN len(s) >= 4 AND sub THEN 'subset' ELSE 'high_jaccard' END AS kind FROM q
-  WHERE a = b OR (len(a) <> len(b) AND slice) OR (len(s) >= 4 AND sub) OR (len(s) >= 5 AND jac >= 0.95)""")
+  SELECT source, group_a, group_b, CASE WHEN len(a) <> len(b) AND slice THEN 'endpoint_dropout' WHEN len(s) >= 4 AND sub THEN 'subset' ELSE 'high_jaccard' END AS kind FROM q
+  WHERE (len(a) <> len(b) AND slice) OR (len(s) >= 4 AND sub) OR (len(s) >= 5 AND jac >= 0.95)""")
 def shares_within_source(spark, d):
-    return pairs.shares_within_source(vectors.vectors(line_numbers(spark, d)), 3)
+    return pairs.shares_within_source(vectors.vectors(quantities(spark, d)), 3)
 
 
 _SETS = f"""s AS (SELECT source, group_key, list_sort(list_distinct(vals)) AS vals FROM ({VECTORS.format(obs=OBS_Q)}) WHERE len(list_distinct(vals)) >= 5),
@@ -226,7 +229,7 @@ def balance_bands(spark, d):
 
 @query("""WITH g AS (SELECT c_mktsegment AS source, CAST(c_nationkey AS VARCHAR) AS group_key, count(*) AS n FROM customer GROUP BY ALL),
   c AS (SELECT DISTINCT c_mktsegment AS source, CAST(5 AS BIGINT) AS stated_n FROM customer UNION SELECT DISTINCT c_mktsegment, CAST(1000000 AS BIGINT) FROM customer)
-  SELECT DISTINCT c.source, c.stated_n, g.group_key, g.n FROM c JOIN g ON c.source = g.source WHERE g.n <> c.stated_n AND NOT EXISTS (SELECT 1 FROM g x WHERE x.source = c.source AND x.n = c.stated_n)""")
+  SELECT DISTINCT c.source, c.stated_n, g.group_key, g.n FROM c JOIN g ON c.source = g.source WHERE g.n <> c.stated_n""")
 def count_conflicts(spark, d):
     counts = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("source"), F.col("c_nationkey").cast("string").alias("group_key")).agg(F.count("*").alias("n"))
     stated = table(spark, d, "customer").select(F.col("c_mktsegment").alias("source"), F.explode(F.array(F.lit(5).cast("long"), F.lit(1000000).cast("long"))).alias("stated_n")).distinct()
@@ -247,18 +250,27 @@ def bars_beyond_view(spark, d):
     return nearest.exceeds_view(bars, p.selectExpr("p_brand AS source", "cast(p_partkey as string) AS file", "cast(p_size as double) AS fov_um"))
 
 
-@query(f"""WITH v AS ({VECTORS.format(obs=OBS_S)}) SELECT a.source, a.group_key AS group_a, b.group_key AS group_b,
+@query(f"""WITH v AS ({VECTORS.format(obs=OBS_S)}), p AS (SELECT a.source, a.group_key AS group_a, b.group_key AS group_b, least(a.n, b.n) AS n,
   CAST(list_sum(list_transform(list_distinct(a.vals), lambda x: least(len(list_filter(a.vals, lambda y: y = x)), len(list_filter(b.vals, lambda y: y = x))))) AS BIGINT) AS hits
-  FROM v a JOIN v b ON a.source = b.source AND a.group_key < b.group_key""")
+  FROM v a JOIN v b ON a.source = b.source AND a.group_key < b.group_key) SELECT source, group_a, group_b, hits FROM p WHERE hits >= 0.5 * n""")
 def multiset_overlaps(spark, d):
-    p = pairs.within_source(vectors.vectors(sizes(spark, d)), 1)
-    return p.select("source", "group_a", "group_b", arrays.multiset_hits(F.col("a"), F.col("b")).cast("long").alias("hits"))
+    return pairs.multiset_overlaps(vectors.vectors(sizes(spark, d)), 0.5)
 
 
-@query()
+_Z = "list_transform({v}[1:m], lambda e: CASE WHEN {s} > 0 THEN (e - list_avg({v}[1:m])) / {s} ELSE 0.0 END)"
+
+
+@query(f"""WITH v AS ({VECTORS.format(obs=OBS_B)}), w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, group_key) AS r FROM v),
+  p AS (SELECT a.source, a.group_key, b.group_key AS largest, a.vals AS x, b.vals AS y, a.n AS n1, b.n AS n2, CAST(least(a.n, b.n) AS INT) AS m FROM w a JOIN w b ON a.source = b.source AND b.r = 1 WHERE a.r > 1),
+  s AS (SELECT *, list_stddev_pop(x[1:m]) AS sx, list_stddev_pop(y[1:m]) AS sy FROM p),
+  z AS (SELECT *, {_Z.format(v="x", s="sx")} AS zx, {_Z.format(v="y", s="sy")} AS zy FROM s)
+  SELECT source, group_key, largest, CASE WHEN m >= 4 AND abs(n1 - n2) <= 2 THEN round(greatest(0.0, 1 - list_avg(list_transform(list_zip(zx, zy), lambda q: abs(q[1] - q[2]))) / 2) + 1e-9, 6) ELSE 0.0 END AS score FROM z""")
 def shape_similarity(spark, d):
-    p = pairs.within_source(vectors.vectors(sizes(spark, d)), 4)
-    return p.select("source", "group_a", "group_b", F.round(arrays.z_similarity(F.col("a"), F.col("b")), 6).alias("score")).filter("score >= 0.9")
+    """The shape of every group of a source against its largest group's."""
+    v = vectors.vectors(balances(spark, d))
+    top = v.groupBy("source").agg(F.max_by(F.struct("group_key", "vals"), F.struct("n", F.transform(F.split("group_key", ""), lambda c: -F.ascii(c)))).alias("t"))
+    both = v.join(top, "source").filter(F.col("group_key") != F.col("t.group_key"))
+    return both.select("source", "group_key", F.col("t.group_key").alias("largest"), F.round(arrays.z_similarity(F.col("vals"), F.col("t.vals")) + F.when((F.least("n", F.size("t.vals")) >= 4) & (F.abs(F.col("n") - F.size("t.vals")) <= 2), 1e-9).otherwise(0.0), 6).alias("score"))
 
 
 @query("""SELECT CAST(c_nationkey AS VARCHAR) AS source, count(DISTINCT c_mktsegment) AS n_groups, count(DISTINCT c_mktsegment) * (count(DISTINCT c_mktsegment) - 1) // 2 AS n_pairs FROM customer GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) >= 3""")

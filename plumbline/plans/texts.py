@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
-from plumbline.operators import ordered, retrieval
+from plumbline.operators import ordered, pairs, retrieval
 from plumbline.plans.registry import query, table
 
 
@@ -43,17 +43,19 @@ def falling_cohorts(spark, d):
     return ordered.falling_cohorts(_series(spark, d).withColumn("value", F.floor(F.lit(100) / F.col("ord"))))
 
 
-@query(f"""WITH s AS (SELECT *, coalesce(value > lag(value) OVER (PARTITION BY curve ORDER BY ord), true) AS ok FROM ({CURVES}) WHERE ord <= 3)
+@query(f"""WITH v AS (SELECT curve, ord, CASE WHEN curve % 3 = 0 THEN value ELSE ord + value / 1e9 END AS value FROM ({CURVES})),
+  s AS (SELECT *, coalesce(value > lag(value) OVER (PARTITION BY curve ORDER BY ord), true) AS ok FROM v)
   SELECT curve, count(*) AS n FROM s GROUP BY curve HAVING count(*) >= 2 AND bool_and(ok)""")
 def rising_starts(spark, d):
-    """Users whose first three values rise."""
-    return ordered.strictly_rising(_series(spark, d).filter("ord <= 3"))
+    """Whole curves; two thirds of the users have their values raised by their order."""
+    value = F.when(F.col("curve") % 3 == 0, F.col("value")).otherwise(F.col("ord") + F.col("value") / 1e9)
+    return ordered.strictly_rising(_series(spark, d).withColumn("value", value))
 
 
 @query()
 def cohort_sizes(spark, d):
-    """Survival curves k / (5 + user mod 40), printed with three decimals, of the first six events."""
-    s = _series(spark, d).filter("ord <= 6").withColumn("n", 5 + F.col("curve") % 40)
+    """Survival curves of 5 + user mod 40 animals of which one dies at each event, printed with three decimals."""
+    s = _series(spark, d).withColumn("n", 5 + F.col("curve") % 40)
     s = s.withColumn("survival", F.round(F.greatest(F.lit(0), F.col("n") - F.col("ord") + 1) / F.col("n"), 3))
     return ordered.cohort_sizes(s.select(F.col("curve").cast("string").alias("curve"), "ord", "survival"))
 
@@ -131,24 +133,15 @@ def normalized_titles(spark, d):
 @query("""WITH t AS (SELECT DISTINCT p_name || ' ' || p_type AS n FROM part), w AS (SELECT n, list_distinct(list_filter(string_split(regexp_replace(lower(n), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM t)
   SELECT a.n AS title_a, b.n AS title_b, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6) AS overlap FROM w a JOIN w b ON a.n < b.n WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.6""")
 def title_overlaps(spark, d):
-    """Different part titles that share a word meet by that word."""
-    names = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("p_name")).distinct()
-    words = names.select("p_name", F.explode(F.array_distinct(text.tokens(F.col("p_name"), 1))).alias("w"))
-    met = words.select("w", F.col("p_name").alias("title_a")).join(words.select("w", F.col("p_name").alias("title_b")), "w").filter("title_a < title_b").select("title_a", "title_b").distinct()
-    return met.withColumn("overlap", F.round(text.title_overlap(F.col("title_a"), F.col("title_b")), 6)).filter("overlap >= 0.6")
-
-
-@query("""WITH t AS (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \\n\\t]+', '[URL]', 'g'), '10\\.[0-9]{4,9}/[^ \\n\\t]+', '[DOI]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{8,}', '[ID]', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), 1, 12000) AS r FROM documents)
-  SELECT doc_id, CAST(length(r) AS BIGINT) AS n, sha256(r) AS sha FROM t""")
-def redacted(spark, d):
-    """The first 12,000 characters, as its SQL says; redacted_whole has the whole texts."""
-    t = table(spark, d, "documents").select("doc_id", text.redacted(F.col("text"), 12000).alias("r"))
-    return t.select("doc_id", F.length("r").cast("long").alias("n"), F.sha2("r", 256).alias("sha"))
+    """Different part titles meet by their rarest words."""
+    names = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("id")).distinct()
+    met = pairs.overlapping(names.select(F.lit(0).alias("scope"), "id", F.array_distinct(text.tokens(F.col("id"), 1)).alias("tokens")), 0.6)
+    return met.select(F.least("id_a", "id_b").alias("title_a"), F.greatest("id_a", "id_b").alias("title_b"), F.round(F.col("common") / F.col("n_a"), 6).alias("overlap"))
 
 
 @query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \\n\\t]+', '[URL]', 'g'), '10\\.[0-9]{4,9}/[^ \\n\\t]+', '[DOI]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{8,}', '[ID]', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS r FROM documents)
   SELECT doc_id, CAST(length(r) AS BIGINT) AS n, sha256(r) AS sha FROM t""")
-def redacted_whole(spark, d):
+def redacted(spark, d):
     t = table(spark, d, "documents").select("doc_id", text.redacted(F.col("text")).alias("r"))
     return t.select("doc_id", F.length("r").cast("long").alias("n"), F.sha2("r", 256).alias("sha"))
 

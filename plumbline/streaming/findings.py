@@ -18,15 +18,19 @@ from pyspark.sql.utils import AnalysisException
 from plumbline.operators import pairs, vectors
 
 
+#: Parts of the store by source.
+PARTS = 256
+
+
 def finding_id(pattern: str, *keys: str) -> F.Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", F.lit(pattern), *(F.col(k) for k in keys)), 256), 1, 16)
 
 
 def duplicate_findings(obs: DataFrame, least: int = 4) -> DataFrame:
-    """(finding_id, pattern_id, source, group_a, group_b, n): equal vectors within a source."""
-    found = pairs.duplicates_within_source(vectors.vectors(obs), least)
+    """(finding_id, pattern_id, source, group_a, group_b, n): a source's groups that hold the vector of an earlier one, group_a."""
+    found = pairs.duplicates_within_source(vectors.vectors(obs), least).filter("group_key <> class_group")
     pattern = "P-SOURCE-DUPLICATE-VALUES"
-    return found.select(finding_id(pattern, "source", "group_a", "group_b", "fp").alias("finding_id"), F.lit(pattern).alias("pattern_id"), "source", "group_a", "group_b", "n")
+    return found.select(finding_id(pattern, "source", "class_group", "group_key", "n").alias("finding_id"), F.lit(pattern).alias("pattern_id"), "source", F.col("class_group").alias("group_a"), F.col("group_key").alias("group_b"), "n")
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -42,14 +46,19 @@ def screen(stream: DataFrame, store: str, checkpoint: str, check: Callable[[Data
     """Starts screening of a stream of obs (source, group_key, value). Findings land below store/findings, one folder per batch.
 
     Each batch writes its own folders, overwritten if the batch is run again, so
-    every finding is told exactly once.
+    every finding is told exactly once. The store is cut by a hash of the source:
+    a batch reads only the parts that hold its sources.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        rows.write.mode("overwrite").parquet(f"{store}/obs/batch={number}")
-        every = spark.read.option("basePath", f"{store}/obs").parquet(f"{store}/obs").filter(F.col("batch") <= number).drop("batch")
-        touched = rows.select("source").distinct()
+        rows.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(PARTS)).cast("int")).write.mode("overwrite").partitionBy("part").parquet(f"{store}/obs/batch={number}")
+        new = _stored(spark, f"{store}/obs/batch={number}")
+        if new is None:
+            return
+        parts = [r["part"] for r in new.select("part").distinct().collect()]
+        every = spark.read.option("basePath", f"{store}/obs").parquet(f"{store}/obs").filter(F.col("part").isin(parts) & (F.col("batch") <= number)).drop("batch", "part")
+        touched = new.select("source").distinct()
         found = check(every.join(touched, "source", "left_semi"))
         told = _stored(spark, f"{store}/findings")
         if told is not None:

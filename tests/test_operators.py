@@ -14,7 +14,7 @@ def obs(spark, groups):
 def test_duplicates_and_controls(spark):
     same = [1.01, 1.12, 0.98, 1.07, 1.15]
     out = pairs.duplicates_within_source(vectors.vectors(obs(spark, {"gene_a": same, "gene_b": same, "ctrl1": [1, 2, 3, 4], "ctrl2": [1, 2, 3, 4]}))).collect()
-    assert [(r["group_a"], r["group_b"], r["n"]) for r in out] == [("gene_a", "gene_b", 5)]
+    assert sorted((r["group_key"], r["class_group"], r["n"], r["n_links"]) for r in out) == [("gene_a", "gene_a", 5, 1), ("gene_b", "gene_a", 5, 1)]
 
 
 def test_ratio(spark):
