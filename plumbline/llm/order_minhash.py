@@ -7,9 +7,12 @@ common sketch form a bucket; each meets the bucket's smallest id among those of
 about its length, a number of pairs linear in the bucket. Short texts, whose few
 k-mers sketches may miss, also meet by each of their k-mers. Pairs that met are
 candidates, and one counts if the texts' edit similarity in words, 1 - distance
-/ longer length, reaches the threshold by a banded alignment. Texts that failed against a hub,
-linked elsewhere or not, get a hub from among themselves in that bucket, up to
-`ROUNDS` times. Classes are the connected components of the pairs that count.
+/ longer length, reaches the threshold by a banded alignment. Texts that failed
+against a hub, linked elsewhere or not, meet again under `SECOND` second
+sketches, each a key under which they failed together with a word of the text,
+both the smallest under a seed: texts that are alike agree in both far more
+often than strangers who share a common line. Classes are the connected
+components of the pairs that count.
 
 Texts with the same words are one text from the start. Texts with fewer than
 `SHORTEST` words, null ones among them (no words), have equal texts only as
@@ -44,8 +47,8 @@ KEYS = 64
 SHORTEST = 5
 #: Texts of at most so many words also meet by each k-mer, and those of at most `ONE_EDIT`, which 0.8 lets differ in one word, without each of their words.
 SHORT, ONE_EDIT = 64, 9
-#: How often texts seek a hub of their like in a bucket.
-ROUNDS = 4
+#: Second sketches of texts that failed against a hub: a key of theirs with a word.
+SECOND = 24
 PAIR = ["id", "th", "hub", "hub_th"]
 SEEDS = np.random.default_rng(5).integers(1, 1 << 62, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -100,6 +103,24 @@ def sketch_keys(texts: list[list[bytes]], k: int = K) -> list[list[int]]:
     return out
 
 
+def word_minima(texts: list[list[bytes]]) -> np.ndarray:
+    """For every text the smallest of its occurrence-labelled words under each of SECOND seeds, as 32 bits; 0 without words."""
+    lens = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), SECOND), np.int32)
+    have = np.flatnonzero(lens)
+    if not len(have):
+        return out
+    a = hashed(texts)
+    of = np.repeat(np.arange(len(texts)), lens)
+    label = _mixed(a + _occurrences(a, of).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    begin = (np.cumsum(lens) - lens)[have]
+    for s in range(SECOND):
+        h = (label ^ SEEDS[s]) * np.uint64(0xA0761D6478BD642F)
+        h ^= h >> np.uint64(32)
+        out[have, s] = np.minimum.reduceat(h, begin).astype(np.uint32).view(np.int32)
+    return out
+
+
 def _without_one(text: list[bytes]) -> list[int]:
     """Keys that two texts share if one edit makes them equal: of the text, and of it without each word."""
     left = [text, *(text[:i] + text[i + 1 :] for i in range(len(text)))]
@@ -168,59 +189,71 @@ def _sketched(source: DataFrame, k: int) -> DataFrame:
         for batch in chunks(batches, "text"):
             texts = [words(t) for t in batch.column("text").to_pylist()]
             same = [hashlib.blake2b(b" ".join(t), digest_size=16).digest() for t in texts]
-            columns = [pa.array(same, pa.binary()), pa.array([len(t) for t in texts], pa.int32()), pa.array(sketch_keys(texts, k), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *columns], ["id", "th", "same", "n", "keys"])
+            minima = pa.array(word_minima(texts).ravel(), pa.int32())
+            second = pa.ListArray.from_arrays(pa.array(np.arange(0, len(minima) + 1, SECOND), pa.int32()), minima)
+            columns = [pa.array(same, pa.binary()), pa.array([len(t) for t in texts], pa.int32()), pa.array(sketch_keys(texts, k), pa.list_(pa.int64())), second]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *columns], ["id", "th", "same", "n", "keys", "second"])
         forget()
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.filter("id IS NOT NULL").mapInArrow(run, f"id {kind}, th int, same binary, n int, keys array<long>")
+    return source.filter("id IS NOT NULL").mapInArrow(run, f"id {kind}, th int, same binary, n int, keys array<long>, second array<int>")
 
 
-def _met(rows: DataFrame, seekers: DataFrame, threshold: float, mixed: bool) -> tuple[DataFrame, DataFrame]:
-    """(id, th, key, hub, hub_th) of each row with its buckets' hubs whose lengths allow the threshold, and the hubs.
+def _met(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, th, key, hub, hub_th) of each row (id, th, n, band, key) with its buckets' hubs whose lengths allow the threshold.
 
-    A bucket has a hub for each band of lengths, the smallest id of its seekers there, or, if mixed, another one in each bucket; a row meets those of its own band and the next ones.
+    A bucket has a hub for each band of lengths, the smallest id there; a row meets those of its own band and the next ones.
     """
-    first = [F.xxhash64("id", "th", "key").alias("h")] if mixed else []
-    hubs = stored(seekers.groupBy("key", "band").agg(F.min(F.struct(*first, "id", "th", "n")).alias("hub")), "hubs")  # a join straight on the aggregate's partitions could not split a hot bucket
+    hubs = stored(rows.groupBy("key", "band").agg(F.min(F.struct("id", "th", "n")).alias("hub")), "hubs")  # a join straight on the aggregate's partitions could not split a hot bucket
     near = hubs.select("key", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"), "hub")
     allowed = F.least("n", "hub.n") >= F.greatest("n", "hub.n") * F.lit(threshold) - 1e-9
     met = rows.join(near, ["key", "band"]).filter((F.struct("id", "th") != F.struct("hub.id", "hub.th")) & allowed)
-    return met.select("id", "th", "key", F.col("hub.id").alias("hub"), F.col("hub.th").alias("hub_th")), hubs
+    met = stored(met.select("id", "th", "key", F.col("hub.id").alias("hub"), F.col("hub.th").alias("hub_th")), "met")
+    release(hubs)
+    return met
 
 
 def _links(texts: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
-    """(id, th, hub, hub_th) of the pairs that count.
+    """(id, th, hub, hub_th) of pairs that count, enough of them that their components are those of all pairs found.
 
-    Texts whose pair with a hub failed seek one of their like in the same bucket: in the next round one of them is the hub that all texts of the bucket meet.
+    Each text is compared first with the hub it shares most keys with, which in
+    a large group of copies joins nearly all of it; after that only pairs whose
+    ends lie in different components are.
     """
     width = -math.log(min(0.99, max(0.01, threshold)))
-    keyed = texts.select("id", "th", "n", F.floor(F.log("n") / width).cast("int").alias("band"), F.explode("keys").alias("key"))
+    band = F.floor(F.log("n") / width).cast("int").alias("band")
+    keyed = texts.select("id", "th", "n", band, F.explode("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "shared")
     rows = stored(keyed.join(shared, "key"), "buckets")
-    release(shared)
-    seekers, done = rows, None
-    for i in range(ROUNDS):
-        met, hubs = _met(rows, seekers, threshold, i > 0)
-        met = stored(met, "met")
-        pairs = met.drop("key").distinct()
-        if done is not None:
-            pairs = pairs.join(done, PAIR, "left_anti")
-        asked = stored(pairs, "candidates")
-        new = stored(_verified(asked, source, threshold), "pairs")
-        release(asked)
-        done = new if done is None else done.union(new)
-        failed = met.join(done.filter("similarity = 0"), PAIR).select("id", "th", "key").distinct()
-        seek = stored(seekers.join(failed, ["id", "th", "key"], "left_semi").join(hubs.select("hub.id", "hub.th", "key"), ["id", "th", "key"], "left_anti"), "seekers")
-        release(met, hubs, seekers if i else None)
-        seekers = seek
-        if seekers.isEmpty():
-            break
+    met = _met(rows, threshold)
+    release(shared, rows)
+    pairs = stored(met.groupBy(*PAIR).agg(F.count("*").alias("shared")), "pairs")
+    best = F.max_by(F.struct("hub", "hub_th"), F.struct("shared", -F.col("hub_th").cast("long"), F.xxhash64("hub"))).alias("best")
+    first = pairs.groupBy("id", "th").agg(best).select("id", "th", "best.hub", "best.hub_th")
+    done = stored(_verified(first, source, threshold), "verified")
+    parts = components(done.filter("similarity > 0"), "id", "hub")
+    done = done.union(stored(_verified(_apart(pairs.select(*PAIR).join(done.select(*PAIR), PAIR, "left_anti"), parts), source, threshold), "verified"))
+    failed = met.join(done.filter("similarity = 0"), PAIR).select("id", "th", "key").distinct()
+    picked = failed.groupBy("id", "th").agg(F.array(*(F.min_by("key", F.xxhash64("key", F.lit(s))) for s in range(SECOND))).alias("picked"))
+    both = F.explode(F.array_distinct(F.transform(F.arrays_zip("picked", "second"), lambda x, s: F.xxhash64(x["picked"], x["second"], s)))).alias("key")
+    again = stored(picked.join(texts.select("id", "th", "n", "second"), ["id", "th"]).select("id", "th", "n", band, both), "again")
+    release(met, pairs)
+    second = _met(again, threshold)
+    new = second.select(*PAIR).distinct().join(done.select(*PAIR), PAIR, "left_anti")
+    done = done.union(stored(_verified(_apart(new, parts), source, threshold), "verified"))
     links = stored(done.filter("similarity > 0").select(*PAIR), "links")
-    release(rows, seekers)
+    release(again, second)
     return links
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components (id, component)."""
+    own = parts.select("id", F.col("component").alias("own"))
+    other = parts.select(F.col("id").alias("hub"), F.col("component").alias("other"))
+    both = pairs.join(own, "id", "left").join(other, "hub", "left")
+    return both.filter(F.coalesce("own", "id") != F.coalesce("other", "hub")).select(*PAIR)
+
+
 def _verified(pairs: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
     """pairs with their edit similarity (0 below the threshold)."""
     texts = source.filter("id IS NOT NULL")
@@ -244,8 +277,8 @@ def _classified(docs: DataFrame, threshold: float, k: int, id_col: str, text_col
     """(id, class_id, n: rows, first: the smallest hash of a text of the id and its rows) of every id; texts of one id count as duplicates."""
     source = docs.select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("th"), F.col(text_col).cast("binary").alias("text"))
     every = stored(_sketched(source, k), "sketches")
-    texts = every.groupBy("same").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    texts = stored(texts.select("same", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "n", "keys"), "texts")
+    texts = every.groupBy("same").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("second").alias("second"))
+    texts = stored(texts.select("same", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "n", "keys", "second"), "texts")
     members = every.select("id", "th", "same").join(texts.select("same", F.col("id").alias("rep")), "same")
     by_text = members.groupBy("id", "th").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     ids = by_text.groupBy("id").agg(F.sum("n").alias("n"), F.min(F.struct("th", "n")).alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
