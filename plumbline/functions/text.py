@@ -47,11 +47,12 @@ def title_overlap(a: Column, b: Column) -> Column:
 
 
 def redacted(s: Column, most: int | None = None) -> Column:
-    """Without web addresses, DOIs, e-mail addresses and long id tokens; runs of line breaks squeezed; cut to `most` characters if given."""
+    """Without web addresses, DOIs, e-mail addresses and labelled ids (ORCID, PMID, PMCID); runs of line breaks squeezed; cut to `most` characters if given."""
     t = F.regexp_replace(s, r"https?://[^ \n\t]+", "[URL]")
     t = F.regexp_replace(t, r"10\.[0-9]{4,9}/[^ \n\t]+", "[DOI]")
     t = F.regexp_replace(t, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
-    t = F.regexp_replace(t, r"[0-9]{8,}", "[ID]")
+    t = F.regexp_replace(t, r"[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]", "[ID]")
+    t = F.regexp_replace(t, r"(?:PMID|pmid|PMCID|pmcid):? ?(?:PMC)?[0-9]+", "[ID]")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return t if most is None else F.substring(t, 1, most)
 
@@ -126,9 +127,13 @@ def lengths_um(s: Column) -> Column:
 
 
 def error_bar_kind(s: Column) -> Column:
-    """sem, sd, ci, range or unknown: the only one named, or the first of sem, sd, ci."""
+    """sem, sd, ci, range or unknown: the only one named; where several are, what stands as "± SEM", "mean (SD)" or "error bars ... SD", else unknown."""
     low = F.lower(s)
-    return F.when(low.rlike(r"s\.?e\.?m\b|standard error"), "sem").when(low.rlike(r"s\.?d\.|standard deviation|± *sd\b"), "sd").when(low.rlike(r"confidence interval|95% *ci"), "ci").when(low.rlike(r"min(imum)? to max|range"), "range").otherwise("unknown")
+    kinds = {"sem": r"\bs\.?e\.?m\b|standard error", "sd": r"\bs\.?d\b|standard deviation", "ci": r"confidence interval|95% *ci", "range": r"min(imum)? to max|\brange\b"}
+    named = F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(k)) for k, p in kinds.items())))
+    shown = F.regexp_extract(low, r"(?:±|\+/-|error bars[^.;]*?|mean \() *\b(s\.?e\.?m|s\.?d|standard error|standard deviation|95% *ci|confidence interval|range)\b", 1)
+    first = F.when(shown.rlike("^s[.]?e|error"), "sem").when(shown.rlike("^s[.]?d|deviation"), "sd").when(shown.rlike("ci|confidence"), "ci").when(shown == "range", "range")
+    return F.when(F.size(named) == 1, named[0]).when(F.size(named) > 1, F.coalesce(first, F.lit("unknown"))).otherwise("unknown")
 
 
 def disclosure(s: Column) -> Column:

@@ -64,13 +64,55 @@ def heat(mined: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def triage(hot: DataFrame, catalog: DataFrame, top: int = 25) -> DataFrame:
-    """(pattern_id, heat, suggested, score): the hottest patterns with a suggested priority."""
+    """(pattern_id, heat, suggested, score): the hottest patterns with a suggested priority; a report of the `top` first."""
     j = hot.join(catalog.select("pattern_id", "status"), "pattern_id", "left")
     planned = F.col("status") == "planned"
     suggested = F.when(planned & (F.col("heat") >= 2000), "P0").when(planned & (F.col("heat") >= 500), "P1").when(planned, "P2").when(F.col("heat") >= 5000, "P0").otherwise("P1")
     return j.select("pattern_id", "heat", suggested.alias("suggested"), F.round(F.least(F.lit(1.0), F.col("heat") / 15000.0), 6).alias("score")).orderBy(F.desc("heat"), "pattern_id").limit(top)
 
 
+def unmapped(mined: DataFrame, skipped: list[str], deferred: list[str]) -> DataFrame:
+    """(reason, n_life, advice, score): reasons without a pattern; skip 0.1, defer 0.2, else what their number is worth, 0.85 at most."""
+    r = mined.filter("NOT mapped")
+    skip, defer = F.col("reason").isin(skipped), F.col("reason").isin(deferred)
+    score = F.when(skip, 0.1).when(defer, 0.2).otherwise(F.least(F.lit(0.85), F.col("n_life") / 8000.0))
+    return r.select("reason", "n_life", F.when(skip, "skip").when(defer, "defer").otherwise("propose").alias("advice"), F.round(score, 6).alias("score"))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A catalog file: JSON with a list `patterns` of objects, or one object a line. Missing fields are null."""
+    schema = "pattern_id string, priority string, status string, enabled boolean, title string, locked boolean"
+    whole = spark.read.schema(f"patterns array<struct<{', '.join(x.replace(' ', ': ') for x in schema.split(', ')).replace(': ', ':')}>>, {schema}").json(path, multiLine=True)
+    return whole.select(F.explode(F.coalesce("patterns", F.array(F.struct(*(F.col(x.split()[0]) for x in schema.split(", ")))))).alias("p")).select("p.*").filter("pattern_id IS NOT NULL")
+
+
+def save(catalog: DataFrame, path: str) -> None:
+    """The catalog as JSON lines, one file, in place of what stands there."""
+    catalog.orderBy("pattern_id").coalesce(1).write.mode("overwrite").json(path)
+
+
+def as_yaml(catalog: DataFrame) -> DataFrame:
+    """(pattern_id, text): every pattern as an entry of a YAML list; the catalog is bounded, so a caller may join the entries."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    lines = [F.concat(F.lit("- id: "), quoted("pattern_id"))] + [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {c}: "), quoted(c))) for c in ("priority", "status")] + [F.concat(F.lit("  enabled: "), F.coalesce("enabled", F.lit(False)).cast("string"))]
+    return catalog.select("pattern_id", F.concat_ws("\n", *lines).alias("text"))
+
+
+def synced(active: DataFrame, shipped: DataFrame) -> DataFrame:
+    """The active catalog brought up to the shipped one: new patterns come in, priority and status follow it unless the pattern is locked by hand, `enabled` stays what it was."""
+    a, s = active.alias("a"), shipped.alias("s")
+    j = a.join(s, F.col("a.pattern_id") == F.col("s.pattern_id"), "full_outer")
+    locked = F.coalesce(F.col("a.locked"), F.lit(False))
+    field = lambda c: F.when(locked, F.col(f"a.{c}")).otherwise(F.coalesce(f"s.{c}", f"a.{c}")).alias(c)
+    origin = F.when(F.col("a.pattern_id").isNull(), "added").when(F.col("s.pattern_id").isNull(), "own").when(locked, "locked").otherwise("synced")
+    return j.select(F.coalesce("a.pattern_id", "s.pattern_id").alias("pattern_id"), field("priority"), field("status"), F.coalesce("a.enabled", "s.enabled").alias("enabled"), origin.alias("origin"))
+
+
+def shared(catalog: DataFrame, fields: tuple[str, ...] = ("pattern_id", "priority", "status", "enabled")) -> DataFrame:
+    """(payload): allowed fields of every pattern as JSON, nothing else of the catalog."""
+    return catalog.select(F.to_json(F.struct(*(f for f in fields if f in catalog.columns))).alias("payload"))
+
+
 def demoted_pictures(findings: DataFrame, panels: DataFrame) -> DataFrame:
     """findings (pattern_id, figure, panel, ..) with `demoted` for n patterns on panels (figure, panel, kind) that are pictures."""
     kinds = F.lit("P-N-MISMATCH-LEGEND-VS-DATA"), F.lit("P-N-INCONSISTENT-ACROSS-IDENTICAL-PLOTS"), F.lit("P-SOURCE-DATA-LEGEND-N"), F.lit("P-COUNT-N-MISMATCH")

@@ -86,7 +86,7 @@ def check_sds(obs: DataFrame, stated: DataFrame) -> DataFrame:
 
 
 def derived_precision(obs: DataFrame) -> DataFrame:
-    """Groups whose values look computed: at least 3 and half of them repeating fractions, or 3 and 80 % with excess digits.
+    """Groups whose values look computed: of the values that are no whole numbers at least 3 and half are repeating fractions, or 3 and 80 % have excess digits.
 
     A value's digits are those of its shortest decimal notation.
     """
@@ -95,6 +95,6 @@ def derived_precision(obs: DataFrame) -> DataFrame:
     q = arrays.repeating_fraction(F.col("value"), F.pow(F.lit(10.0), -F.col("digits")))
     significant = F.length(F.regexp_replace(F.concat(F.floor(F.abs(F.col("value"))).cast("string"), text), "^0+", ""))
     v = v.withColumns({"repeats": F.coalesce((F.col("digits") >= 4) & q.isNotNull(), F.lit(False)), "excess": (F.col("digits") >= 5) & (significant >= 6)})
-    g = v.groupBy("source", "group_key").agg(F.count("*").alias("n"), F.count_if("repeats").alias("n_repeating"), F.count_if("excess").alias("n_excess"))
-    kind = F.when((F.col("n_repeating") >= 3) & (F.col("n_repeating") >= 0.5 * F.col("n")), "repeating_fraction").when((F.col("n_excess") >= 3) & (F.col("n_excess") >= 0.8 * F.col("n")), "excess_precision")
-    return g.withColumn("kind", kind)
+    g = v.groupBy("source", "group_key").agg(F.count("*").alias("n"), F.count_if("repeats").alias("n_repeating"), F.count_if("excess").alias("n_excess"), F.count_if(F.col("value") != F.floor("value")).alias("n_parts"))
+    kind = F.when((F.col("n_repeating") >= 3) & (F.col("n_repeating") >= 0.5 * F.col("n_parts")), "repeating_fraction").when((F.col("n_excess") >= 3) & (F.col("n_excess") >= 0.8 * F.col("n_parts")), "excess_precision")
+    return g.withColumn("kind", kind).drop("n_parts")

@@ -139,7 +139,7 @@ def title_overlaps(spark, d):
     return met.select(F.least("id_a", "id_b").alias("title_a"), F.greatest("id_a", "id_b").alias("title_b"), F.round(F.col("common") / F.col("n_a"), 6).alias("overlap"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \\n\\t]+', '[URL]', 'g'), '10\\.[0-9]{4,9}/[^ \\n\\t]+', '[DOI]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{8,}', '[ID]', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS r FROM documents)
+@query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \\n\\t]+', '[URL]', 'g'), '10\\.[0-9]{4,9}/[^ \\n\\t]+', '[DOI]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]', '[ID]', 'g'), '(?:PMID|pmid|PMCID|pmcid):? ?(?:PMC)?[0-9]+', '[ID]', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS r FROM documents)
   SELECT doc_id, CAST(length(r) AS BIGINT) AS n, sha256(r) AS sha FROM t""")
 def redacted(spark, d):
     t = table(spark, d, "documents").select("doc_id", text.redacted(F.col("text")).alias("r"))

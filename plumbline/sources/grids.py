@@ -6,8 +6,8 @@ import csv
 import gzip
 import io
 import re
-import statistics
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -39,16 +39,16 @@ def magic(data: bytes) -> str:
 
 
 def delimiter(lines: list[str]) -> str | None:
-    """Of tab, comma, semicolon and bar the one whose count per line varies least, then the most frequent; None if there is none."""
-    best, found = 0.0, None
-    rows = [x for x in lines if x.strip()][:200]
-    for d in "\t,;|":
-        counts = [x.count(d) for x in rows]
-        if counts and (mode := statistics.mode(counts)):
-            score = counts.count(mode) / len(counts) + 0.001 * mode + 0.05 * (d == "\t")
-            if score > best:
-                best, found = score, d
-    return found
+    """Of tab, comma, semicolon and bar the one that cuts most lines into one and the same number of fields; of equals the one with more fields. None if none cuts."""
+
+    def fit(d: str) -> tuple[int, int]:
+        widths = Counter(len(row) for row in csv.reader(lines, delimiter=d) if len(row) > 1)
+        width, rows = max(widths.items(), key=lambda x: (x[1], x[0]), default=(0, 0))
+        return rows, width
+
+    fits = {d: fit(d) for d in "\t;,|"}
+    best = max(fits, key=fits.get)
+    return best if fits[best][0] else None
 
 
 def number(s: str, decimal_comma: bool = False) -> float | None:
