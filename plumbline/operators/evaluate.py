@@ -117,7 +117,7 @@ def clean_summary(findings: DataFrame, papers: DataFrame, expected: DataFrame |
     each = each.join(expected.select("pattern_id", "paper", F.col("n").alias("ok")), ["pattern_id", "paper"], "left") if expected is not None else each.withColumn("ok", F.lit(0))
     each = each.withColumn("rest", F.greatest(F.col("n") - F.coalesce("ok", F.lit(0)), F.lit(0)))
     k = papers.agg(F.count_distinct("paper").alias("k"))
-    g = each.groupBy("pattern_id").agg(F.sum("n").alias("n"), F.sum("rest").cast("long").alias("n_unexplained"), F.count_if("rest > 0").alias("papers_with"))
+    g = each.groupBy("pattern_id").agg(F.sum("n").alias("n"), F.sum("rest").cast("long").alias("n_unexplained"), F.count_if(F.col("rest") > 0).alias("papers_with"))
     return g.crossJoin(F.broadcast(k)).select("pattern_id", "n", "n_unexplained", "papers_with", F.round(F.col("n_unexplained") / F.greatest(F.col("k"), F.lit(1)), 3).alias("per_paper"))
 
 

@@ -29,11 +29,24 @@ def finding(df: DataFrame, pattern: str | Column, location: Column, sources: Col
 
 
 def disclosures(texts: DataFrame) -> DataFrame:
-    """(level): the strongest disclosure of shared controls in any text, none without texts; (independent): whether independence is claimed."""
+    """(doc, level, independent, exclusion, derived, t, corrected) of every manuscript (doc, text): what its text says of shared controls, independence, exclusions, normalisation and tests."""
     low = F.lower("text")
     rank = F.when(text.disclosure(F.col("text")) == "explicit", 2).when(text.disclosure(F.col("text")) == "weak", 1).otherwise(0)
-    g = texts.agg(F.coalesce(F.max(rank), F.lit(0)).alias("r"), F.coalesce(F.bool_or(low.rlike("independent(ly)? (experiment|replicate|sample|cohort|biological)|biologically independent")), F.lit(False)).alias("independent"), F.coalesce(F.bool_or(low.rlike("exclud|outlier|omitted")), F.lit(False)).alias("exclusion"))
-    return g.select(F.when(F.col("r") == 2, "explicit").when(F.col("r") == 1, "weak").otherwise("none").alias("level"), "independent", "exclusion")
+    said = {
+        "independent": "independent(ly)? (experiment|replicate|sample|cohort|biological)|biologically independent", "exclusion": "exclud|outlier|omitted",
+        "derived": "normali[sz]ed|relative to|fold change|percent of control", "t": "t[- ]test", "corrected": "bonferroni|tukey|dunnett|holm|benjamini|fdr|multiple comparison|anova",
+    }
+    g = texts.groupBy("doc").agg(F.max(rank).alias("r"), *(F.coalesce(F.bool_or(low.rlike(p)), F.lit(False)).alias(c) for c, p in said.items()))
+    return g.select("doc", F.when(F.col("r") == 2, "explicit").when(F.col("r") == 1, "weak").otherwise("none").alias("level"), *said)
+
+
+def with_disclosures(rows: DataFrame, texts: DataFrame, manuscripts: DataFrame | None) -> DataFrame:
+    """rows (source, ..) with what their manuscript's text says; manuscripts: (source, doc), one each. Without it all sources and texts are one manuscript's. A source without a manuscript has no text."""
+    if manuscripts is None:
+        texts, manuscripts = texts.withColumn("doc", F.lit("")), rows.select("source").distinct().withColumn("doc", F.lit(""))
+    told = disclosures(texts).withColumn("doc", F.col("doc").cast("string"))
+    named = rows.join(manuscripts.select("source", F.col("doc").cast("string").alias("doc")), "source", "left").join(told, "doc", "left")
+    return named.withColumns({"level": F.coalesce("level", F.lit("none")), **{c: F.coalesce(c, F.lit(False)) for c in ("independent", "exclusion", "derived", "t", "corrected")}})
 
 
 def duplicates(v: DataFrame, least: int = 4) -> DataFrame:
@@ -47,33 +60,32 @@ def ratios(v: DataFrame, least: int = 4) -> DataFrame:
     return finding(d, "P-SOURCE-RATIO-ARTIFACT", F.concat_ws(": ", "source", F.concat_ws(" / ", "group_a", "group_b")), F.array("source"), {"k": F.col("k"), "n": F.col("n")}, {"group_a": F.col("group_a"), "group_b": F.col("group_b")})
 
 
-def shared_controls(v: DataFrame, texts: DataFrame, least: int = 4) -> DataFrame:
-    """Control-like vectors that several sources hold. An explicit disclosure drops them, a weak one demotes them."""
+def shared_controls(v: DataFrame, texts: DataFrame, least: int = 4, manuscripts: DataFrame | None = None) -> DataFrame:
+    """Control-like vectors that several sources hold. A manuscript's explicit disclosure drops its own, a weak one demotes them."""
     d = pairs.equal_across_sources(v.filter(pairs.control_like(F.col("group_key"))), least)
-    d = d.crossJoin(F.broadcast(disclosures(texts))).filter("level <> 'explicit'")
+    d = with_disclosures(d, texts, manuscripts).filter("level <> 'explicit'")
     return finding(d, "P-SHARED-CONTROL-UNDISCLOSED", F.concat_ws(": ", "source", "group_key"), F.array("source", "class_source"), {"n_links": F.col("n_links"), "n": F.col("n")}, {"class_group": F.col("class_group")}, F.col("level") == "weak")
 
 
-def vector_subsets(v: DataFrame, texts: DataFrame, least: int = 4) -> DataFrame:
-    """Groups of a source of which one holds the other's values, where the text claims independence."""
-    d = pairs.shares_within_source(v, least).filter("kind IN ('subset', 'endpoint_dropout')").crossJoin(F.broadcast(disclosures(texts))).filter("independent AND level <> 'explicit'")
+def vector_subsets(v: DataFrame, texts: DataFrame, least: int = 4, manuscripts: DataFrame | None = None) -> DataFrame:
+    """Groups of a source of which one holds the other's values, where its manuscript claims independence."""
+    d = pairs.shares_within_source(v, least).filter("kind IN ('subset', 'endpoint_dropout')")
+    d = with_disclosures(d, texts, manuscripts).filter("independent AND level <> 'explicit'")
     return finding(d, "P-VECTOR-SUBSET-UNDISCLOSED", F.concat_ws(": ", "source", F.concat_ws(" / ", "group_a", "group_b")), F.array("source"), None, {"kind": F.col("kind")}, F.col("level") == "weak")
 
 
-def derived_values(obs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Sources with computed-looking groups; a text that tells of normalisation demotes them."""
-    low = F.lower("text")
-    told = texts.agg(F.coalesce(F.bool_or(low.rlike("normali[sz]ed|relative to|fold change|percent of control")), F.lit(False)).alias("told"))
+def derived_values(obs: DataFrame, texts: DataFrame, manuscripts: DataFrame | None = None) -> DataFrame:
+    """Sources with computed-looking groups; a manuscript that tells of normalisation demotes its own."""
     d = vectors.derived_precision(obs).filter("kind IS NOT NULL").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("group_key")), ",").alias("groups"), F.sum("n_repeating").alias("r"), F.sum("n_excess").alias("e"))
-    return finding(d.crossJoin(F.broadcast(told)), "P-DERIVED-VALUE-PRECISION", F.col("source"), F.array("source"), {"n_repeating": F.col("r"), "n_excess": F.col("e")}, {"groups": F.col("groups")}, F.col("told"))
+    d = with_disclosures(d, texts, manuscripts)
+    return finding(d, "P-DERIVED-VALUE-PRECISION", F.col("source"), F.array("source"), {"n_repeating": F.col("r"), "n_excess": F.col("e")}, {"groups": F.col("groups")}, F.col("derived"))
 
 
-def multiplicity_gap(obs: DataFrame, texts: DataFrame, least: int = 3) -> DataFrame:
-    """Sources with three groups at least, where the text names t-tests and no correction."""
-    low = F.lower("text")
-    cue = texts.agg(F.coalesce(F.bool_or(low.rlike("t[- ]test")), F.lit(False)).alias("t"), F.coalesce(F.bool_or(low.rlike("bonferroni|tukey|dunnett|holm|benjamini|fdr|multiple comparison|anova")), F.lit(False)).alias("corrected"))
+def multiplicity_gap(obs: DataFrame, texts: DataFrame, least: int = 3, manuscripts: DataFrame | None = None) -> DataFrame:
+    """Sources with three groups at least, whose manuscript names t-tests and no correction."""
     g = obs.groupBy("source", "group_key").agg(F.count("value").alias("n")).filter("n >= 2").groupBy("source").agg(F.count("*").alias("k")).filter(F.col("k") >= least)
-    return finding(g.crossJoin(F.broadcast(cue)).filter("t AND NOT corrected"), "P-STAT-MULTIPLICITY-GAP", F.col("source"), F.array("source"), {"n_groups": F.col("k")})
+    g = with_disclosures(g, texts, manuscripts).filter("t AND NOT corrected")
+    return finding(g, "P-STAT-MULTIPLICITY-GAP", F.col("source"), F.array("source"), {"n_groups": F.col("k")})
 
 
 def stat_method(texts: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -100,8 +112,8 @@ def side_conflicts(paths: DataFrame, sides: list[str]) -> DataFrame:
     return finding(g, "P-FILENAME-CONTENT-MISMATCH", F.col("dir"), F.col("paths"), None, {"sides": F.array_join("found", ",")})
 
 
-def screened(obs: DataFrame, texts: DataFrame, rules: DataFrame, least: int = 4) -> DataFrame:
+def screened(obs: DataFrame, texts: DataFrame, rules: DataFrame, least: int = 4, manuscripts: DataFrame | None = None) -> DataFrame:
     """All checks that measurements and texts allow, without what the catalog turns off."""
     v = vectors.vectors(obs)
-    parts = [duplicates(v, least), ratios(v, least), shared_controls(v, texts, least), vector_subsets(v, texts, least), derived_values(obs, texts), multiplicity_gap(obs, texts)]
+    parts = [duplicates(v, least), ratios(v, least), shared_controls(v, texts, least, manuscripts), vector_subsets(v, texts, least, manuscripts), derived_values(obs, texts, manuscripts), multiplicity_gap(obs, texts, manuscripts=manuscripts)]
     return catalog.active(reduce(DataFrame.unionByName, parts), rules)

@@ -9,11 +9,15 @@ from plumbline.plans.measurements import OBS_B, OBS_S, STATS, VECTORS, balances,
 from plumbline.plans.registry import query, table
 
 
-@query(f"SELECT source AS location, CAST(count(*) AS DOUBLE) AS n_groups FROM (SELECT source, group_key FROM ({OBS_B}) GROUP BY source, group_key HAVING count(value) >= 2) GROUP BY source HAVING count(*) >= 3")
+@query(f"""SELECT source AS location, CAST(count(*) AS DOUBLE) AS n_groups FROM (SELECT source, group_key FROM ({OBS_B}) GROUP BY source, group_key HAVING count(value) >= 2)
+  WHERE (SELECT n_regionkey FROM nation WHERE CAST(n_nationkey AS VARCHAR) = source) IN (0, 3) GROUP BY source HAVING count(*) >= 3""")
 def multiplicity_findings(spark, d):
-    """Nations as sources, with a text that names t-tests and no correction."""
-    texts = spark.createDataFrame([("m", "Groups were compared by t-test.")], "doc string, text string")
-    return findings.multiplicity_gap(balances(spark, d), texts).select("location", F.col("metrics")["n_groups"].alias("n_groups"))
+    """Nations as sources, regions as manuscripts; those of key 0 and 3 name t-tests, 1 and 4 name a correction too, 2 names none."""
+    k = F.col("r_regionkey")
+    said = F.when(k % 3 == 0, "Groups were compared by t-test.").when(k % 3 == 1, "We used t-tests with Bonferroni's correction.").otherwise("Groups were looked at.")
+    texts = table(spark, d, "region").select(k.cast("string").alias("doc"), said.alias("text"))
+    of = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("source"), F.col("n_regionkey").cast("string").alias("doc"))
+    return findings.multiplicity_gap(balances(spark, d), texts, manuscripts=of).select("location", F.col("metrics")["n_groups"].alias("n_groups"))
 
 
 @query()
