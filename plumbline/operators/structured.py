@@ -58,3 +58,28 @@ def extraction_scores(gold: DataFrame, found: DataFrame, keys: list[str]) -> Dat
     all_ = count(hits.select(*on, "n").distinct(), "h").crossJoin(count(want.select(*on, "n").distinct(), "g")).crossJoin(count(seen, "f")).crossJoin(count(hits.select(*on, "_n").distinct(), "hf")).crossJoin(count(seen.join(never, [*keys, "panel"], "left_semi"), "bad"))
     recall, precision = F.coalesce(F.try_divide(F.col("h").cast("double"), F.col("g")), F.lit(0.0)), F.coalesce(F.try_divide(F.col("hf").cast("double"), F.col("f")), F.lit(0.0))
     return all_.select(recall.alias("recall"), precision.alias("precision"), F.coalesce(F.try_divide(2 * recall * precision, recall + precision), F.lit(0.0)).alias("f1"), F.col("bad").alias("n_forbidden"))
+
+
+def panel_map(answers: DataFrame, letters: str = "abcdefghijklmnopqrstuvwxyz") -> DataFrame:
+    """(id, panel, kind, n) of answers (id, body: JSON of panels by letter): letters lower-cased, kinds other than plot, picture, diagram and table unknown, n as a number where it is one."""
+    read = answers.withColumn("m", F.from_json("body", "map<string,struct<kind:string,n:string>>", {"mode": "PERMISSIVE"}))
+    each = read.select("id", F.explode("m").alias("letter", "p"))
+    panel = F.lower(F.trim("letter"))
+    kind = F.when(F.lower("p.kind").isin("plot", "picture", "diagram", "table"), F.lower("p.kind")).otherwise("unknown")
+    return each.filter(panel.isin(*letters)).groupBy("id", panel.alias("panel")).agg(F.min(kind).alias("kind"), F.max(F.col("p.n").try_cast("long")).alias("n"))
+
+
+def extractor_status(runs: DataFrame) -> DataFrame:
+    """(extractor, n, n_ok, n_empty, n_failed, seconds, status) of an extractor's calls (extractor, ok, n_rows, seconds)."""
+    g = runs.groupBy("extractor").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.count_if(F.col("ok") & (F.col("n_rows") == 0)).alias("n_empty"), F.count_if(~F.col("ok")).alias("n_failed"), F.round(F.sum("seconds"), 3).alias("seconds"))
+    status = F.when(F.col("n_ok") == 0, "failed").when(F.col("n_failed") > 0, "partial").when(F.col("n_empty") == F.col("n"), "empty").otherwise("ok")
+    return g.withColumn("status", status)
+
+
+def vocabulary(configs: DataFrame) -> DataFrame:
+    """(kind, key, word) of users' vocabularies (body: JSON with sides, aliases and groups, each a map of words): what rules are parametrised with."""
+    schema = "sides map<string,array<string>>, aliases map<string,array<string>>, groups map<string,array<string>>"
+    read = configs.select(F.from_json("body", schema, {"mode": "PERMISSIVE"}).alias("c"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"c.{k}").alias("m")) for k in ("sides", "aliases", "groups")))
+    each = read.select(F.explode(kinds).alias("k")).filter("k.m IS NOT NULL").select("k.kind", F.explode("k.m").alias("key", "words"))
+    return each.select("kind", "key", F.explode("words").alias("word")).select("kind", F.lower("key").alias("key"), F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct()

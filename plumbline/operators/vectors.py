@@ -98,3 +98,14 @@ def derived_precision(obs: DataFrame) -> DataFrame:
     g = v.groupBy("source", "group_key").agg(F.count("*").alias("n"), F.count_if("repeats").alias("n_repeating"), F.count_if("excess").alias("n_excess"), F.count_if(F.col("value") != F.floor("value")).alias("n_parts"))
     kind = F.when((F.col("n_repeating") >= 3) & (F.col("n_repeating") >= 0.5 * F.col("n_parts")), "repeating_fraction").when((F.col("n_excess") >= 3) & (F.col("n_excess") >= 0.8 * F.col("n_parts")), "excess_precision")
     return g.withColumn("kind", kind).drop("n_parts")
+
+
+def total_n(stats: DataFrame) -> DataFrame:
+    """(source, n): the values of all groups."""
+    return stats.groupBy("source").agg(F.sum("n").alias("n"))
+
+
+def stats_close(n1: F.Column, m1: F.Column, s1: F.Column, n2: F.Column, m2: F.Column, s2: F.Column, mean_eps: float = 1e-3, sd_eps: float = 1e-3, same_n: bool = True) -> F.Column:
+    """Mean and SD within eps of each other, n equal if asked for."""
+    near = (F.abs(m1 - m2) <= mean_eps) & (F.abs(s1 - s2) <= sd_eps)
+    return F.coalesce(near & (n1 == n2) if same_n else near, F.lit(False))

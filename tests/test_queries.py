@@ -8,7 +8,7 @@ from plumbline.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries whose result on the smallest tables is empty.
-MAY_BE_EMPTY = {"duplicates_within_source", "ratios_within_source", "balance_bands", "disjoint_labels", "n_profiles", "shares_within_source", "exact_across_sources", "missing_labels", "dominant_runs", "islands", "rising_starts", "shape_similarity", "similar_set_pairs", "value_sets"}
+MAY_BE_EMPTY = {"duplicates_within_source", "ratios_within_source", "balance_bands", "disjoint_labels", "n_profiles", "shares_within_source", "exact_across_sources", "missing_labels", "dominant_runs", "islands", "rising_starts", "shape_similarity", "similar_set_pairs", "value_sets", "reused_columns", "multiplicity_findings"}
 
 
 @pytest.fixture(scope="module")
