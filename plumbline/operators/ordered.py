@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -112,9 +113,9 @@ def strictly_rising(series: DataFrame) -> DataFrame:
 
 
 def chunked(text: str, size: int, overlap: int) -> Iterator[str]:
-    """Paragraphs packed to `size` characters; a piece begins with the end of the one before; paragraphs over twice the size are cut hard."""
+    """Paragraphs (parted by blank lines) packed to `size` characters; a piece begins with the end of the one before; paragraphs over twice the size are cut hard."""
     held = ""
-    for paragraph in (p.strip() for p in text.split("\n")):
+    for paragraph in (p.strip() for p in re.split(r"\n\s*\n", text)):
         if not paragraph:
             continue
         if len(paragraph) > 2 * size:

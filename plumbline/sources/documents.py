@@ -78,7 +78,27 @@ def acquisition(data: bytes) -> dict:
     return {"magnification": None, "aperture": None, "pixel_um": None}
 
 
+UNREAD = (ElementTree.ParseError, zipfile.BadZipFile, KeyError, ValueError)
+
+
+def unreadable(files: DataFrame, parse=lambda data: docx_text(data)) -> DataFrame:
+    """(path, reason) of the files (path, content) that a parser of this module - docx_text, pzfx_cells, residue - cannot read: readers leave them out, this names them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    parse(data)
+                except UNREAD as e:
+                    out.append((path, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "reason"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, reason string")
+
+
 def _mapped(files: DataFrame, schema: str, rows) -> DataFrame:
+    """Rows of the files that can be read as this kind; unreadable() names the others."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +107,7 @@ def _mapped(files: DataFrame, schema: str, rows) -> DataFrame:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     out += [(path, *r) for r in rows(data)]
-                except (ElementTree.ParseError, zipfile.BadZipFile, KeyError, ValueError):
+                except UNREAD:
                     continue  # not a file of this kind
             yield pd.DataFrame(out, columns=names)
 

@@ -81,6 +81,12 @@ def unzipped(archives: DataFrame) -> DataFrame:
 
 
 def set_fingerprint(files: DataFrame) -> DataFrame:
-    """(n_files, sha): one hash over all files (path, sha) in order of path. For bounded lists such as a run's inputs."""
-    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "sha"))), lambda f: F.concat(f["sha"], F.lit("  "), f["path"])), "\n")
-    return files.agg(F.count("*").alias("n_files"), F.sha2(lines, 256).alias("sha"))
+    """(n_files, sha): one hash over a set of files (path, sha), whatever their order; repeated rows count.
+
+    Four sums and four exclusive ors of 64-bit hashes of the rows, which
+    aggregate map-side, are hashed together: no list of files meets in a task.
+    """
+    h = [F.xxhash64(F.lit(i), "path", "sha") for i in range(4)]
+    sums = [F.sum(x.cast("decimal(20,0)")).cast("string").alias(f"s{i}") for i, x in enumerate(h)] + [F.bit_xor(x).cast("string").alias(f"x{i}") for i, x in enumerate(h)]
+    g = files.agg(F.count("*").alias("n_files"), *sums)
+    return g.select("n_files", F.sha2(F.concat_ws("|", F.col("n_files").cast("string"), *(F.coalesce(f"{c}{i}", F.lit("0")) for c in "sx" for i in range(4))), 256).alias("sha"))

@@ -106,3 +106,16 @@ def test_windows_and_sessions(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     e = e.withColumn("ts", F.col("ts").cast("timestamp"))
     assert findings.windowed(e).agg(F.sum("n")).first()[0] == e.count() == findings.sessions(e).agg(F.sum("n")).first()[0]
+
+
+def test_unreadable_and_fingerprints(spark):
+    from plumbline.operators import ordered
+    from plumbline.sources import files as file_source
+
+    df = spark.createDataFrame([("a.docx", bytearray(b"no archive"))], "path string, content binary")
+    assert documents.paragraphs(df).count() == 0
+    assert [(r["path"], r["reason"].split(":")[0]) for r in documents.unreadable(df).collect()] == [("a.docx", "BadZipFile")]
+    rows = [("x", "1"), ("y", "2"), ("z", "3")]
+    mark = lambda r: tuple(file_source.set_fingerprint(spark.createDataFrame(r, "path string, sha string")).first())
+    assert mark(rows) == mark(rows[::-1]) != mark([*rows[:2], ("z", "4")]) and mark(rows) != mark([*rows, rows[0]])
+    assert list(ordered.chunked("one\ntwo\n\nthree\n\n" + "x" * 50, 12, 3)) == ["one\ntwo", "two three"] + [("x" * 50)[i : i + 12] for i in range(0, 50, 9)]
