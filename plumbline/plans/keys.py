@@ -261,7 +261,11 @@ def cosine_shortlist(spark, d):
     return similarity.shortlisted(similarity.top_k(a, v.filter("label >= 5").drop("label"), 3), similarity.top_k(b, v.filter("label < 5").drop("label"), 3)).withColumn("score", F.round("score", 6))
 
 
-@query()
+_EDGES = """b AS (SELECT DISTINCT regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS b FROM part), e AS (SELECT b || '.py' AS path, unnest([{'src': b || '.csv', 'dst': 'df', 'kind': 'read'}, {'src': 'df', 'dst': 'wt', 'kind': 'derive'},
+  {'src': 'wt', 'dst': 'plot:4', 'kind': 'plot'}, {'src': 'wt', 'dst': 'plot:5', 'kind': 'plot'}, {'src': 'wt', 'dst': 'ko_' || b || '.csv', 'kind': 'save'}]) AS s FROM b)"""
+
+
+@query(f"WITH {_EDGES} SELECT path, s.src AS src, s.dst AS dst, s.kind AS kind FROM e")
 def script_lineage(spark, d):
     """Edges of one small script per brand."""
     code = "import pandas as pd\ndf = pd.read_csv('{0}.csv')\nwt = df[df.g == 'wt']\nplt.plot(wt)\nplt.bar(wt)\nwt.to_csv('ko_{0}.csv')\n"
@@ -269,7 +273,7 @@ def script_lineage(spark, d):
     return graph.script_edges(s.select(F.concat("b", F.lit(".py")).alias("path"), F.replace(F.lit(code), F.lit("{0}"), F.col("b")).alias("code")))
 
 
-@query()
+@query(f"WITH {_EDGES} SELECT path, 'wt' AS src, s.dst AS dst, CAST(0 AS BIGINT) AS n_plots FROM e WHERE s.kind = 'save' UNION ALL SELECT DISTINCT path, 'wt', NULL, CAST(2 AS BIGINT) FROM e")
 def script_conflicts(spark, d):
     e = script_lineage(spark, d)
     return graph.save_conflicts(e, ["wt", "ko"]).withColumn("n_plots", F.lit(0).cast("long")).unionByName(graph.plotted_twice(e).withColumn("dst", F.lit(None).cast("string")))
