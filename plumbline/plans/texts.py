@@ -107,11 +107,16 @@ def bm25_top_k(spark, d):
     return retrieval.bm25(q, docs).withColumn("score", F.round("score", 4))
 
 
-@query("""SELECT claim_id, CASE WHEN passage IS NULL THEN 'no_passage' ELSE 'reviewed' END AS status, kinds FROM (VALUES (1, 'x', 'numeric'), (2, 'x', 'polarity'), (3, 'x', 'year'), (4, 'x', ''), (5, NULL, '')) t(claim_id, passage, kinds)""")
+@query("""WITH p AS (SELECT p_partkey AS claim_id, p_partkey % 5 AS k, p_size % 3 AS m FROM part)
+  SELECT claim_id, CASE WHEN k = 4 THEN 'no_passage' ELSE 'reviewed' END AS status, CASE WHEN k = 0 AND m <> 0 THEN 'numeric' WHEN k = 1 AND m = 0 THEN 'polarity' WHEN k = 2 AND m <> 0 THEN 'year' WHEN k = 3 AND m = 1 THEN 'numeric,polarity' ELSE '' END AS kinds FROM p""")
 def contradictions(spark, d):
-    """Five literal claims; driver tables hold none."""
-    rows = [(1, "rose by 50% here", "rose by 20% there", 2001), (2, "survival increased", "survival decreased", 2001), (3, "as in 1999", "nothing", 2001), (4, "rose by 20%", "rose by 20%", None), (5, "lost", None, None)]
-    return retrieval.contradictions(spark.createDataFrame(rows, "claim_id int, claim string, passage string, source_year int"))
+    """Claims of parts against passages that state another percentage, the opposite, another year, two of these, or nothing."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("claim_id"), (F.col("p_partkey") % 5).alias("k"), (F.col("p_size") % 3).alias("m"))
+    k, m = F.col("k"), F.col("m")
+    claim = F.when(k == 0, F.concat(F.lit("it rose by "), 50 + m, F.lit("% here"))).when(k == 1, "survival increased").when(k == 2, F.concat(F.lit("as in "), 1999 + m)).when(k == 3, F.lit("it increased by 30%")).otherwise("lost")
+    passage = F.when(k == 0, F.lit("it rose by 50% there")).when(k == 1, F.when(m == 0, "survival decreased").otherwise("survival was higher")).when(k == 2, "nothing").when(k == 3, F.when(m == 1, "it was reduced by 20%").otherwise("30% more, elevated"))
+    year = F.when(k == 2, F.lit(1999)).when(k == 1, F.lit(2001)).cast("int")
+    return retrieval.contradictions(p.select("claim_id", claim.alias("claim"), passage.alias("passage"), year.alias("source_year")))
 
 
 _NUM = "CASE WHEN regexp_matches({t}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN CAST({t} AS DOUBLE) END"
