@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from plumbline.llm import quality
@@ -60,3 +62,41 @@ def test_repeated_ids_are_learnt_once(spark, make_docs, prose):
     once = quality.learnt(make_docs(rows), labels)
     again = quality.learnt(make_docs(rows + [(3, "zzz later"), (3, "zzz later")] + rows[4:8]), labels)
     assert (once.weights == again.weights).all() and once.threshold == again.threshold
+
+
+def test_learns_from_every_labelled_row(spark, make_docs, prose):
+    """2,300 rows of one label and 300 of the other, not held out: moments, weights and threshold are those of all of them and all their pairs."""
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 3 != 1][:2600]
+    rows = [(i, prose(i, 4 + i % 23) + (" #|" * (i % 5) if i % 11 else "") + (" ." if k % 26 < 3 else "")) for k, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, int(k % 26 >= 3)) for k, i in enumerate(ids)], "doc_id long, quality int")
+    learnt = quality.learnt(make_docs(rows), labels)
+    x = np.stack([quality.features(t.encode()) for _, t in rows]).astype(np.float64)
+    good = np.array([k % 26 >= 3 for k in range(len(ids))])
+    assert np.allclose(learnt.mean, x.mean(0), rtol=1e-12, atol=1e-12) and np.allclose(learnt.scale, x.std(0) + 1e-6, rtol=1e-9)
+    z = learnt.standard(x)
+    lost = 1 / (1 + np.exp(z[good] @ learnt.weights[:, None] - z[~good] @ learnt.weights))
+    grad = (z[~good].T @ lost.sum(0) - z[good].T @ lost.sum(1)) / lost.size + 1e-3 * learnt.weights
+    assert np.abs(learnt.weights).max() > 0.1 and np.abs(grad).max() < 1e-6
+    s = np.sort(z @ learnt.weights)
+    assert abs(learnt.threshold - (s[(~good).sum() - 1] + s[(~good).sum()]) / 2) < 1e-9
+    shuffled = quality.learnt(make_docs(rows[::-1]).repartition(5), labels.repartition(3))
+    assert (shuffled.weights == learnt.weights).all() and shuffled.threshold == learnt.threshold
+
+
+def test_cells_hold_every_row(spark):
+    """Beyond 2 * MEET rows of the rarer label: no pair meets twice, every row meets at least half of MEET, and rows are told once."""
+    x = np.arange(quality.WIDTH, dtype=np.float32)
+    rows = spark.createDataFrame([(i, int(i >= 900), (x + i).tobytes()) for i in range(900 + 2100)], "id long, y int, x binary")
+    cells, groups = quality._cells(rows, 0, 900, 2100)
+    assert groups == 3
+    met, once = {}, []
+    for r in cells.collect():
+        ids = [int(np.frombuffer(b, np.float32)[0]) for b in r["x"]]
+        bad, good = ([i for i, y in zip(ids, r["y"], strict=True) if y == want] for want in (0, 1))
+        once += good + (bad if r["cell"] < groups else [])
+        for i in bad:
+            assert met.setdefault(i, set()).isdisjoint(good)
+            met[i] |= set(good)
+        for j in good:
+            met[j] = set(bad)
+    assert sorted(once) == list(range(3000)) and min(map(len, met.values())) >= quality.MEET // 2
