@@ -227,17 +227,17 @@ def _links(texts: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
     rows = stored(keyed.join(shared, "key"), "buckets")
     met = _met(rows, threshold)
     release(shared, rows)
-    pairs = stored(met.groupBy(*PAIR).agg(F.count("*").alias("shared")), "pairs")
-    best = F.max_by(F.struct("hub", "hub_th"), F.struct("shared", -F.col("hub_th").cast("long"), F.xxhash64("hub"))).alias("best")
+    pairs = stored(met.groupBy(*PAIR).agg(F.collect_list("key").alias("keys")), "pairs")
+    release(met)
+    best = F.max_by(F.struct("hub", "hub_th"), F.struct(F.size("keys"), -F.col("hub_th").cast("long"), F.xxhash64("hub"))).alias("best")
     first = pairs.groupBy("id", "th").agg(best).select("id", "th", "best.hub", "best.hub_th")
     done = stored(_verified(first, source, threshold), "verified")
     parts = components(done.filter("similarity > 0"), "id", "hub")
     done = done.union(stored(_verified(_apart(pairs.select(*PAIR).join(done.select(*PAIR), PAIR, "left_anti"), parts), source, threshold), "verified"))
-    failed = met.join(done.filter("similarity = 0"), PAIR).select("id", "th", "key").distinct()
-    picked = failed.groupBy("id", "th").agg(F.array(*(F.min_by("key", F.xxhash64("key", F.lit(s))) for s in range(SECOND))).alias("picked"))
+    picked = _failed_under(pairs, done.filter("similarity = 0"))
     both = F.explode(F.array_distinct(F.transform(F.arrays_zip("picked", "second"), lambda x, s: F.xxhash64(x["picked"], x["second"], s)))).alias("key")
     again = stored(picked.join(texts.select("id", "th", "n", "second"), ["id", "th"]).select("id", "th", "n", band, both), "again")
-    release(met, pairs)
+    release(pairs)
     second = _met(again, threshold)
     new = second.select(*PAIR).distinct().join(done.select(*PAIR), PAIR, "left_anti")
     done = done.union(stored(_verified(_apart(new, parts), source, threshold), "verified"))
@@ -246,6 +246,16 @@ def _links(texts: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
     return links
 
 
+def _failed_under(pairs: DataFrame, failed: DataFrame) -> DataFrame:
+    """(id, th, picked) of each text with failed pairs: of the keys under which it met those hubs, the smallest under each of SECOND seeds.
+
+    A pair has its keys in one row of pairs, so the join makes a row for each failed pair.
+    """
+    keys = pairs.join(failed.select(*PAIR), PAIR).groupBy("id", "th").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    smallest = (F.array_min(F.transform("keys", lambda key: F.struct(F.xxhash64(key, F.lit(s)).alias("h"), key.alias("key"))))["key"] for s in range(SECOND))
+    return keys.select("id", "th", F.array(*smallest).alias("picked"))
+
+
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components (id, component)."""
     own = parts.select("id", F.col("component").alias("own"))

@@ -1,4 +1,8 @@
 import random
+import re
+import time
+
+from pyspark.sql import functions as F
 
 from plumbline.llm import order_minhash
 from plumbline.llm.substring import words
@@ -128,3 +132,45 @@ def test_many_copies_and_crowded_buckets(make_docs):
     out = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(make_docs([(i, b" ".join(t).decode()) for i, t in rows])).collect()}
     assert {out[i] for i in range(5000, 6000)} == {5000}
     assert all(out[i + 1000] == out[i] for i, _ in pairs)
+
+
+def rows_made(spark, since, names):
+    """Output rows by node (its description's first 60 characters) of the executions after `since`, for nodes of these names; the last execution."""
+    time.sleep(2)  # for the listeners
+    store, out, last = spark._jsparkSession.sharedState().statusStore(), {}, since
+    every = store.executionsList()
+    for e in (every.apply(i).executionId() for i in range(every.size())):
+        last = max(last, e)
+        if e > since:
+            values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if any(n in node.name() for n in names) and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        what = re.sub(r"#\d+L?|^BroadcastHash|^SortMerge", "", node.desc())[:60]
+                        out[what] = out.get(what, 0) + int(values.apply(m.accumulatorId()).replace(",", ""))
+    return out, last
+
+
+def test_failed_pairs_are_joined_once(spark, make_docs, prose):
+    """Strangers with a common line share many keys, but a failed pair is one row of a join, however many; the rows grow with the texts."""
+    common = prose(1, 24, 9000)
+    made, (_, last) = [], rows_made(spark, -1, [])
+    for n in (100, 300):
+        docs = make_docs([(i, f"{prose(100 + i, 12, 9000)} {common} {prose(9000 + i, 12, 9000)}") for i in range(n)])
+        assert {r["n_class"] for r in order_minhash.classes(docs).collect()} == {1}
+        out, last = rows_made(spark, last, ["Join", "MapInArrow"])
+        judged = next(v for k, v in out.items() if k.startswith("MapInArrow run(id, th, hub"))
+        joined = sum(v for k, v in out.items() if k.startswith("Join [id, th, hub, hub_th], [id, th, hub, hub_th], Inner"))
+        assert 0 < joined <= judged
+        made.append(joined)
+    assert made[1] <= 4 * made[0]
+
+
+def test_failed_under(spark):
+    """Of the keys of failed pairs alone the smallest under each seed, equal to the definition."""
+    pairs = spark.createDataFrame([(1, 0, 9, 0, [5, 6, 7]), (1, 0, 8, 0, [7, 11]), (1, 0, 7, 0, [1, 2, 3]), (2, 0, 9, 0, [4])], "id long, th int, hub long, hub_th int, keys array<long>")
+    failed = pairs.filter("hub > 7").withColumn("similarity", F.lit(0.0))
+    got = {r["id"]: r["picked"] for r in order_minhash._failed_under(pairs, failed).collect()}
+    flat = spark.createDataFrame([(1, k) for k in (5, 6, 7, 11)] + [(2, 4)], "id long, key long")
+    want = flat.groupBy("id").agg(F.array(*(F.min_by("key", F.xxhash64("key", F.lit(s))) for s in range(order_minhash.SECOND))).alias("picked"))
+    assert got == {r["id"]: r["picked"] for r in want.collect()}
