@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,10 @@ ANSWER = 8
 TOKENS = 120_000
 #: A multiple of PASSAGE.
 SEGMENT = 1 << 17
+#: Rows of a table that are gathered at a time: they stay in the processor's cache.
+GATHERED = 4096
+#: Candidates compared word by word at a time.
+COMPARED = 4096
 
 
 @dataclass(frozen=True)
@@ -120,6 +125,20 @@ def _term_ids(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+
+
+def _sums(table: np.ndarray, at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of table[at] over the runs of `at` that start at begin."""
+    out, stops = np.empty((len(begin), table.shape[1]), table.dtype), np.append(begin, len(at))
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(at), GATHERED)), len(begin)))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        np.add.reduceat(table[at[stops[lo] : stops[hi]]], begin[lo:hi] - stops[lo], axis=0, out=out[lo:hi])
+    return out
+
+
 def _idf(texts: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
     """Inverse passage frequency and share of all term places of every term, over all passages."""
 
@@ -161,12 +180,14 @@ def _basis(texts: DataFrame, idf: np.ndarray, share: np.ndarray, rank: int, seed
                 if not len(at):
                     continue
                 own = ids[at]
-                _, first, passage = np.unique(at // PASSAGE, return_index=True, return_inverse=True)
-                y = np.add.reduceat(projected[own], first, axis=0)
+                first = _runs(at // PASSAGE)
+                passage = np.repeat(np.arange(len(first)), np.diff(first, append=len(at)))
+                y = _sums(projected, own, first)
                 y /= np.add.reduceat(weight[own] ** 2, first)[:, None]
                 order = np.argsort(own, kind="stable")
-                term, begin = np.unique(own[order], return_index=True)
-                total[term] += np.add.reduceat(y[passage[order]], begin, axis=0) * weight[term][:, None]
+                begin = _runs(own[order])
+                term = own[order[begin]]
+                total[term] += _sums(y, passage[order], begin) * weight[term][:, None]
         at = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(total[at].ravel()), rank).cast(pa.list_(pa.float64()))], ["term", "y"])
 
@@ -189,6 +210,29 @@ def _basis(texts: DataFrame, idf: np.ndarray, share: np.ndarray, rank: int, seed
     return np.pad(place, ((0, 0), (0, rank - place.shape[1]))).astype(np.float32)
 
 
+def _windows(ids: np.ndarray, place: np.ndarray, sizes: list[tuple[int, int]], begin: np.ndarray, end: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For every size in words, by its stride, the windows that begin within a text: first places and unit vectors."""
+    at = np.flatnonzero(ids >= 0)
+    first = _runs(at // 8)
+    eighths = np.zeros((len(ids) // 8, place.shape[1]), np.float32)
+    eighths[at[first] // 8] = _sums(place, ids[at], first)
+    out = {}
+    for words, stride in sizes:
+        starts = np.arange(0, len(ids) - words + 1, stride)
+        v = np.empty((len(starts), place.shape[1]), np.float32)
+        for lo in range(0, len(starts), GATHERED):
+            hi, step = min(lo + GATHERED, len(starts)), stride // 8
+            part = v[lo:hi]
+            part[:] = 0
+            for k in range(words // 8):
+                part += eighths[lo * step + k : (hi - 1) * step + k + 1 : step]
+            norm = np.sqrt(np.einsum("ij,ij->i", part, part))
+            part /= np.where(norm > 1e-9, norm, np.inf)[:, None]
+        kept = (starts < end[np.searchsorted(begin, starts, side="right") - 1]) & v.any(1)
+        out[words] = starts[kept], v[kept]
+    return out
+
+
 def lcs(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, bit-parallel over a."""
     where: dict[int, int] = {}
@@ -203,6 +247,47 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+@dataclass(frozen=True)
+class Table:
+    """A block's pieces by their words.
+
+    column: of every term, 0 if it is in none of the pieces. member: which columns
+    a piece has. cells: these by piece * columns + column, ascending, and where in
+    the piece the term stands, as bits.
+    """
+
+    column: np.ndarray
+    member: np.ndarray
+    cells: np.ndarray
+    bits: np.ndarray
+
+    def shared(self, columns: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """How many of a row's columns (a multiple of 8, less than 256) its piece has."""
+        has = self.member.reshape(-1).take(columns + (pieces * self.member.shape[1])[:, None])
+        return (has.view(np.uint64).sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
+
+    def lcs(self, columns: np.ndarray, pieces: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of each row's columns and its piece of so many words, all rows at once."""
+        cells = columns + (pieces * self.member.shape[1])[:, None]
+        row, _ = at = np.nonzero(self.member.reshape(-1).take(cells))
+        bits = self.bits[np.searchsorted(self.cells, cells[at])]
+        # Step k takes the k-th common word of every row that has so many; rows with most of them stand first.
+        count = np.bincount(row, minlength=len(columns))
+        first = np.cumsum(count) - count
+        order = np.argsort(-count, kind="stable")
+        first, falling = first[order], -count[order]
+        v = np.full(len(columns), ~np.uint64(0))
+        for k in range(int(count.max(initial=0))):
+            rows = int(np.searchsorted(falling, -k))
+            held = v[:rows]
+            u = held & bits[first[:rows] + k]
+            v[:rows] = (held + u) | (held - u)
+        left = np.empty_like(v)
+        left[order] = v
+        full = ~np.uint64(0) >> (64 - words).astype(np.uint64)
+        return words - np.bitwise_count(left & full).astype(np.int64)
+
+
 class Block:
     """Pieces (item, first word, words) of about one length, to be compared with windows of the same size."""
 
@@ -215,15 +300,21 @@ class Block:
         item, at, n = self.pieces[j]
         return self.items.ids(item)[at : at + n]
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """For every term its column, and for every piece which columns it has; column 0: no term of these pieces."""
+    def table(self) -> Table:
         own = np.unique(np.concatenate([self.ids(j) for j in range(len(self.pieces))]))
         column = np.zeros(self.terms, np.int32)
         column[own] = np.arange(1, len(own) + 1)
         member = np.zeros((len(self.pieces), len(own) + 1), bool)
+        cells, bits = [], []
         for j in range(len(self.pieces)):
-            member[j, column[self.ids(j)]] = True
-        return column, member
+            at = column[self.ids(j)]
+            member[j, at] = True
+            cells.append(at + j * np.int64(member.shape[1]))
+            bits.append(np.uint64(1) << np.arange(len(at), dtype=np.uint64))
+        cells, bits = np.concatenate(cells), np.concatenate(bits)
+        order = np.argsort(cells, kind="stable")
+        begin = _runs(cells[order])
+        return Table(column, member, cells[order[begin]], np.bitwise_or.reduceat(bits[order], begin))
 
 
 def _blocks(items: Items, place: np.ndarray) -> list[Block]:
@@ -276,6 +367,7 @@ def _search(texts: DataFrame, items: Items, place: np.ndarray, cosine: float, ac
         items, place = held.value
         place = np.concatenate([place, np.zeros((1, place.shape[1]), np.float32)])  # -1: no term
         blocks, short = _blocks(items, place), ShortItems(items)
+        sizes = sorted({(block.words, block.stride) for block in blocks})
         tables = [block.table() for block in blocks] if len(blocks) <= KEPT_BLOCKS else None
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
@@ -285,28 +377,28 @@ def _search(texts: DataFrame, items: Items, place: np.ndarray, cosine: float, ac
                 for at, item in short.found(ids):
                     doc = doc_of(at)
                     found.setdefault((doc, item), [{}, len(items.ids(item)), 1.0, at - int(begin[doc])])
-                eighths = np.concatenate([place[ids[lo : lo + SEGMENT]].reshape(-1, 8, place.shape[1]).sum(1) for lo in range(0, len(ids), SEGMENT)])
-                sums = np.concatenate([np.zeros((1, eighths.shape[1])), np.cumsum(eighths, axis=0, dtype=np.float64)])
-                windows: dict[int, tuple] = {}
+                windows = _windows(ids, place, sizes, begin, end) if blocks else {}
                 for b, block in enumerate(blocks):
                     words, stride = block.words, block.stride
-                    if words not in windows:
-                        at = np.arange(0, len(ids) - words + 1, stride)
-                        at = at[at < end[np.searchsorted(begin, at, side="right") - 1]]
-                        v = (sums[at // 8 + words // 8] - sums[at // 8]).astype(np.float32)
-                        norm = np.linalg.norm(v, axis=1)
-                        windows = {words: (at[norm > 1e-9], v[norm > 1e-9] / norm[norm > 1e-9, None])}
                     at, v = windows[words]
-                    column, member = tables[b] if tables else block.table()
-                    least = paraphrase * np.array([n for _, _, n in block.pieces])
-                    for lo in range(0, len(at), 4096):
-                        w, c = np.nonzero(v[lo : lo + 4096] @ block.queries >= cosine)
+                    table = tables[b] if tables else block.table()
+                    lengths = np.array([n for _, _, n in block.pieces])
+                    least = paraphrase * lengths
+                    columns = np.pad(table.column[ids], stride)
+                    inside, around = sliding_window_view(columns[stride:], words), sliding_window_view(columns, words + 2 * stride)
+                    for lo in range(0, len(at), GATHERED):
+                        w, c = np.nonzero(v[lo : lo + GATHERED] @ block.queries >= cosine)
                         w = at[lo + w]
-                        for s in range(0, len(w), 4096):
-                            ws, cs = w[s : s + 4096], c[s : s + 4096]
-                            shared = member[cs[:, None], column[ids[ws[:, None] + np.arange(words)]]].sum(1)
-                            for x, j in zip(ws[shared >= least[cs]].tolist(), cs[shared >= least[cs]].tolist(), strict=True):
-                                _check(found, items, block, j, x, doc_of(x), ids, begin, end, least[j])
+                        for s in range(0, len(w), COMPARED):
+                            ws, cs = w[s : s + COMPARED], c[s : s + COMPARED]
+                            good = table.shared(inside[ws], cs) >= least[cs]
+                            ws, cs = ws[good], cs[good]
+                            # A text's own words in the window and a stride around; what is outside has column 0.
+                            docs = np.searchsorted(begin, ws, side="right") - 1
+                            where = ws[:, None] + np.arange(-stride, words + stride)
+                            n = table.lcs(np.where((where >= begin[docs, None]) & (where < end[docs, None]), around[ws], 0), cs, lengths[cs])
+                            for x, j, doc, k in zip(*(a[n >= least[cs]].tolist() for a in (ws, cs, docs, n)), strict=True):
+                                _check(found, items, block, j, x, doc, ids, begin, end, k)
                 for (doc, item), (by_piece, n, answer, at) in sorted(found.items()):
                     share = max(n, sum(by_piece.values())) / len(items.ids(item))  # pieces may also stand far apart
                     if share >= accept or share >= paraphrase and answer >= 0.999:
@@ -320,15 +412,12 @@ def _search(texts: DataFrame, items: Items, place: np.ndarray, cosine: float, ac
     return texts.mapInArrow(run, f"id {kind}, key binary, lcs_share double, answer boolean, first_word long")
 
 
-def _check(found: dict, items: Items, block: Block, j: int, x: int, doc: int, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, least: float) -> None:
-    """Compares piece j with the window at x word by word and, where it is there, its whole item with the text around."""
+def _check(found: dict, items: Items, block: Block, j: int, x: int, doc: int, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> None:
+    """Compares the whole item of piece j, n of whose words stand in the window at x, with the text around."""
     first, last = int(begin[doc]), int(end[doc])
     lo, hi = x - block.stride, x + block.words + block.stride
     region = ids[max(first, lo) : min(last, hi)].tolist()
     item, at, words = block.pieces[j]
-    n = lcs(block.ids(j).tolist(), region)
-    if n < least:
-        return
     whole = items.ids(item).tolist()
     best = found.setdefault((doc, item), [{}, 0, 0.0, x - first])
     best[0][at] = max(best[0].get(at, 0), n)

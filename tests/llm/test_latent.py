@@ -1,4 +1,8 @@
 import random
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 
 from plumbline.llm import latent
 
@@ -105,3 +109,46 @@ def test_many_passes_and_blocks(spark, make_docs, prose, monkeypatch):
     for name, value in (("WORDS", 300), ("TERMS", 250), ("PIECES", 2), ("KEPT_BLOCKS", 0)):
         monkeypatch.setattr(latent, name, value)
     assert {(x["doc_id"], x["item_id"]) for x in latent.contaminated(make_docs(rows), bench).collect()} == {(i, i) for i, _ in items}
+
+
+def test_pieces_compared_together():
+    """All rows at once give what the word-by-word rule gives one by one, with repeated words and pieces of 64 words."""
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        pieces = [r.integers(0, 20, n) for n in (*r.integers(5, 65, 6), 64)]
+        items = latent.Items([b""] * 7, np.concatenate(pieces).astype(np.int32), np.cumsum([0, *map(len, pieces)]))
+        table = latent.Block(items, [(j, 0, len(p)) for j, p in enumerate(pieces)], np.ones((31, 4), np.float32), 96, 32).table()
+        ids, own = r.integers(-1, 30, (30, 160)), r.integers(0, 7, 30)
+        got = table.lcs(table.column[ids], own, np.array([len(p) for p in pieces])[own])
+        assert got.tolist() == [lcs_length(pieces[j].tolist(), row) for j, row in zip(own, ids.tolist(), strict=True)]
+        assert table.shared(table.column[ids[:, :96]], own).tolist() == [sum(x in pieces[j] for x in row[:96]) for j, row in zip(own, ids)]
+        assert table.lcs(table.column[ids[:0]], own[:0], own[:0]).tolist() == []
+
+
+def test_sums_in_stretches(monkeypatch):
+    monkeypatch.setattr(latent, "GATHERED", 7)
+    r = np.random.default_rng(4)
+    table, values = r.integers(0, 9, (50, 3)).astype(np.float32), np.sort(r.integers(0, 40, 200))
+    at, begin = r.integers(0, 50, 200), latent._runs(values)
+    assert values[begin].tolist() == np.unique(values).tolist()
+    assert latent._sums(table, at, begin).tolist() == [table[at[values == v]].sum(0).tolist() for v in np.unique(values)]
+    assert latent._sums(table, at[:0], latent._runs(values[:0])).shape == (0, 3)
+
+
+def test_few_comparisons_one_by_one(prose, monkeypatch):
+    """Candidates that do not hold the piece never reach the comparison of single items."""
+    calls, plain = [], latent.lcs
+    monkeypatch.setattr(latent, "lcs", lambda a, b: calls.append(1) or plain(a, b))
+    vocabulary = {f"w{i}".encode(): i for i in range(60)}
+    ids = [[vocabulary[w] for w in latent.split_words(prose(n, 300, 60).encode())] for n in range(60)]
+    wanted = ids[7][100:120]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+    place = np.random.default_rng(5).standard_normal((60, latent.RANK)).astype(np.float32)
+    texts = SimpleNamespace(
+        schema={"id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))},
+        sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v))),
+        mapInArrow=lambda run, _: [r for out in run(iter([batch])) for r in out.to_pylist()],
+    )
+    found = latent._search(texts, latent.Items([b"k"], np.array(wanted, np.int32), np.array([0, 20])), place, latent.COSINE, 0.8, 0.65)
+    assert [(r["id"], r["lcs_share"], r["answer"]) for r in found] == [(7, 1.0, True)]
+    assert len(calls) < 10
