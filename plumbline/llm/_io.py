@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker turns into lists and arrays at a time.
 CHUNK_BYTES = 2 << 20
+#: Bytes of the Arrow batches in which an executor hands rows to Python while a table is stored; Spark's own limit is 64 MB, held several times over on either side.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +42,26 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again: lineage ends there."""
     path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES meanwhile, unless the session has a limit of its own."""
+    if spark.conf.get(_BATCH, None) is not None:
+        yield
+        return
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Deletes tables made by stored(), once nothing that is still to run reads them."""
     for df in tables:
@@ -65,3 +83,4 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             held += int(size)
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers live on, and later stages need the memory
