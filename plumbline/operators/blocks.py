@@ -30,14 +30,15 @@ def columns(rows: DataFrame, decimals: int = 9) -> DataFrame:
     return v.withColumn("vals", vals).select(*BLOCK, "number", "panels", "explicit", "title", "col", "header", F.size("vals").cast("long").alias("n"), "vals", text(F.col("vals")).alias("ordered_fp"), text(F.sort_array("vals")).alias("sorted_fp"))
 
 
-def layout(rows: DataFrame, large: int = 2000) -> DataFrame:
-    """(block, layout): large, long (a column groups the rows), matrix, xy (the first column is an axis and rises), wide or single."""
-    per = rows.filter("role IN ('value', 'category')").groupBy(*BLOCK, "col", "role").agg(F.first("header").alias("header"), F.count("*").alias("n"), F.count_distinct("str").alias("kinds"), F.sort_array(F.collect_list(F.struct("row", "num"))).alias("r"))
+def layout(rows: DataFrame) -> DataFrame:
+    """(block, layout): long (a column groups the rows), matrix, xy (the first column is an axis and rises), wide or single, whatever its size."""
+    axis = F.when((F.col("role") == "value") & F.col("header").rlike(AXIS), F.struct("row", "num"))
+    per = rows.filter("role IN ('value', 'category')").groupBy(*BLOCK, "col", "role").agg(F.first("header").alias("header"), F.count("*").alias("n"), F.count_distinct("str").alias("kinds"), F.sort_array(F.collect_list(axis)).alias("r"))
     rising = F.forall(F.sequence(F.lit(1), F.greatest(F.size("r") - 1, F.lit(1))), lambda i: F.coalesce(F.try_element_at("r.num", i) < F.try_element_at("r.num", i + 1), F.lit(True)))
     named = per.withColumns({"groups": (F.col("role") == "category") & (F.col("kinds") < F.col("n")), "rising": (F.col("role") == "value") & (F.col("n") >= 3) & F.col("header").rlike(AXIS) & rising})
     summed = rows.filter("role NOT IN ('value', 'category')").select(*BLOCK).distinct().withColumn("summed", F.lit(True))
-    g = named.groupBy(*BLOCK).agg(F.max("n").alias("n"), F.bool_or("groups").alias("groups"), F.bool_or(F.col("role") == "category").alias("categories"), F.count_if(F.col("role") == "value").alias("values"), F.min_by("rising", F.when(F.col("role") == "value", F.col("col"))).alias("first_rises"))
-    kind = F.when(F.col("n") > large, "large").when(F.col("groups"), "long").when(F.col("categories"), F.when(F.col("values") >= 3, "matrix").otherwise("single"))
+    g = named.groupBy(*BLOCK).agg(F.bool_or("groups").alias("groups"), F.bool_or(F.col("role") == "category").alias("categories"), F.count_if(F.col("role") == "value").alias("values"), F.min_by("rising", F.when(F.col("role") == "value", F.col("col"))).alias("first_rises"))
+    kind = F.when(F.col("groups"), "long").when(F.col("categories"), F.when(F.col("values") >= 3, "matrix").otherwise("single"))
     kind = kind.when((F.col("values") >= 2) & F.coalesce("first_rises", F.lit(False)), "xy").when((F.col("values") >= 2) & F.col("summed").isNull(), "wide").otherwise("single")
     return g.join(summed, BLOCK, "left").select(*BLOCK, kind.alias("layout"))
 

@@ -54,3 +54,12 @@ def test_copies(spark):
     assert {(r["number_b"], r["same_condition"], r["n_in_order"]) for r in checks.reused_columns(c.filter("block < 3")).collect()} == {("2", True, 0)}
     assert {r["number"] for r in checks.reconciled(c).filter(F.col("block") == 3).collect()} == {"1"}
     assert sorted(r["n_copies"] for r in checks.distinct_blocks(c).collect()) == [1, 1, 2]
+
+
+def test_layout_of_long_blocks(spark):
+    """A block of any length keeps its layout, and so its n."""
+    rows = spark.range(2001).selectExpr("'f' AS path", "'s' AS sheet", "1L AS block", "'1' AS number", "'a' AS panels", "0L AS col", "'WT' AS header", "'value' AS role", "id AS row", "double(id) AS num", "cast(null AS string) AS str")
+    both = rows.union(rows.filter("row < 3").selectExpr("path", "sheet", "block", "number", "panels", "1L", "'KO'", "role", "row", "num", "str"))
+    axis = both.withColumn("header", F.when(F.col("col") == 0, "Time").otherwise(F.col("header")))
+    assert [r["layout"] for r in checks.layout(both).collect()] == ["wide"] and [r["layout"] for r in checks.layout(axis).collect()] == ["xy"]
+    assert {(r["group_key"], r["n"]) for r in checks.block_ns(both).collect()} == {("WT", 2001), ("KO", 3)}
