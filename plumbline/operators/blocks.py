@@ -81,13 +81,16 @@ def _near(stated: Column, value: Column, decimals: Column) -> Column:
 def summaries(rows: DataFrame) -> DataFrame:
     """(block, col, header, n, mean_status, sd_status, sem_status) of value columns of three values at least with a stated mean, SD or SEM.
 
+    Its last digit is that of the number as printed (str), where the cell keeps it
+    as text; else of the number's shortest notation.
     mean: ok, dropped_value (one value left out explains it, of four at least) or
     unexplained; sd: sample, population or unexplained; sem: ok, n_minus_1 or
     unexplained. After a dropped value the others are held against the rest.
     """
     keys = [*BLOCK, "col", "header"]
     v = rows.filter("role = 'value' AND num IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("n"), F.sum("num").alias("s"), F.sum(F.col("num") * F.col("num")).alias("q"), F.collect_list("num").alias("vals"))
-    text = F.regexp_replace(F.col("num").cast("decimal(30,10)").cast("string"), r"0+$", "")
+    printed = F.when(F.col("str").rlike(r"^\s*[+-]?[0-9]+([.][0-9]*)?\s*$"), F.trim("str"))
+    text = F.coalesce(printed, F.regexp_replace(F.col("num").cast("decimal(30,10)").cast("string"), r"0+$", ""))
     stated = rows.filter("role IN ('mean', 'sd', 'sem') AND num IS NOT NULL").groupBy(*keys).agg(*(F.max(F.when(F.col("role") == k, F.struct("num", F.length(F.regexp_extract(text, r"\.([0-9]*)$", 1)).alias("decimals")))).alias(k) for k in ("mean", "sd", "sem")))
     j = v.filter("n >= 3").join(stated, keys)
     n, s, q = F.col("n"), F.col("s"), F.col("q")

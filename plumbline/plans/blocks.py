@@ -36,11 +36,11 @@ def reused_columns(spark, d):
 def block_summaries(spark, d):
     """Stated means are right, without the largest value or 50 too high; SDs are a sample's or a population's. Where a value was dropped, the SD is not compared."""
     rows = _rows(spark, d).filter("block < 100")
-    keys = [c for c in rows.columns if c not in ("role", "row", "num")]
+    keys = [c for c in rows.columns if c not in ("role", "row", "num", "str")]
     g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("num").alias("m"), F.sum("num").alias("s"), F.max("num").alias("top"), F.stddev_samp("num").alias("s1"), F.stddev_pop("num").alias("s0")).filter("n >= 3")
     mean = F.when(F.col("block") % 3 == 0, F.col("m")).when(F.col("block") % 3 == 1, (F.col("s") - F.col("top")) / (F.col("n") - 1)).otherwise(F.col("m") + 50)
     sd = F.when(F.col("block") % 2 == 0, F.col("s1")).otherwise(F.col("s0"))
-    told = g.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("role"), F.lit(10**9).cast("long").alias("row"), F.round(v, 2).alias("num")) for k, v in (("mean", mean), ("sd", sd))))).alias("t")).select(*keys, "t.*")
+    told = g.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("role"), F.lit(10**9).cast("long").alias("row"), F.round(v, 2).alias("num")) for k, v in (("mean", mean), ("sd", sd))))).alias("t")).select(*keys, "t.*").withColumn("str", F.format_string("%.2f", F.col("num")))
     out = blocks.summaries(rows.unionByName(told))
     return out.select(F.col("block").cast("int").alias("block"), "header", "n", "mean_status", F.when(F.col("mean_status") != "dropped_value", F.col("sd_status")).alias("sd_status"))
 

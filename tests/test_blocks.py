@@ -63,3 +63,12 @@ def test_layout_of_long_blocks(spark):
     axis = both.withColumn("header", F.when(F.col("col") == 0, "Time").otherwise(F.col("header")))
     assert [r["layout"] for r in checks.layout(both).collect()] == ["wide"] and [r["layout"] for r in checks.layout(axis).collect()] == ["xy"]
     assert {(r["group_key"], r["n"]) for r in checks.block_ns(both).collect()} == {("WT", 2001), ("KO", 3)}
+
+
+def test_printed_digits(spark):
+    """A mean printed as 4.10 is told to two decimals, one without a text to its shortest notation."""
+    vals = [1.0, 2.0, 3.0, 10.45]
+    cell = lambda b, role, row, num, text=None: ("f", "s", b, 1, "x", role, row, num, text)
+    rows = [cell(b, "value", i, x) for b in (1, 2) for i, x in enumerate(vals)] + [cell(1, "mean", 9, 4.1, "4.10"), cell(2, "mean", 9, 4.1)]
+    df = spark.createDataFrame(rows, "path string, sheet string, block long, col long, header string, role string, row long, num double, str string")
+    assert {(r["block"], r["mean_status"]) for r in checks.summaries(df).collect()} == {(1, "unexplained"), (2, "ok")}
