@@ -23,3 +23,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to some tasks a core: a small file that much is made of is read by one task."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)

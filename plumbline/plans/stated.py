@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import claims, labels
-from plumbline.plans.registry import query, table
+from plumbline.plans.registry import query, spread, table
 
 def _sentences():
     """For each kind of claim the sentence that makes it and what reads it back."""
@@ -33,8 +33,8 @@ def _sentences():
     {'k': 'panels', 'v': c || 'b,' || c || 'c,' || c || 'd,S' || c || 'a'}, {'k': 'figures', 'v': array_to_string(list_sort([CAST(c AS VARCHAR), CAST(c + 1 AS VARCHAR), CAST(c + 2 AS VARCHAR), 'S' || c]), ',')}, {'k': 'spanned', 'v': 'x ' || a || ' normalized to ' || b}]) AS s FROM p)
   SELECT p_partkey, s.k AS kind, s.v AS stated FROM t""")
 def stated_claims(spark, d):
-    """Each kind of claim in a sentence of its own for every part, read back by its extractor. Part keys stay below ten thousand for ids of four digits."""
-    p = table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("a"), (F.col("p_partkey") + 1).cast("string").alias("b"), (F.col("p_size") % 9 + 1).cast("int").alias("c"))
+    """Each kind of claim in a sentence of its own for every part, read back by its extractor."""
+    p = spread(table(spark, d, "part")).select("p_partkey", F.col("p_partkey").cast("string").alias("a"), (F.col("p_partkey") + 1).cast("string").alias("b"), (F.col("p_size") % 9 + 1).cast("int").alias("c"))
     each = F.array(*(F.struct(F.lit(k).alias("kind"), text.cast("string").alias("text")) for k, (text, _) in _sentences().items()))
     rows = p.select("p_partkey", F.explode(each).alias("s")).select("p_partkey", "s.kind", "s.text")
     stated = F.lit(None).cast("string")

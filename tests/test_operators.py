@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import arrays, stats, text
+from plumbline.functions import arrays, claims, stats, text
 from plumbline.operators import catalog, evaluate, graph, nearest, ordered, pairs, refs, similarity, vectors
 
 
@@ -128,3 +128,12 @@ def test_redacted_keeps_whole_texts(spark):
     long = "word " * 5000 + "a@b.org"
     row = spark.createDataFrame([(long,)], "t string").select(text.redacted(F.col("t")).alias("whole"), text.redacted(F.col("t"), 10).alias("cut")).first()
     assert row["whole"] == long[:25000] + "[EMAIL]" and row["cut"] == long[:10]
+
+
+def test_claims_of_many_digits(spark):
+    """Numbers and ids are read whole, however long; what no long holds has no n."""
+    df = spark.createDataFrame([("Animals F12345 and m1234567 were excluded. ~1234567 rats per vial, 12345678 colonies and 99999999999999999999 cells. Taken with a 12345x lens.",)], "t string")
+    t = F.col("t")
+    r = df.select(claims.declared_exclusions(t).alias("ids"), claims.cohort(t)["n"].alias("n"), claims.counted(t).alias("counts"), claims.magnifications(t).alias("m")).first()
+    assert r["ids"] == ["F12345", "M1234567"] and r["n"] == 1234567 and r["m"] == [12345.0]
+    assert [tuple(c) for c in r["counts"]] == [(12345678, "colonies"), (None, "cells")]
