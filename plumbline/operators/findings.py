@@ -43,9 +43,10 @@ def disclosures(texts: DataFrame) -> DataFrame:
 def with_disclosures(rows: DataFrame, texts: DataFrame, manuscripts: DataFrame | None) -> DataFrame:
     """rows (source, ..) with what their manuscript's text says; manuscripts: (source, doc), one each. Without it all sources and texts are one manuscript's. A source without a manuscript has no text."""
     if manuscripts is None:
-        texts, manuscripts = texts.withColumn("doc", F.lit("")), rows.select("source").distinct().withColumn("doc", F.lit(""))
-    told = disclosures(texts).withColumn("doc", F.col("doc").cast("string"))
-    named = rows.join(manuscripts.select("source", F.col("doc").cast("string").alias("doc")), "source", "left").join(told, "doc", "left")
+        told, of = F.broadcast(disclosures(texts.withColumn("doc", F.lit("")))), rows.withColumn("doc", F.when(F.col("source").isNotNull(), F.lit("")))
+    else:
+        told, of = disclosures(texts).withColumn("doc", F.col("doc").cast("string")), rows.join(manuscripts.select("source", F.col("doc").cast("string").alias("doc")), "source", "left")
+    named = of.join(told, "doc", "left")
     return named.withColumns({"level": F.coalesce("level", F.lit("none")), **{c: F.coalesce(c, F.lit(False)) for c in ("independent", "exclusion", "derived", "t", "corrected")}})
 
 

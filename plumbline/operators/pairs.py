@@ -5,7 +5,9 @@ class' smallest (source, group) and its number of links, so a class of any size
 gives one row per member. Pairs are made between different vectors only (one
 stands for its equals), and only where an index brings them together: rarest
 values for sets, scale-free bands for multiples. Tables that join their own
-aggregate are stored first, so that adaptive execution can split a hot key.
+aggregate are stored first, so that adaptive execution can split a hot key. Spark
+takes a stored table for as large as its file, though values that repeat are some
+hundred times that in memory, so these joins are never broadcast.
 """
 
 from __future__ import annotations
@@ -14,13 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays
-from plumbline.operators.storage import stored
+from plumbline.operators.storage import stored as _stored
 from plumbline.operators.vectors import vectors
 
 # What marks a group as a control.
 CONTROLS = ("ctrl", "control", "cont", "wt", "wild", "vehicle", "mock", "sham", "baseline", "parent", "untreated")
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df stored, for sort-merge joins only."""
+    return _stored(df, what).hint("merge")
+
+
 def control_like(group: F.Column) -> F.Column:
     low = F.lower(group)
     return F.exists(F.array(*map(F.lit, CONTROLS)), lambda c: F.contains(low, c))
