@@ -12,7 +12,7 @@ hundred times that in memory, so these joins are never broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays
@@ -112,11 +112,6 @@ def overlapping(items: DataFrame, share: float) -> DataFrame:
     return both.filter(F.col("common") >= F.col("n_a") * share - 1e-9).select("scope", "id_a", "id_b", "common", "n_a", "n_b")
 
 
-def labelled(values: F.Column) -> F.Column:
-    """Values as tokens that tell repetitions apart, so that sets of them intersect like multisets."""
-    return F.transform(F.sort_array(values), lambda x, i: F.concat_ws("#", x.cast("string"), (i - F.array_position(F.sort_array(values), x) + 1).cast("string")))
-
-
 def shares_within_source(v: DataFrame, least: int = 3) -> DataFrame:
     """(source, group_a, group_b, kind): different vectors of a source that share values, and how (endpoint_dropout, subset, high_jaccard).
 
@@ -133,9 +128,23 @@ def shares_within_source(v: DataFrame, least: int = 3) -> DataFrame:
 
 
 def multiset_overlaps(v: DataFrame, share: float = 0.5) -> DataFrame:
-    """(source, group_a, group_b, hits): vectors of a source that have `share` of the shorter one's values in common, repetitions counted."""
-    met = overlapping(v.select(F.col("source").alias("scope"), F.col("group_key").alias("id"), labelled(F.col("vals")).alias("tokens")), share)
-    return met.select(F.col("scope").alias("source"), F.least("id_a", "id_b").alias("group_a"), F.greatest("id_a", "id_b").alias("group_b"), F.col("common").cast("long").alias("hits"))
+    """(source, group_a, group_b, hits): vectors of a source that have `share` of the shorter one's values in common, repetitions counted.
+
+    A vector is its different values with their counts. As in overlapping(), the
+    smaller one's rarest values, with all but as many repetitions as `share` and
+    one more, hold one of the other's; hits are summed value by value.
+    """
+    each = v.select(F.col("source").alias("scope"), F.col("group_key").alias("id"), F.col("n"), F.explode("vals").alias("value"))
+    each = stored(each.groupBy("scope", "id", "n", "value").agg(F.count("*").alias("k")), "counts")
+    seen = stored(each.groupBy("scope", "value").agg(F.count("*").alias("df")), "values")
+    by_rarity = Window.partitionBy("scope", "id").orderBy("df", "value").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("k").over(by_rarity), F.lit(0))
+    rare = each.join(seen, ["scope", "value"]).withColumn("before", before).filter(F.col("before") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9))
+    a, b = (d.select("scope", "value", F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}")) for d, x in ((rare, "a"), (each, "b")))
+    met = a.join(b, ["scope", "value"]).filter("n_a < n_b OR n_a = n_b AND id_a < id_b").select("scope", "id_a", "id_b", "n_a").distinct()
+    ka, kb = (each.select("scope", "value", F.col("id").alias(f"id_{x}"), F.col("k").alias(f"k_{x}")) for x in "ab")
+    hits = met.join(ka, ["scope", "id_a"]).join(kb, ["scope", "id_b", "value"]).groupBy("scope", "id_a", "id_b", "n_a").agg(F.sum(F.least("k_a", "k_b")).alias("hits"))
+    return hits.filter(F.col("hits") >= F.col("n_a") * share - 1e-9).select(F.col("scope").alias("source"), F.least("id_a", "id_b").alias("group_a"), F.greatest("id_a", "id_b").alias("group_b"), "hits")
 
 
 def similar_sets(obs: DataFrame, threshold: float = 0.95, least: int = 5) -> tuple[DataFrame, DataFrame]:
