@@ -147,27 +147,60 @@ def multiset_overlaps(v: DataFrame, share: float = 0.5) -> DataFrame:
     return hits.filter(F.col("hits") >= F.col("n_a") * share - 1e-9).select(F.col("scope").alias("source"), F.least("id_a", "id_b").alias("group_a"), F.greatest("id_a", "id_b").alias("group_b"), "hits")
 
 
-def similar_sets(obs: DataFrame, threshold: float = 0.95, least: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs) of value sets under a Jaccard threshold.
+def value_sets(obs: DataFrame, least: int = 5) -> DataFrame:
+    """(source, group_key, vals, set_id): the different values of every vector; equal sets have one id."""
+    sets = vectors(obs).select("source", "group_key", F.array_sort(F.array_distinct("vals")).alias("vals")).filter(F.size("vals") >= least)
+    return sets.withColumn("set_id", arrays.value_hash(F.col("vals")))
+
+
+def set_members(obs: DataFrame, least: int = 5) -> DataFrame:
+    """Vectors with equal sets are one class (source, group_key, set_id, n_set)."""
+    return value_sets(obs, least).select("source", "group_key", "set_id", F.size("vals").cast("long").alias("n_set"))
 
-    Vectors with equal sets are one class (members: source, group_key, set_id, n_set).
-    Different sets meet in an inverted index over their rarest values: of two sets
-    that reach the threshold, one's first (1 - threshold) * size + 1 values in
-    order of frequency hold a value of the other's. Pairs: set_a, set_b, jaccard.
+
+def similar_sets(obs: DataFrame, threshold: float = 0.95, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of value sets under a Jaccard threshold. members: see set_members(). Pairs: set_a, set_b, jaccard.
+
+    A set of m values has at most `most` values that only it or the other one
+    holds. Values that more than half of the sets hold are turned round, so that a
+    set is told by what it has beyond them and what it lacks of them (`odd`); what
+    sets differ by stays the same, and dense sets become short. Short sets meet in
+    what is left of them when as many values are taken away as they may differ by:
+    no other sets do. Longer ones meet all others by the most + 1 rarest of their
+    odd values, and are compared.
     """
-    sets = vectors(obs).select("source", "group_key", F.array_sort(F.array_distinct("vals")).alias("vals")).filter(F.size("vals") >= least)
-    members = sets.select("source", "group_key", arrays.value_hash(F.col("vals")).alias("set_id"), F.size("vals").cast("long").alias("n_set"))
-    distinct = sets.select(arrays.value_hash(F.col("vals")).alias("set_id"), "vals").dropDuplicates(["set_id"])
-    places = distinct.select("set_id", F.size("vals").alias("m"), F.explode("vals").alias("x"))
-    rare = places.groupBy("x").agg(F.count("*").alias("df"))
-    ordered = places.join(rare, "x").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"), F.first("m").alias("m"))
-    prefix = F.floor(F.col("m") * (1 - threshold) + 1e-9).cast("int") + 1
-    index = ordered.select("set_id", "m", F.explode(F.slice("o", F.lit(1), prefix)).alias("e")).select("set_id", "m", "e.x")
-    a, b = index.select("x", F.col("set_id").alias("set_a"), F.col("m").alias("ma")), index.select("x", F.col("set_id").alias("set_b"), F.col("m").alias("mb"))
-    met = a.join(b, "x").filter((F.col("set_a") < F.col("set_b")) & (F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))).select("set_a", "set_b").distinct()
-    va, vb = distinct.select(F.col("set_id").alias("set_a"), F.col("vals").alias("va")), distinct.select(F.col("set_id").alias("set_b"), F.col("vals").alias("vb"))
-    pairs = met.join(va, "set_a").join(vb, "set_b").select("set_a", "set_b", arrays.jaccard(F.col("va"), F.col("vb")).alias("jaccard")).filter(F.col("jaccard") >= threshold)
-    return members, pairs
+    distinct = stored(value_sets(obs, least).select("set_id", "vals", F.size("vals").alias("m")).dropDuplicates(["set_id"]), "sets")
+    seen = stored(distinct.select(F.explode("vals").alias("x")).groupBy("x").agg(F.count("*").alias("df")), "values")
+    total = distinct.agg(F.count("*").alias("total"))
+    # At most twice as many as an average set has.
+    frequent = seen.crossJoin(F.broadcast(total)).filter("2 * df > total").agg(F.collect_list("x").alias("frequent"))
+    most = F.floor((F.col("m") + F.floor(F.col("m") / threshold + 1e-9)) * (1 - threshold) / (1 + threshold) + 1e-9).cast("int")
+    each = distinct.crossJoin(F.broadcast(frequent)).select("set_id", "m", "vals", most.alias("most"), F.array_sort(F.concat(F.array_except("vals", "frequent"), F.array_except("frequent", "vals"))).alias("odd"))
+    each = stored(each.withColumn("short", (F.size("odd") <= 8) & (F.col("most") <= 3)), "odd")
+
+    left = [F.array("odd")]
+    for _ in range(3):
+        left.append(F.array_distinct(F.flatten(F.transform(left[-1], lambda o: F.transform(o, lambda x: F.array_remove(o, x))))))
+    told = lambda i: lambda core: F.struct(F.lit(i).alias("i"), core.alias("core"))
+    kept = F.explode(F.concat(*(F.when(F.col("most") >= i, F.transform(o, told(i))).otherwise(F.array().cast("array<struct<i:int,core:array<double>>>")) for i, o in enumerate(left))))
+    cores = each.filter("short").select("set_id", "m", "most", kept.alias("k")).select("set_id", "m", "most", "k.i", "k.core")
+    # a has lost i values and b j of them, i at most j.
+    a = cores.select("core", "i", F.explode(F.when(2 * F.col("i") <= F.col("most"), F.sequence("i", F.col("most") - F.col("i")))).alias("j"), F.col("set_id").alias("set_a"), F.col("m").alias("ma"))
+    b = cores.select("core", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.least("i", F.col("most") - F.col("i")))).alias("i"), F.col("set_id").alias("set_b"), F.col("m").alias("mb"))
+    met = a.join(b, ["core", "i", "j"]).filter("set_a <> set_b")
+    ends = (F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b"))
+    apart = met.select(*ends, (F.col("ma") + F.col("mb")).alias("both"), (F.col("i") + F.col("j")).alias("apart")).groupBy("set_a", "set_b", "both").agg(F.min("apart").alias("apart"))
+    near = apart.select("set_a", "set_b", ((F.col("both") - F.col("apart")) / (F.col("both") + F.col("apart"))).alias("jaccard"))
+
+    places = each.select("set_id", "m", "most", "short", F.size("odd").alias("n_odd"), F.explode("odd").alias("x")).join(seen.crossJoin(F.broadcast(total)).select("x", F.least("df", F.col("total") - F.col("df")).alias("df")), "x")
+    rank = F.row_number().over(Window.partitionBy("set_id").orderBy("df", "x"))
+    index = places.withColumn("rank", rank).filter("rank <= most + 1").select("set_id", "m", "short", "x")
+    index = index.unionByName(each.filter(F.size("odd") <= F.col("most")).select("set_id", "m", "short", F.lit(None).cast("double").alias("x")))
+    la, lb = index.filter("NOT short").select("x", F.col("set_id").alias("set_a"), F.col("m").alias("ma")), index.select("x", F.col("set_id").alias("set_b"), F.col("m").alias("mb"), "short")
+    long = la.join(lb, la["x"].eqNullSafe(lb["x"])).filter((F.col("short") | (F.col("set_a") < F.col("set_b"))) & (F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))).select(*ends).distinct()
+    va, vb = (each.select(F.col("set_id").alias(f"set_{x}"), F.col("vals").alias(f"v{x}")) for x in "ab")
+    compared = long.join(va, "set_a").join(vb, "set_b").select("set_a", "set_b", arrays.jaccard(F.col("va"), F.col("vb")).alias("jaccard"))
+    return set_members(obs, least), near.unionByName(compared).filter(F.col("jaccard") >= threshold)
 
 
 def profile_matches(claims: DataFrame, files: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ _SETS = f"""s AS (SELECT source, group_key, list_sort(list_distinct(vals)) AS va
 
 @query(f"WITH {_SETS} SELECT source, group_key, set_id, len(vals) AS n_set FROM h")
 def value_sets(spark, d):
-    return pairs.similar_sets(quantities(spark, d))[0]
+    return pairs.set_members(quantities(spark, d))
 
 
 @query(f"""WITH {_SETS}, p AS (SELECT a.set_id AS set_a, b.set_id AS set_b, len(list_intersect(a.vals, b.vals)) / len(list_distinct(list_concat(a.vals, b.vals))) AS jaccard FROM u a JOIN u b ON a.set_id < b.set_id)
