@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import pairs
+from plumbline.operators.storage import stored
 
 
 def missing_entries(cites: DataFrame, bib: DataFrame) -> DataFrame:
@@ -74,16 +75,22 @@ def matched_by_priority(bib: DataFrame, files: DataFrame) -> DataFrame:
 
     status: matched, ambiguous (more than one by the best rule) or unmatched.
     """
-    by_doi = bib.filter("doi IS NOT NULL").join(files.select("file", "doi"), "doi").select("entry", "file", F.lit(1).alias("rule"))
-    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " "), " "), lambda t: F.length(t) > 2))
-    side = lambda d, name: d.select(F.col("year").alias("scope"), F.struct(F.lit(name).alias("side"), F.col(name).cast("string").alias("of")).alias("id"), words.alias("tokens"))
+    # Files of one DOI, and files of one year whose titles have the same words, are told once, by their smallest and largest name: one file or several.
+    ends = (F.min("file").alias("low"), F.max("file").alias("high"))
+    known = stored(files.filter("doi IS NOT NULL").groupBy("doi").agg(*ends), "by-doi").hint("merge")
+    by_doi = bib.filter("doi IS NOT NULL").select("entry", "doi").join(known, "doi").select("entry", F.lit(1).alias("rule"), "low", "high")
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " "), " "), lambda t: F.length(t) > 2)))
     # Only entries whose DOI leads nowhere look for their title, by its rarest words within the year.
-    open_entries = bib.join(by_doi.select("entry").distinct(), "entry", "left_anti")
-    met = pairs.overlapping(side(open_entries, "entry").union(side(files, "file")), 0.6).filter("id_a.side <> id_b.side")
-    of = lambda name: F.when(F.col("id_a.side") == name, F.col("id_a.of")).otherwise(F.col("id_b.of"))
-    by_title = met.select(of("entry").cast(bib.schema["entry"].dataType).alias("entry"), of("file").cast(files.schema["file"].dataType).alias("file"), F.lit(2).alias("rule"))
-    hits = by_doi.union(by_title)
-    best = hits.groupBy("entry").agg(F.min("rule").alias("rule"))
-    top = hits.join(best, ["entry", "rule"]).groupBy("entry", "rule").agg(F.count_distinct("file").alias("n"), F.min("file").alias("file"))
+    open_entries = stored(bib.join(by_doi.select("entry").distinct(), "entry", "left_anti").select("entry", "year", words.alias("tokens")), "open").hint("merge")
+    titled = stored(files.select("file", "year", words.alias("tokens")).groupBy("year", "tokens").agg(*ends), "titles").hint("merge")
+    sides = open_entries.select("year", "tokens").distinct().withColumn("side", F.lit("entry")).union(titled.select("year", "tokens", F.lit("file")))
+    met = pairs.overlapping(sides.select(F.col("year").alias("scope"), F.struct("side", "tokens").alias("id"), "tokens"), 0.6).filter("id_a.side <> id_b.side")
+    of = lambda side: F.when(F.col("id_a.side") == side, F.col("id_a.tokens")).otherwise(F.col("id_b.tokens"))
+    met = met.select(F.col("scope").alias("year"), of("entry").alias("asked"), of("file").alias("tokens"))
+    by_title = met.join(titled, ["year", "tokens"]).groupBy("year", "asked").agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumnRenamed("asked", "tokens")
+    hits = by_doi.union(open_entries.join(by_title, ["year", "tokens"]).select("entry", F.lit(2).alias("rule"), "low", "high"))
+    best = hits.groupBy("entry").agg(F.min("rule").alias("rule"), F.min(F.when(F.col("rule") == 1, F.col("low"))).alias("l1"), F.max(F.when(F.col("rule") == 1, F.col("high"))).alias("h1"), F.min("low").alias("l2"), F.max("high").alias("h2"))
+    low, high = (F.when(F.col("rule") == 1, F.col(f"{x}1")).otherwise(F.col(f"{x}2")) for x in "lh")
+    top = best.select("entry", "rule", low.alias("file"), F.when(low == high, 1).otherwise(2).alias("n"))
     status = F.when(F.col("n").isNull(), "unmatched").when(F.col("n") == 1, "matched").otherwise("ambiguous")
     return bib.select("entry").join(top, "entry", "left").select("entry", status.alias("status"), F.when(F.col("n") == 1, F.col("file")).alias("file"), "rule")
