@@ -5,10 +5,17 @@ All functions take and give Columns and stay inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), value worked out once a row: inside a lambda it would be for every element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def rounded(values: Column, decimals: int = 6) -> Column:
     """Sorted ascending and rounded half to even."""
     return F.sort_array(F.transform(values, lambda x: F.bround(x, decimals)))
@@ -60,11 +67,15 @@ def integer_ratio(a: Column, b: Column, most: int = 100, rel: float = 1e-6) -> C
     top = F.when(_magnitude(a) <= _magnitude(b), b).otherwise(a)
     ranks = F.filter(F.arrays_zip(base.alias("x"), top.alias("y")), lambda p: (p["x"] != 0) | (p["y"] != 0))
     ratios = F.transform(ranks, lambda p: F.try_divide(p["y"], p["x"]))
-    ordered = F.sort_array(ratios)
-    middle = F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
-    k = F.round(middle)
-    fits = F.forall(ratios, lambda r: F.coalesce(F.abs(r - k) <= rel * k, F.lit(False)))
-    return F.when((F.size(a) == F.size(b)) & (a != b) & (F.size(ratios) > 0) & (middle >= 1.5) & (k >= 2) & (k <= most) & fits, k.cast("long"))
+    middle = lambda o: F.try_element_at(o, (F.floor(F.size(o) / 2) + 1).cast("int"))
+
+    def whole(ratios: Column, middle: Column) -> Column:
+        k = F.round(middle)
+        fits = F.forall(ratios, lambda r: F.coalesce(F.abs(r - k) <= rel * k, F.lit(False)))
+        return F.when((F.size(ratios) > 0) & (middle >= 1.5) & (k >= 2) & (k <= most) & fits, k.cast("long"))
+
+    found = let(F.sort_array(ratios), lambda o: let(middle(o), lambda m: whole(o, m)))
+    return F.when((F.size(a) == F.size(b)) & (a != b), found)
 
 
 def multiset_hits(a: Column, b: Column) -> Column:
@@ -79,9 +90,11 @@ def z_similarity(a: Column, b: Column) -> Column:
 
     def z(v: Column) -> Column:
         head = F.slice(F.sort_array(v), F.lit(1), F.greatest(n, F.lit(1)))
-        mean = F.aggregate(head, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(head), F.lit(1))
-        sd = F.sqrt(F.aggregate(head, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.greatest(F.size(head), F.lit(1)))
-        return F.transform(head, lambda x: F.when(sd > 0, (x - mean) / sd).otherwise(F.lit(0.0)))
+        size = F.greatest(F.least(F.size(v), n), F.lit(1))
+        mean = lambda h: F.aggregate(h, F.lit(0.0), lambda s, x: s + x) / size
+        sd = lambda h, m: F.sqrt(F.aggregate(h, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / size)
+        scores = lambda h, m, d: F.transform(h, lambda x: F.when(d > 0, (x - m) / d).otherwise(F.lit(0.0)))
+        return let(head, lambda h: let(mean(h), lambda m: let(sd(h, m), lambda d: scores(h, m, d))))
 
     gap = F.aggregate(F.zip_with(z(a), z(b), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.greatest(n, F.lit(1))
     return F.when((n >= 4) & (F.abs(F.size(a) - F.size(b)) <= 2), F.greatest(F.lit(0.0), 1 - gap / 2)).otherwise(F.lit(0.0))

@@ -71,8 +71,9 @@ def check_means(v: DataFrame, stated: DataFrame) -> DataFrame:
     j = v.filter("n >= 3").join(stated, ["source", "group_key"])
     total = F.aggregate("vals", F.lit(0.0), lambda s, x: s + x)
     near = lambda x: F.abs(x - F.col("stated")) <= printed_tolerance(F.col("stated"), F.col("printed"))
-    hits = F.size(F.filter("vals", lambda x: near((total - x) / (F.col("n") - 1))))
-    return j.select("source", "group_key", "n", "stated", F.when(near(total / F.col("n")), "ok").when((F.col("n") >= 4) & (hits == 1), "dropped_value").otherwise("unexplained").alias("status"))
+    hits = lambda t: F.size(F.filter("vals", lambda x: near((t - x) / (F.col("n") - 1))))
+    status = arrays.let(total, lambda t: F.when(near(t / F.col("n")), "ok").when((F.col("n") >= 4) & (hits(t) == 1), "dropped_value").otherwise("unexplained"))
+    return j.select("source", "group_key", "n", "stated", status.alias("status"))
 
 
 def check_sds(obs: DataFrame, stated: DataFrame) -> DataFrame:
