@@ -76,17 +76,19 @@ def ratios_within_source(v: DataFrame, least: int = 4) -> DataFrame:
     """(source, group_a, group_b, k, n): different vectors of a source of which one is k times the other, rank by rank.
 
     Multiples agree in what does not depend on scale: the number of zeros, the
-    first and the last value over the sum of sizes. They meet in bands of these.
+    first and the last value over the sum of sizes. They meet in bands of these; a
+    vector near the edge of its band, by more than integer_ratio's tolerance moves
+    it, stands in the next band too.
     """
     size = F.aggregate("vals", F.lit(0.0), lambda s, x: s + F.abs(x))
     other = F.filter("vals", lambda x: x != 0)
-    band = lambda x: F.floor(x / F.col("size") * 1e4)
+    place = lambda x: x / F.col("size") * 1e4
     each = distinct_vectors(v, least).withColumn("size", size).filter("size > 0").withColumn("other", other)
-    each = each.select("source", "group_key", "vals", F.size("vals").alias("n"), F.size("other").alias("nonzero"), band(F.element_at("other", 1)).alias("first"), band(F.element_at("other", -1)).alias("last"))
+    each = each.select("source", "group_key", "vals", F.size("vals").alias("n"), F.size("other").alias("nonzero"), place(F.element_at("other", 1)).alias("first"), place(F.element_at("other", -1)).alias("last"))
     each = stored(each, "vectors")
-    near = lambda c: F.explode(F.array(*(F.col(c) + i for i in (-1, 0, 1))))
+    near = lambda c: F.explode(F.array_distinct(F.array(*(F.floor(F.col(c) + i) for i in (-0.03, 0.03)))))
     a = each.select("source", F.col("group_key").alias("group_a"), F.col("vals").alias("a"), "n", "nonzero", "first", "last").withColumn("first", near("first")).withColumn("last", near("last"))
-    b = each.select("source", F.col("group_key").alias("group_b"), F.col("vals").alias("b"), "n", "nonzero", "first", "last")
+    b = each.select("source", F.col("group_key").alias("group_b"), F.col("vals").alias("b"), "n", "nonzero", F.floor("first").alias("first"), F.floor("last").alias("last"))
     met = a.join(b, ["source", "n", "nonzero", "first", "last"]).filter("group_a < group_b")
     k = arrays.integer_ratio(F.col("a"), F.col("b"))
     return met.select("source", "group_a", "group_b", k.alias("k"), F.col("n").cast("long").alias("n")).filter("k IS NOT NULL")
