@@ -82,11 +82,21 @@ def joined_lines(lines: DataFrame, starts: Column) -> DataFrame:
 
 
 def islands(rows: DataFrame, keys: list[str], order: str, gap: int = 1) -> DataFrame:
-    """Runs of a whole-numbered column whose neighbours lie at most `gap` apart: (keys, first, last, n)."""
+    """Runs of a whole-numbered column whose neighbours lie at most `gap` apart: (keys, first, last, n: its different numbers).
+
+    One sort serves all: rows that begin or end a run stay, and each that begins
+    one looks at the next that ends one. Nothing is gathered in hash tables.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    new = F.when(F.coalesce(F.col(order) - F.lag(order).over(w) <= gap, F.lit(False)), 0).otherwise(1)
-    marked = rows.select(*keys, order).distinct().withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return marked.groupBy(*keys, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("run")
+    x = F.col(order)
+    apart = lambda y, d: ~F.coalesce(d <= gap, x.isNull() & y["there"] & y["x"].isNull())
+    near = F.struct(F.lit(True).alias("there"), x.alias("x"))
+    marked = rows.select(*keys, order).withColumns({"_before": F.lag(near).over(w), "_after": F.lead(near).over(w), "_rank": F.dense_rank().over(w)})
+    before, after = F.col("_before"), F.col("_after")
+    ends = marked.select(*keys, order, "_rank", F.coalesce(apart(before, x - before["x"]), F.lit(True)).alias("_begins"), F.coalesce(apart(after, after["x"] - x), F.lit(True)).alias("_ends")).filter("_begins OR _ends")
+    then = F.when(F.col("_ends"), F.struct(order, "_rank")).otherwise(F.lead(F.struct(order, "_rank")).over(w))
+    runs = ends.withColumn("_then", then).filter("_begins")
+    return runs.select(*keys, x.alias("first"), F.col("_then")[order].alias("last"), (F.col("_then._rank") - F.col("_rank") + 1).cast("long").alias("n"))
 
 
 def dominant_run(rows: DataFrame, keys: list[str], order: str, start: int, gap: int = 1) -> DataFrame:
