@@ -9,21 +9,20 @@ from plumbline.functions import text
 
 
 def _terms(docs: DataFrame, id_col: str, shortest: int) -> DataFrame:
-    return docs.select(id_col, F.explode(text.tokens(F.col("text"), shortest)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return docs.select(id_col, F.explode(text.tokens(F.col("text"), shortest)).alias("term"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, k1: float = 1.2, b: float = 0.75, shortest: int = 3) -> DataFrame:
     """(query, rank, doc, score): the k best documents (doc, text) of each query (query, text), scores above 0, ties by doc.
 
-    Frequencies and lengths are over all documents. Only terms of queries reach
-    the join, so a posting list is joined once per query term, and a query's own
-    frequency multiplies.
+    Frequencies and lengths are over all documents; lengths are told where a text
+    is read. Only terms of queries are counted and reach the join, so a posting
+    list is joined once per query term, and a query's own frequency multiplies.
     """
-    q = _terms(queries, "query", shortest).withColumnRenamed("tf", "qtf")
-    d = _terms(docs, "doc", shortest)
-    size = d.groupBy("doc").agg(F.sum("tf").alias("len"))
+    q = _terms(queries, "query", shortest).groupBy("query", "term").agg(F.count("*").alias("qtf"))
+    size = docs.filter("text IS NOT NULL").select("doc", F.size(text.tokens(F.col("text"), shortest)).cast("long").alias("len")).filter("len > 0").groupBy("doc").agg(F.sum("len").alias("len"))
     total = size.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    asked = d.join(q.select("term").distinct(), "term", "left_semi")
+    asked = _terms(docs, "doc", shortest).join(q.select("term").distinct(), "term", "left_semi").groupBy("doc", "term").agg(F.count("*").alias("tf"))
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(total)).select("term", "avg_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     hits = asked.join(idf, "term").join(size, "doc").join(q, "term")
