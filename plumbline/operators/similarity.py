@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Queries and rows of a block; a task holds one block of each.
 QUERY_BLOCK, ROW_BLOCK = 2048, 32768
+#: Scores that are held at once.
+SCORES = 2**20
 
 
 def _best(k: int, floor: float, mirrored: bool):
@@ -22,10 +24,11 @@ def _best(k: int, floor: float, mirrored: bool):
             q, x = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1) for t in (queries, rows))
             q, x = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30) for m in (q, x))
             out = []
-            for lo in range(0, len(ids), 256):
-                s = q[lo : lo + 256] @ x.T
+            step = max(1, SCORES // len(own))
+            for lo in range(0, len(ids), step):
+                s = q[lo : lo + step] @ x.T
                 s = np.round(np.abs(s) if mirrored else s, 9)
-                s[ids[lo : lo + 256, None] == own[None, :]] = -2
+                s[ids[lo : lo + step, None] == own[None, :]] = -2
                 if s.shape[1] > k:
                     # Everything from the k-th best score on, then in order: ties go by id.
                     at_least = np.partition(s, -k, axis=1)[:, -k]
