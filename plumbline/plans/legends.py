@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import legends
-from plumbline.plans.registry import query, table
+from plumbline.plans.registry import query, spread, table
 
 
 def _legends(spark, d):
     """Four ways to state n, by part key."""
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 4).alias("k"), (F.col("p_size") + 2).cast("string").alias("n"), (F.col("p_size") + 9).cast("string").alias("m"))
+    p = spread(table(spark, d, "part")).select("p_partkey", (F.col("p_partkey") % 4).alias("k"), (F.col("p_size") + 2).cast("string").alias("n"), (F.col("p_size") + 9).cast("string").alias("m"))
     lit = F.lit
     text = (
         F.when(F.col("k") == 0, F.concat(lit("Growth. (a) Length of WT (n = "), "n", lit(") and KO (n = "), "m", lit("). (b) Weight, n = "), "m", lit(" mice.")))
@@ -35,7 +35,7 @@ def legend_ns(spark, d):
   SELECT doc, CAST(f AS VARCHAR) AS figure, 'Growth of ' || doc || '. Second part. And more' AS legend, CAST(1 AS BIGINT) AS n_mentions FROM p UNION ALL SELECT doc, 'ED' || f, 'Weight of ' || doc || '. Last words', CAST(0 AS BIGINT) FROM p""")
 def gathered_legends(spark, d):
     """A manuscript of seven paragraphs for every part: text, a legend of two paragraphs, one of extended data, and a continued one."""
-    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("doc"), (F.col("p_size") % 5 + 1).cast("string").alias("f"))
+    p = spread(table(spark, d, "part")).select(F.col("p_partkey").cast("string").alias("doc"), (F.col("p_size") % 5 + 1).cast("string").alias("f"))
     lines = (F.concat(F.lit("As seen in Fig. "), "f", F.lit(", it grew.")), F.concat(F.lit("Figure "), "f", F.lit(". Growth of "), "doc", F.lit(".")), F.lit("Second part."), F.concat(F.lit("Extended Data Figure "), "f", F.lit(": Weight of "), "doc", F.lit(".")), F.lit("Last words"), F.concat(F.lit("Figure "), "f", F.lit(" (continued). And more")))
     paragraphs = p.select("doc", F.posexplode(F.array(*lines)).alias("ord", "text"))
     found = legends.gathered(paragraphs)
